@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import quality, secrets, tokens
 from .common import table
 
 
+def op2_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_token_counts(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_quality": op2_quality,
     "op4_secret_scan": op4_secret_scan,
+    "op8_token_counts": op8_token_counts,
 }
 
 ORACLE_SQL = {}
