@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, tokens
+from . import langid, quality, secrets, tokens
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_language(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,7 @@ def op8_token_counts(spark, sf_dir):
 QUERIES = {
     "op2_quality": op2_quality,
     "op4_secret_scan": op4_secret_scan,
+    "op6_language": op6_language,
     "op8_token_counts": op8_token_counts,
 }
 
