@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, quality, secrets, tokens
+from . import decontaminate, langid, quality, secrets, tokens
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op6_language(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_secret_scan": op4_secret_scan,
     "op6_language": op6_language,
+    "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
 }
 
