@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, quality, secrets, tokens
+from . import ann, decontaminate, langid, mixing, quality, secrets, tokens
 from .common import table
 
 
+def op1_neighbours(spark, sf_dir):
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,12 +30,20 @@ def op8_token_counts(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_mix(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op2_quality": op2_quality,
     "op4_secret_scan": op4_secret_scan,
     "op6_language": op6_language,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
+    "op9_mix": op9_mix,
 }
 
-ORACLE_SQL = {}
+ORACLE_SQL = {
+    "op9_mix": mixing.ORACLE_SQL,
+}
