@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, langid, mixing, quality, secrets, tokens
+from . import ann, decontaminate, langid, mixing, neardup, quality, secrets, tokens
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_near_duplicates(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_quality": op2_quality,
     "op4_secret_scan": op4_secret_scan,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_language": op6_language,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
