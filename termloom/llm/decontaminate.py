@@ -244,19 +244,24 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
         yield block
 
 
-def hits_column(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, block_chars: int = BLOCK_CHARS) -> Column:
-    """An array of hits (item_id, start, end, edits) for the column ``text``: the best of each item."""
-    found = []
-    for block in item_blocks(benchmark, block_chars):
-        packed = docs.sparkSession.sparkContext.broadcast(block)
+def _searcher(packed, q: int, edits: float):
+    """The search of one block of items, given as a broadcast."""
+
+    @F.pandas_udf(HITS)
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(packed.value, q, edits)
+        names = ("item_id", "start", "end", "edits")
+        for s in batches:
+            yield pd.Series([[dict(zip(names, h)) for h in hits] for hits in index.search(s.tolist())], dtype=object)
 
-        @F.pandas_udf(HITS)
-        def search(batches: Iterator[pd.Series], packed=packed) -> Iterator[pd.Series]:
-            index = Index(packed.value, q, edits)
-            for s in batches:
-                yield pd.Series([[dict(zip(("item_id", "start", "end", "edits"), h)) for h in hits] for hits in index.search(s.tolist())])
+    return search
 
-        found.append(search(F.col("text").cast("string")))
+
+def hits_column(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, block_chars: int = BLOCK_CHARS) -> Column:
+    """An array of hits (item_id, start, end, edits) for the column ``text``: the best of each item."""
+    context = docs.sparkSession.sparkContext
+    text = F.col("text").cast("string")
+    found = [_searcher(context.broadcast(block), q, edits)(text) for block in item_blocks(benchmark, block_chars)]
     return reduce(F.concat, found) if found else F.array().cast(HITS)
 
 

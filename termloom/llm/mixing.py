@@ -10,7 +10,8 @@ bucket, so no task holds a whole source. Offsets and buckets are digests, so rer
 
 Defined cases: null text has size 0; the null source is a source of its own, last in the order; an empty
 source, or one whose documents are all empty, takes nothing; equal rows are told apart only by
-their position, so a rerun takes the same multiset; extra columns are kept by ``take`` and ignored here.
+their position, so a rerun takes the same multiset; extra columns are kept by ``take`` and ignored
+elsewhere.
 """
 
 from __future__ import annotations
@@ -58,14 +59,21 @@ def _digest(column, digits: int):
     return F.conv(F.substring(F.md5(column.cast("string").cast("binary")), 1, digits), 16, 10).cast("long")
 
 
+def _source_key(source="source"):
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+
+
 def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies`` of every row of (doc_id, source, size)."""
+    """``doc_id, src, i, size, source_size, target, copies`` of every row of (doc_id, source, size).
+
+    ``i`` counts the rows that are alike in all three.
+    """
     digits = F.col("size").cast("string")
     # Repeats of one (source, size, id) are one row with a count, so no bucket gathers them.
     rows = (
         docs.groupBy("source", "size", "doc_id")
         .agg(F.count("*").alias("same"))
-        .withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+        .withColumn("src", _source_key())
         .withColumn("class", (F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")).cast("int"))
         .withColumn("bucket", (_digest(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 8) % BUCKETS).cast("int"))
     )
@@ -75,20 +83,42 @@ def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFra
     along = Window.partitionBy("src").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*key).agg(F.sum("same").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
     per = targets(rows.select("source", (F.col("size") * F.col("same")).alias("size")), weights, most)
-    per = per.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("src"), "source_size", "target")
+    per = materialise(per.select(_source_key().alias("src"), "source_size", "target"), "mix-targets")
     within = Window.partitionBy(*key).orderBy("size", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("start") + F.coalesce(F.sum("same").over(within), F.lit(0))
-    placed = rows.join(starts, key).withColumn("first", first).join(small_or_shuffled(materialise(per, "mix-targets")), "src")
+    placed = rows.join(starts, key).withColumn("first", first).join(small_or_shuffled(per), "src")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = _digest(F.concat(F.lit("offset"), "src"), 13) / float(16**13)
     upto = lambda n: F.floor(n * F.col("rate") + F.col("offset"))
+    at = F.col("first") + F.col("i")
     return (
         placed.withColumn("rate", rate)
         .withColumn("offset", offset)
-        .withColumn("at", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("same") - 1)))
-        .withColumn("copies", F.least(upto(F.col("at") + 1) - upto(F.col("at")), F.lit(most).cast("long")))
-        .select("doc_id", "source", "size", "source_size", "target", "copies")
+        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("same") - 1)))
+        .withColumn("copies", F.least(upto(at + 1) - upto(at), F.lit(most).cast("long")))
+        .select("doc_id", "src", "i", "size", "source_size", "target", "copies")
+    )
+
+
+def take(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """The mix itself: every row as many times as it is taken, with its own columns.
+
+    Rows alike in source, size and id are numbered by their texts' digests.
+    """
+    count = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    drawn = copies(docs.select("doc_id", F.col("source").cast("string").alias("source"), count.alias("size")), weights, most)
+    alike = Window.partitionBy("_src", "_size", "_id").orderBy(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    numbered = (
+        docs.withColumn("_src", _source_key())
+        .withColumn("_size", count)
+        .withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        .withColumn("_i", F.row_number().over(alike).cast("long") - 1)
+    )
+    drawn = drawn.where("copies > 0").select(
+        F.col("src").alias("_src"), F.col("size").alias("_size"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("i").alias("_i"), F.col("copies").alias("_copies")
     )
+    taken = numbered.join(drawn, ["_src", "_size", "_id", "_i"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, langid, mixing, neardup, quality, secrets, tokens
+from . import ann, decontaminate, langid, mixing, neardup, quality, secrets, sharding, tokens
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op9_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_shards(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents")).placed().select("doc_id", "shard_id", "shard_row")
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_quality": op2_quality,
@@ -47,6 +51,7 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op9_mix": op9_mix,
+    "op10_shards": op10_shards,
 }
 
 ORACLE_SQL = {
