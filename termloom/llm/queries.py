@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, langid, mixing, neardup, quality, secrets, sharding, tokens
+from . import ann, decontaminate, langid, mixing, neardup, quality, secrets, sharding, tokens, toolcalls
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_tool_calls(spark, sf_dir):
+    return toolcalls.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -45,6 +49,7 @@ def op10_shards(spark, sf_dir):
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_quality": op2_quality,
+    "op3_tool_calls": op3_tool_calls,
     "op4_secret_scan": op4_secret_scan,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_language": op6_language,
