@@ -1,6 +1,758 @@
-"""Registry of the retrieval queries and their SQL."""
+"""Registry of the retrieval queries and their SQL.
+
+Each query takes (session, folder of tables) and runs over whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import compress
+from .functions import text as X
+from .functions.html import visible_text
+from .functions.stem import stems
+from .operators import evaluation, graph, index, language, positional, retrieval, statistics, tokenize
+from .plans import boolean
+from .plans.common import numbered, written
+
+K = 10
+BOOLEAN_AND, BOOLEAN_OR, BOOLEAN_NOT = "that & with", "dans | nicht", "that - with"
+BOOLEAN_NESTED = "((that | dans) & from) | (nicht - (der & die))"
+STOP_WORDS = ["the", "and", "that", "with", "les", "des", "der", "die", "los", "las"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir):
+    return _table(spark, sf_dir, "documents")
+
+
+def _tokens(spark, sf_dir):
+    return tokenize.plain_tokens(_docs(spark, sf_dir))
+
+
+def _tf(spark, sf_dir):
+    return tokenize.term_frequencies(_tokens(spark, sf_dir))
+
+
+def _terms(spark, sf_dir):
+    return statistics.term_statistics(_tf(spark, sf_dir))
+
+
+def _asked(spark, sf_dir):
+    """The benchmark items as bags of words."""
+    items = _table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
+    bags = tokenize.term_frequencies(tokenize.plain_tokens(items))
+    return bags.select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
+
+
+def _phrases(spark, sf_dir, size=3):
+    """The first kept words of each benchmark item, in order."""
+    items = _table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
+    places = positional.positions(tokenize.plain_tokens(items))
+    return places.where(F.col("at") < size).select(F.col("doc_id").alias("query_id"), F.col("at").alias("i"), "term")
+
+
+# SQL pieces
+
+_RAW = """raw AS (
+  SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS w
+  FROM (SELECT doc_id, string_split_regex(trim(translate(lower(text), 'áéíóú', 'aeiou')), '\\s+') AS l FROM documents)
+), cleaned AS (
+  SELECT doc_id, pos, regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g') AS t FROM raw
+), tok AS (
+  SELECT doc_id, pos, CASE WHEN length(t) BETWEEN 3 AND 25 THEN t END AS term FROM cleaned
+)"""
+_TF = (
+    "WITH "
+    + _RAW
+    + """, tf AS (
+  SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM tok WHERE term IS NOT NULL GROUP BY ALL
+), terms AS (
+  SELECT term, CAST(sum(tf) AS BIGINT) AS cf, CAST(count(*) AS BIGINT) AS df FROM tf GROUP BY ALL
+)"""
+)
+_PLACES = ", places AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS at FROM tok WHERE term IS NOT NULL)"
+_ITEMS = """, qtok AS (
+  SELECT query_id, pos, CASE WHEN length(t) BETWEEN 3 AND 25 THEN t END AS term FROM (
+    SELECT query_id, pos, regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g') AS t FROM (
+      SELECT item_id AS query_id, unnest(range(0, len(l))) AS pos, unnest(l) AS w
+      FROM (SELECT item_id, string_split_regex(trim(translate(lower(text), 'áéíóú', 'aeiou')), '\\s+') AS l FROM benchmark)))
+), q AS (SELECT query_id, term, CAST(count(*) AS BIGINT) AS qtf FROM qtok WHERE term IS NOT NULL GROUP BY ALL)"""
+_QPLACES = (
+    ", qp AS (SELECT query_id, term, i FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS i FROM qtok WHERE term IS NOT NULL) WHERE i < 3)"
+)
+
+
+def _rank_sql(scheme: str) -> str:
+    s = retrieval.SCHEMES[scheme]
+    fix = lambda e: e.replace("0.5D", "CAST(0.5 AS DOUBLE)")
+    keep = "WHERE score > 0" if s.positive_only else ""
+    return f"""{_TF}{_ITEMS}, tot AS (
+  SELECT CAST((SELECT count(DISTINCT doc_id) FROM tf) AS DOUBLE) AS n, CAST((SELECT count(*) FROM terms) AS DOUBLE) AS v
+), wd AS (
+  SELECT doc_id, term, n, v, cf, df, CAST({fix(s.doc)} AS DOUBLE) AS w FROM tf JOIN terms USING (term), tot
+), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS dn FROM wd GROUP BY 1
+), qm AS (SELECT *, max(qtf) OVER (PARTITION BY query_id) AS mq FROM q
+), met AS (
+  SELECT * FROM (SELECT query_id, doc_id, term, w, CAST({fix(s.query)} AS DOUBLE) AS qw FROM wd JOIN qm USING (term))
+  WHERE w IS NOT NULL AND qw IS NOT NULL
+), qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM (SELECT DISTINCT query_id, term, qw FROM met) GROUP BY 1
+), sc AS (
+  SELECT query_id, doc_id, round(sum(w * qw) / (any_value(dn) * any_value(qn)), 6) AS score
+  FROM met JOIN dn USING (doc_id) JOIN qn USING (query_id) WHERE dn > 0 AND qn > 0 GROUP BY ALL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc {keep}
+)"""
+
+
+_RANKED = " SELECT query_id, doc_id, CAST(rank AS INT) AS rank, score FROM r WHERE rank <= 10"
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# Collection statistics
+
+
+@query("term_stats", _TF + " SELECT term, cf, df FROM terms")
+def _(spark, sf):
+    return _terms(spark, sf)
+
+
+@query(
+    "collection_stats",
+    _TF
+    + """, per AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS tokens, CAST(count(DISTINCT term) AS BIGINT) AS terms FROM tok GROUP BY 1)
+SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(per.tokens) AS BIGINT) AS tokens, (SELECT CAST(count(*) AS BIGINT) FROM terms) AS terms,
+  CAST(sum(per.tokens) AS DOUBLE) / count(*) AS tokens_per_doc, CAST((SELECT count(*) FROM terms) AS DOUBLE) / count(*) AS terms_per_doc,
+  round((SELECT avg(length(term)) FROM terms), 6) AS avg_term_length,
+  (SELECT tokens FROM per ORDER BY tokens, doc_id LIMIT 1) AS short_tokens, (SELECT terms FROM per ORDER BY tokens, doc_id LIMIT 1) AS short_terms,
+  (SELECT tokens FROM per ORDER BY tokens DESC, doc_id LIMIT 1) AS long_tokens, (SELECT terms FROM per ORDER BY tokens DESC, doc_id LIMIT 1) AS long_terms,
+  (SELECT CAST(count(*) AS BIGINT) FROM terms WHERE cf = 1) AS hapaxes FROM per""",
+)
+def _(spark, sf):
+    return statistics.collection_statistics(_tokens(spark, sf))
+
+
+@query(
+    "top_bottom_terms",
+    _TF
+    + """ SELECT 'top' AS side, CAST(row_number() OVER (ORDER BY cf DESC, df DESC, term DESC) AS INT) AS place, term, cf, df
+  FROM (SELECT * FROM terms ORDER BY cf DESC, df DESC, term DESC LIMIT 10)
+UNION ALL SELECT 'bottom', CAST(row_number() OVER (ORDER BY cf, df, term) AS INT), term, cf, df FROM (SELECT * FROM terms ORDER BY cf, df, term LIMIT 10)""",
+)
+def _(spark, sf):
+    return statistics.top_bottom(_terms(spark, sf))
+
+
+@query(
+    "doc_term_counts",
+    _TF
+    + """ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_terms, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM tf GROUP BY 1) USING (doc_id)""",
+)
+def _(spark, sf):
+    return statistics.document_counts(_docs(spark, sf), _tf(spark, sf))
+
+
+@query("index_totals", _TF + " SELECT CAST(count(DISTINCT doc_id) AS BIGINT) AS docs, CAST(count(DISTINCT term) AS BIGINT) AS terms, CAST(count(*) AS BIGINT) AS postings, CAST(max(length(term)) AS BIGINT) AS longest_term FROM tf")
+def _(spark, sf):
+    return statistics.index_totals(_tf(spark, sf))
+
+
+@query("posting_size_histogram", _TF + " SELECT CAST(df * 4 AS BIGINT) AS posting_bytes, CAST(count(*) AS BIGINT) AS n_terms FROM terms GROUP BY 1")
+def _(spark, sf):
+    return statistics.posting_sizes(_terms(spark, sf))
+
+
+@query(
+    "doc_overhead",
+    _TF
+    + """, c AS (SELECT d.doc_id, CAST(coalesce(n, 0) * 4 AS BIGINT) AS index_bytes, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes
+  FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM tf GROUP BY 1) USING (doc_id))
+SELECT *, CASE WHEN size_bytes > 0 THEN round(CAST(index_bytes AS DOUBLE) / size_bytes, 6) END AS overhead FROM c""",
+)
+def _(spark, sf):
+    return statistics.document_overhead(statistics.document_counts(_docs(spark, sf), _tf(spark, sf)))
+
+
+@query(
+    "stop_word_filter",
+    _TF + f" SELECT term, cf, df FROM terms WHERE term NOT IN ({', '.join(repr(w) for w in STOP_WORDS)})",
+)
+def _(spark, sf):
+    return statistics.term_statistics(tokenize.term_frequencies(tokenize.without_stop_words(_tokens(spark, sf), STOP_WORDS)))
+
+
+@query(
+    "dictionary_as_string",
+    _TF
+    + """ SELECT CAST(count(*) AS BIGINT) AS terms, CAST(count(*) * max(length(term)) AS BIGINT) AS fixed_bytes, CAST(sum(length(term)) AS BIGINT) AS string_bytes,
+  CAST(sum(length(term)) + 4 * count(*) AS BIGINT) AS string_pointer_bytes, CAST(sum(least(length(term), 20)) AS BIGINT) AS cut_bytes,
+  CAST(count(*) FILTER (length(term) > 20) AS BIGINT) AS longer_than_cut,
+  round(100 * (1 - CAST(sum(length(term)) + 4 * count(*) AS DOUBLE) / (count(*) * max(length(term)))), 6) AS saving_percent FROM terms""",
+)
+def _(spark, sf):
+    return statistics.dictionary_sizes(_terms(spark, sf))
+
+
+@query("word_lengths", _TF + " SELECT CAST(length(term) AS BIGINT) AS length, CAST(count(*) AS BIGINT) AS n_terms FROM terms GROUP BY 1")
+def _(spark, sf):
+    return statistics.word_lengths(_terms(spark, sf))
+
+
+@query(
+    "word_length_summary",
+    _TF
+    + """ SELECT CAST(count(*) AS BIGINT) AS terms, round(avg(length(term)), 6) AS mean, round(stddev_samp(length(term)), 6) AS deviation,
+  CAST(min(length(term)) AS BIGINT) AS least, CAST(quantile_cont(length(term), 0.25) AS DOUBLE) AS p25, CAST(quantile_cont(length(term), 0.5) AS DOUBLE) AS p50,
+  CAST(quantile_cont(length(term), 0.75) AS DOUBLE) AS p75, CAST(max(length(term)) AS BIGINT) AS greatest FROM terms""",
+)
+def _(spark, sf):
+    return statistics.word_length_summary(_terms(spark, sf))
+
+
+# Zipf and Heaps
+
+_RANKS = ", ranks AS (SELECT row_number() OVER (ORDER BY cf DESC, term) AS rank, term, cf FROM terms)"
+
+
+@query("zipf_rank", _TF + _RANKS + " SELECT rank, term, cf FROM ranks")
+def _(spark, sf):
+    return statistics.frequency_ranks(_terms(spark, sf))
+
+
+@query("zipf_loglog_fit", _TF + _RANKS + " SELECT round(regr_slope(ln(cf), ln(rank)), 6) AS slope, round(regr_intercept(ln(cf), ln(rank)), 6) AS intercept, round(corr(ln(rank), ln(cf)), 6) AS correlation FROM ranks")
+def _(spark, sf):
+    return statistics.loglog_fit(statistics.frequency_ranks(_terms(spark, sf)))
+
+
+@query(
+    "zipf_threshold_share",
+    _TF
+    + _RANKS
+    + """, fit AS (SELECT regr_slope(ln(cf), ln(rank)) AS b, regr_intercept(ln(cf), ln(rank)) AS a, CAST(count(*) AS DOUBLE) AS v FROM ranks
+), th AS (SELECT unnest([100, 1000, 10000]) AS threshold)
+SELECT CAST(threshold AS INT) AS threshold, CAST((SELECT count(*) FROM terms WHERE cf >= threshold) AS BIGINT) AS n_terms,
+  round((SELECT count(*) FROM terms WHERE cf >= threshold) / v, 6) AS share,
+  round(least(greatest(floor(exp((ln(threshold) - a) / b) + 1e-9), 0), v) / v, 6) AS predicted_share FROM th, fit""",
+)
+def _(spark, sf):
+    return statistics.threshold_share(written(_terms(spark, sf), "terms"))
+
+
+@query("powerlaw_fit")
+def _(spark, sf):
+    a, b, r = statistics.power_law_fit(written(statistics.frequency_ranks(_terms(spark, sf)), "ranks"))
+    return spark.createDataFrame([(a, b, r)], "a double, b double, correlation double")
+
+
+@query(
+    "heaps_curve",
+    _TF
+    + """, n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1), f AS (SELECT d AS doc_id, count(*) AS new FROM (SELECT term, min(doc_id) AS d FROM tf GROUP BY 1) GROUP BY 1)
+SELECT doc_id, CAST(sum(n) OVER (ORDER BY doc_id) AS BIGINT) AS tokens, CAST(sum(coalesce(new, 0)) OVER (ORDER BY doc_id) AS BIGINT) AS terms FROM n LEFT JOIN f USING (doc_id)""",
+)
+def _(spark, sf):
+    return statistics.heaps_by_document(_tokens(spark, sf))
+
+
+# Entities
+
+_Q = lambda p: p.replace("'", "''")
+_ENT = f"""WITH f AS (SELECT doc_id, translate(text, '{X.FOLD_FULL[0]}', '{X.FOLD_FULL[1]}') AS t FROM documents
+), s AS (SELECT doc_id, unnest(string_split_regex(trim(t), '\\s+')) AS token FROM f
+), k AS (SELECT doc_id, token, CASE WHEN regexp_matches(token, '{_Q(X.NUMBER)}') THEN 'number' WHEN regexp_matches(token, '{_Q(X.MAIL_OR_URL)}') THEN 'mail_url'
+  WHEN regexp_matches(token, '{_Q(X.ABBREVIATION)}') THEN 'abbreviation' WHEN regexp_matches(token, '{_Q(X.DATE)}') THEN 'date' ELSE 'plain' END AS kind FROM s
+), c AS (SELECT doc_id, token, kind, CASE WHEN kind IN ('number', 'mail_url', 'date') THEN lower(regexp_replace(token, '[^\\p{{L}}\\p{{N}}_\\s/@.:-?&|]', '', 'g'))
+  ELSE lower(regexp_replace(token, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')) END AS term FROM k
+), kept AS (SELECT * FROM c WHERE kind IN ('number', 'mail_url', 'date') OR (regexp_matches(term, '^[a-z]+$') AND length(term) BETWEEN 3 AND 25)
+)"""
+
+
+def _entity(kind: str):
+    @query(f"entity_{kind}s", _ENT + f" SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM kept WHERE kind = '{kind}' GROUP BY ALL")
+    def _(spark, sf):
+        kept = tokenize.typed_tokens(_docs(spark, sf), names=False)
+        return tokenize.term_frequencies(kept.where(F.col("kind") == kind))
+
+
+for _kind in ("number", "date", "mail_url", "abbreviation"):
+    _entity(_kind)
+
+
+@query("entity_kinds", _ENT + " SELECT kind, CAST(count(*) AS BIGINT) AS tokens, CAST(count(DISTINCT term) AS BIGINT) AS terms FROM kept GROUP BY ALL")
+def _(spark, sf):
+    kept = tokenize.typed_tokens(_docs(spark, sf), names=False)
+    return kept.groupBy("kind").agg(F.count("*").alias("tokens"), F.count_distinct("term").alias("terms"))
+
+
+@query(
+    "proper_names",
+    _ENT + f" SELECT lower(name) AS term, CAST(count(*) AS BIGINT) AS cf, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{_Q(X.PROPER_NAME)}', 1)) AS name FROM f) GROUP BY 1",
+)
+def _(spark, sf):
+    names = tokenize.typed_tokens(_docs(spark, sf)).where("kind = 'proper_name'")
+    return statistics.term_statistics(tokenize.term_frequencies(names))
+
+
+@query(
+    "inner_numbers",
+    f"""SELECT num AS term, CAST(count(*) AS BIGINT) AS cf FROM (SELECT unnest(regexp_extract_all(token, '{_Q(X.INNER_NUMBER)}')) AS num
+  FROM (SELECT unnest(string_split_regex(trim(translate(text, '{X.FOLD_WIDE[0]}', '{X.FOLD_WIDE[1]}')), '\\s+')) AS token FROM documents)) GROUP BY 1""",
+)
+def _(spark, sf):
+    found = tokenize.entity_tokens(_docs(spark, sf)).where("kind = 'number'")
+    return found.groupBy("term").agg(F.count("*").alias("cf"))
+
+
+@query("entity_pipeline_terms")
+def _(spark, sf):
+    found = tokenize.entity_tokens(_docs(spark, sf))
+    return found.groupBy("kind", "term").agg(F.count("*").alias("cf"), F.count_distinct("doc_id").alias("df"))
+
+
+def _stem(kind: str):
+    @query(f"stem_{kind}")
+    def _(spark, sf):
+        terms = _terms(spark, sf)
+        stem = stems(terms, kind)
+        return terms.join(stem, "term").groupBy(F.col(kind).alias("stem")).agg(F.sum("cf").alias("cf"), F.count("*").alias("n_terms"))
+
+
+for _kind in ("porter", "lancaster", "spanish"):
+    _stem(_kind)
+
+
+@query("stem_comparison")
+def _(spark, sf):
+    return stems(_terms(spark, sf), "porter", "lancaster")
+
+
+# Indexes
+
+
+@query(
+    "inverted_index",
+    _TF + " SELECT term, CAST(sum(tf) AS BIGINT) AS cf, CAST(count(*) AS BIGINT) AS df, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM tf GROUP BY 1",
+)
+def _(spark, sf):
+    pair = lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))
+    return index.inverted_index(_tf(spark, sf)).withColumn("postings", F.array_join(F.transform("postings", pair), " "))
+
+
+@query(
+    "positional_index",
+    _TF + _PLACES + " SELECT term, doc_id, CAST(count(*) AS BIGINT) AS tf, string_agg(CAST(at AS VARCHAR), ' ' ORDER BY at) AS positions FROM places GROUP BY 1, 2",
+)
+def _(spark, sf):
+    return index.positional_index(_tokens(spark, sf)).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
+
+
+@query(
+    "doc_norms",
+    _TF
+    + """, v AS (SELECT CAST(count(*) AS DOUBLE) AS v FROM terms)
+SELECT doc_id, round(sqrt(sum(power(tf * ln(v / df), 2))), 6) AS norm FROM tf JOIN terms USING (term), v GROUP BY 1""",
+)
+def _(spark, sf):
+    norms = index.doc_norms(retrieval.weigh(_tf(spark, sf), retrieval.SCHEMES["double_log"]))
+    return norms.withColumn("norm", F.round("norm", 6))
+
+
+@query("dgaps", _TF + " SELECT term, doc_id, tf, CAST(doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS BIGINT) AS gap FROM tf")
+def _(spark, sf):
+    return index.gaps(_tf(spark, sf))
+
+
+_SKIPS = ", s AS (SELECT term, doc_id, row_number() OVER w AS idx, ceil(sqrt(count(*) OVER (PARTITION BY term))) AS step FROM tf WINDOW w AS (PARTITION BY term ORDER BY doc_id))"
+
+
+@query("skip_entries", _TF + _SKIPS + " SELECT term, doc_id, idx FROM s WHERE idx % CAST(step AS BIGINT) = 0")
+def _(spark, sf):
+    return index.skips(_tf(spark, sf))
+
+
+@query("skip_entries_after_first", _TF + _SKIPS + " SELECT term, doc_id, idx FROM s WHERE idx > 1 AND (idx - 1) % CAST(step AS BIGINT) = 0")
+def _(spark, sf):
+    return index.skips(_tf(spark, sf), include_first=False)
+
+
+_BITS = lambda c: f"length(ltrim(bin({c}), '0'))"
+_VB = lambda c: f"ceil({_BITS(c)} / 7.0)"
+_GA = lambda c: f"(2 * ({_BITS(c)} - 1) + 1)"
+
+
+@query(
+    "code_sizes",
+    _TF
+    + f""", g AS (SELECT term, tf, doc_id + 1 AS d, doc_id + 1 - coalesce(lag(doc_id + 1) OVER (PARTITION BY term ORDER BY doc_id), 0) AS gap FROM tf)
+SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum({_VB('d')} + {_VB('tf')}) AS BIGINT) AS raw_vb, CAST(ceil(sum({_GA('d')} + {_GA('tf')}) / 8.0) AS BIGINT) AS raw_gamma,
+  CAST(sum({_VB('gap')} + {_VB('tf')}) AS BIGINT) AS gap_vb, CAST(ceil(sum({_GA('gap')} + {_GA('tf')}) / 8.0) AS BIGINT) AS gap_gamma FROM g GROUP BY 1""",
+)
+def _(spark, sf):
+    return index.code_sizes(_tf(spark, sf))
+
+
+def _round_trip(method: str, gapped: bool):
+    name = f"{method}_{'gap' if gapped else 'raw'}_roundtrip"
+
+    @query(name, _TF + " SELECT term, doc_id, tf FROM tf")
+    def _(spark, sf):
+        return index.decompressed(index.compressed_index(_tf(spark, sf), method, gapped), method, gapped)
+
+
+for _method in ("vb", "gamma"):
+    for _gapped in (True, False):
+        _round_trip(_method, _gapped)
+
+
+# Boolean retrieval
+
+
+def _sql_condition(node) -> str:
+    if isinstance(node, boolean.Term):
+        return f"bool_or(term = '{node.name}')"
+    left, right = _sql_condition(node.left), _sql_condition(node.right)
+    return f"({left} {'OR' if node.sign == '|' else 'AND'} {'NOT ' if node.sign == '-' else ''}{right})"
+
+
+def _boolean(name: str, text: str, sets: bool = False):
+    @query(name, _TF + f" SELECT doc_id FROM tf GROUP BY 1 HAVING {_sql_condition(boolean.parse(text))}")
+    def _(spark, sf):
+        return (boolean.search_by_sets if sets else boolean.search)(_tf(spark, sf), text)
+
+
+_boolean("boolean_and", BOOLEAN_AND)
+_boolean("boolean_or", BOOLEAN_OR)
+_boolean("boolean_not", BOOLEAN_NOT)
+_boolean("boolean_nested", BOOLEAN_NESTED)
+_boolean("boolean_nested_by_sets", BOOLEAN_NESTED, sets=True)
+
+_ALL = ", m AS (SELECT query_id, doc_id, term FROM q JOIN tf USING (term)), need AS (SELECT query_id, count(DISTINCT term) AS need FROM m GROUP BY 1), hit AS (SELECT query_id, doc_id FROM m JOIN need USING (query_id) GROUP BY query_id, doc_id, need HAVING count(*) = need)"
+
+
+@query("and_query", _TF + _ITEMS + _ALL + " SELECT query_id, doc_id FROM hit")
+def _(spark, sf):
+    return retrieval.all_terms(_tf(spark, sf), _asked(spark, sf))
+
+
+@query(
+    "and_query_counted",
+    _TF
+    + _ITEMS
+    + _ALL
+    + """ SELECT query_id, CAST(count(*) AS BIGINT) AS n_terms, coalesce((SELECT CAST(count(*) AS BIGINT) FROM hit h WHERE h.query_id = q.query_id), 0) AS n_matches,
+  CAST(coalesce(sum(df), 0) AS BIGINT) AS posting_length FROM q LEFT JOIN terms USING (term) GROUP BY 1""",
+)
+def _(spark, sf):
+    return retrieval.posting_totals(_tf(spark, sf), _asked(spark, sf))
+
+
+# Phrases
+
+
+@query(
+    "phrase_query",
+    _TF
+    + _PLACES
+    + _ITEMS
+    + _QPLACES
+    + """, n AS (SELECT query_id, count(*) AS need FROM qp GROUP BY 1)
+SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id, at - i AS start, need FROM qp JOIN places USING (term) JOIN n USING (query_id) GROUP BY ALL HAVING count(DISTINCT i) = need)""",
+)
+def _(spark, sf):
+    return positional.phrase(positional.positions(_tokens(spark, sf)), _phrases(spark, sf))
+
+
+def _near_sql(test: str) -> str:
+    return (
+        _TF
+        + _PLACES
+        + _ITEMS
+        + _QPLACES
+        + f""", pr AS (SELECT a.query_id, a.i, a.term AS ta, b.term AS tb FROM qp a JOIN qp b ON a.query_id = b.query_id AND b.i = a.i + 1
+), n AS (SELECT query_id, count(*) AS need FROM pr GROUP BY 1
+), hit AS (SELECT DISTINCT pr.query_id, pr.i, x.doc_id FROM pr JOIN places x ON x.term = ta JOIN places y ON y.term = tb AND y.doc_id = x.doc_id WHERE {test})
+SELECT query_id, doc_id FROM hit JOIN n USING (query_id) GROUP BY query_id, doc_id, need HAVING count(*) = need"""
+    )
+
+
+@query("phrase_pairwise", _near_sql("y.at - x.at = 1"))
+def _(spark, sf):
+    return positional.phrase_pairwise(positional.positions(_tokens(spark, sf)), _phrases(spark, sf))
+
+
+@query("proximity_query", _near_sql("x.at <> y.at AND abs(y.at - x.at) <= 3"))
+def _(spark, sf):
+    return positional.proximity(positional.positions(_tokens(spark, sf)), _phrases(spark, sf))
+
+
+# Ranking
+
+
+def _rank(scheme: str):
+    @query(f"rank_{scheme}", _rank_sql(scheme) + _RANKED)
+    def _(spark, sf):
+        return retrieval.rank(written(_tf(spark, sf), "tf"), _asked(spark, sf), scheme, K)
+
+
+for _scheme in retrieval.SCHEMES:
+    _rank(_scheme)
+
+
+@query("trec_run_lines", _rank_sql("tfidf") + " SELECT concat_ws(' ', query_id, 'Q0', doc_id, rank - 1, printf('%.6f', score)) AS value FROM r WHERE rank <= 10")
+def _(spark, sf):
+    return evaluation.run_lines(retrieval.rank(written(_tf(spark, sf), "tf"), _asked(spark, sf), "tfidf", K))
+
+
+@query("run_id_map", _rank_sql("tfidf") + " SELECT query_id, CAST(rank AS INT) AS rank, score, source AS doc_id FROM r JOIN documents USING (doc_id) WHERE rank <= 10")
+def _(spark, sf):
+    names = _docs(spark, sf).select("doc_id", F.col("source").alias("new_id"))
+    return evaluation.renamed(retrieval.rank(written(_tf(spark, sf), "tf"), _asked(spark, sf), "tfidf", K), names)
+
+
+def _spearman_sql() -> str:
+    a = _rank_sql("tfidf") + " SELECT query_id, doc_id, rank FROM r WHERE rank <= 10"
+    b = _rank_sql("vocab_cf") + " SELECT query_id, doc_id, rank FROM r WHERE rank <= 10"
+    return f"""WITH a AS ({a}), b AS ({b}), met AS (SELECT query_id, doc_id, a.rank AS ra, b.rank AS rb FROM a FULL JOIN b USING (query_id, doc_id)
+), full_ AS (SELECT query_id,
+  coalesce(ra, max(ra) OVER p + sum(CASE WHEN ra IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rb NULLS FIRST, doc_id ROWS UNBOUNDED PRECEDING)) AS ra,
+  coalesce(rb, max(rb) OVER p + sum(CASE WHEN rb IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY ra NULLS FIRST, doc_id ROWS UNBOUNDED PRECEDING)) AS rb
+  FROM met WINDOW p AS (PARTITION BY query_id))
+SELECT query_id, CAST(count(*) AS BIGINT) AS docs, CASE WHEN count(*) > 1 THEN round(1 - 6 * sum((ra - rb) * (ra - rb)) / (CAST(count(*) AS DOUBLE) * (CAST(count(*) AS DOUBLE) * count(*) - 1)), 6) END AS rho
+FROM full_ GROUP BY 1"""
+
+
+@query("run_spearman", _spearman_sql())
+def _(spark, sf):
+    tf, asked = written(_tf(spark, sf), "tf"), _asked(spark, sf)
+    return evaluation.spearman(retrieval.rank(tf, asked, "tfidf", K), retrieval.rank(tf, asked, "vocab_cf", K))
+
+
+@query(
+    "vector_model",
+    _TF
+    + _ITEMS
+    + """, tot AS (SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) AS n FROM tf), idf AS (SELECT term, log10(n / df) AS idf FROM terms, tot
+), dn AS (SELECT doc_id, sqrt(sum(idf * idf)) AS dn FROM tf JOIN idf USING (term) GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(idf * idf)) AS qn FROM q JOIN idf USING (term) GROUP BY 1
+), sc AS (SELECT query_id, doc_id, round(sum(idf * idf) / (any_value(dn) * any_value(qn)), 6) AS score FROM tf JOIN q USING (term) JOIN idf USING (term) JOIN dn USING (doc_id) JOIN qn USING (query_id) WHERE dn > 0 AND qn > 0 GROUP BY ALL
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)"""
+    + _RANKED,
+)
+def _(spark, sf):
+    tf = written(_tf(spark, sf), "tf")
+    n = tf.select("doc_id").distinct().count()
+    idf = statistics.term_statistics(tf).select(F.col("term").alias("term_id"), F.log10(n / F.col("df")).alias("idf"))
+    docs = tf.select("doc_id", F.col("term").alias("term_id"))
+    return retrieval.top(retrieval.vector_cosine(docs, _asked(spark, sf).select("query_id", F.col("term").alias("term_id")), idf), K)
+
+
+# Language identification
+
+_GRAM = {
+    "letters": "SELECT {k}, unnest(regexp_extract_all(lower(text), '[a-z]')) AS gram FROM documents",
+    "bigrams": """SELECT {k}, gram FROM (SELECT {k}, substr(t, unnest(range(1, length(t))), 2) AS gram FROM (SELECT {k}, regexp_replace(lower(text), '[^a-z\\s]', '', 'g') AS t FROM documents)) WHERE gram[1] <> ' '""",
+}
+
+
+def _profile_sql(kind: str) -> str:
+    return f"SELECT lang, gram, CAST(count(*) AS BIGINT) AS n FROM ({_GRAM[kind].format(k='lang')}) WHERE lang IS NOT NULL GROUP BY ALL"
+
+
+def _predict_sql(kind: str) -> str:
+    return f"""WITH m AS ({_profile_sql(kind)}), g AS (SELECT doc_id, gram, count(*) AS n FROM ({_GRAM[kind].format(k='doc_id')}) GROUP BY ALL
+), own AS (SELECT doc_id, count(*) AS g, sum(n) AS sx, sum(n * n) AS sxx, count(*) FILTER (gram IN (SELECT gram FROM m)) AS k FROM g GROUP BY 1
+), l AS (SELECT lang, sum(n) AS sy, sum(CAST(n AS HUGEINT) * n) AS syy FROM m GROUP BY 1), v AS (SELECT count(DISTINCT gram) AS v FROM m
+), xy AS (SELECT doc_id, lang, sum(g.n * m.n) AS sxy FROM g JOIN m USING (gram) GROUP BY ALL
+), r AS (SELECT doc_id, lang, CAST(v + g - k AS DOUBLE) AS n, CAST(sx AS DOUBLE) AS sx, CAST(sxx AS DOUBLE) AS sxx, CAST(sy AS DOUBLE) AS sy, CAST(syy AS DOUBLE) AS syy, CAST(coalesce(sxy, 0) AS DOUBLE) AS sxy
+  FROM own CROSS JOIN l CROSS JOIN v LEFT JOIN xy USING (doc_id, lang)
+), s AS (SELECT doc_id, lang, round((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), 6) AS r FROM r WHERE (n * sxx - sx * sx) * (n * syy - sy * sy) > 0
+), b AS (SELECT doc_id, lang AS lang_pred, r AS correlation FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(r) DESC, lang) AS place FROM s) WHERE place = 1
+), p AS (SELECT d.doc_id, lang_pred, correlation FROM documents d LEFT JOIN b USING (doc_id))"""
+
+
+def _lang(kind: str):
+    @query(f"lang_{kind[:-1]}_profile", _profile_sql(kind))
+    def _(spark, sf):
+        return language.profiles(_docs(spark, sf), kind)
+
+    @query(f"lang_predict_{kind}", _predict_sql(kind) + " SELECT doc_id, lang_pred, correlation FROM p")
+    def _(spark, sf):
+        docs = _docs(spark, sf)
+        return language.predict(docs, written(language.profiles(docs, kind), "profiles"), kind)
+
+    @query(
+        f"lang_accuracy_{kind}",
+        _predict_sql(kind)
+        + """ SELECT lang, CAST(count(*) AS BIGINT) AS docs, CAST(sum(CAST(coalesce(lang = lang_pred, false) AS INT)) AS BIGINT) AS correct,
+  round(avg(CAST(coalesce(lang = lang_pred, false) AS INT)), 6) AS accuracy FROM documents JOIN p USING (doc_id) GROUP BY 1""",
+    )
+    def _(spark, sf):
+        docs = _docs(spark, sf)
+        return language.accuracy(language.predict(docs, written(language.profiles(docs, kind), "profiles"), kind), docs)
+
+
+for _kind in ("letters", "bigrams"):
+    _lang(_kind)
+
+
+@query("language_names", "SELECT CASE lang WHEN 'en' THEN 'English' WHEN 'it' THEN 'Italian' WHEN 'fr' THEN 'French' ELSE lang END AS name, CAST(count(*) AS BIGINT) AS docs FROM documents GROUP BY 1")
+def _(spark, sf):
+    return _docs(spark, sf).groupBy(X.language_name("lang").alias("name")).agg(F.count("*").alias("docs"))
+
+
+# Pages
+
+_HREF = "h AS (SELECT page_id, url, trim(unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))) AS l FROM pages)"
+_BASE = "(CASE WHEN starts_with(url, 'http') THEN url ELSE 'http://' || url END)"
+_LINKS = (
+    f"WITH {_HREF}, links AS (SELECT page_id, url AS src, split_part(CASE WHEN starts_with(l, 'http') THEN l ELSE {_BASE} || (CASE WHEN ends_with({_BASE}, '/') THEN '' ELSE '/' END) || l END, '#', 1) AS dst FROM h WHERE l <> '')"
+)
+_HOST = "regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1)"
+_SITE_LINKS = f"""WITH {_HREF}, links AS (SELECT page_id, url AS src, split_part(CASE WHEN starts_with(l, 'http') THEN l WHEN starts_with(l, '/') THEN {_HOST} || l ELSE {_HOST} || '/' || l END, '#', 1) AS dst FROM h WHERE l <> ''
+), edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM links)"""
+
+
+@query("page_links", _LINKS + " SELECT page_id, src, dst FROM links")
+def _(spark, sf):
+    return graph.links(_table(spark, sf, "pages"))
+
+
+@query("page_links_distinct", _LINKS + " SELECT DISTINCT page_id, src, dst FROM links")
+def _(spark, sf):
+    return graph.links(_table(spark, sf, "pages"), repeats=False)
+
+
+@query("link_graph", _SITE_LINKS + " SELECT src, dst FROM edges")
+def _(spark, sf):
+    return graph.edges(graph.links(_table(spark, sf, "pages"), resolve=True))
+
+
+_URLS = """WITH u AS (SELECT page_id, url, regexp_extract(url, '^([^:]*)://([^/]*)(.*)$', 1) AS protocol, regexp_extract(url, '^([^:]*)://([^/]*)(.*)$', 2) AS host, regexp_extract(url, '^([^:]*)://([^/]*)(.*)$', 3) AS path FROM pages
+), urls AS (SELECT *, CAST(length(path) - length(replace(path, '/', '')) AS BIGINT) AS path_slashes, CAST(length(url) - length(replace(url, '/', '')) AS BIGINT) AS p_depth, regexp_matches(url, '[?=&%]') AS dynamic FROM u)"""
+
+
+@query("url_parts", _URLS + " SELECT page_id, url, protocol, host, path, path_slashes, p_depth, dynamic FROM urls")
+def _(spark, sf):
+    return graph.url_table(_table(spark, sf, "pages"))
+
+
+@query(
+    "page_depth_hist",
+    _URLS
+    + """ SELECT depth, CAST(coalesce(sum(CAST(NOT dynamic AS INT)), 0) AS BIGINT) AS static, CAST(coalesce(sum(CAST(dynamic AS INT)), 0) AS BIGINT) AS dynamic
+FROM (SELECT unnest(range(0, (SELECT max(p_depth) + 1 FROM urls))) AS depth) LEFT JOIN urls ON depth = p_depth GROUP BY 1""",
+)
+def _(spark, sf):
+    return graph.depth_histogram(graph.url_table(_table(spark, sf, "pages")))
+
+
+@query("page_dynamic_share", _URLS + " SELECT dynamic, CAST(count(*) AS BIGINT) AS pages FROM urls GROUP BY 1")
+def _(spark, sf):
+    return graph.dynamic_share(graph.url_table(_table(spark, sf, "pages")))
+
+
+@query("site_cap_pages", _URLS + " SELECT page_id, url, host FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS place FROM urls) WHERE place <= 3")
+def _(spark, sf):
+    return graph.per_site(graph.url_table(_table(spark, sf, "pages")), 3).select("page_id", "url", "host")
+
+
+def _seeds(pages: DataFrame) -> DataFrame:
+    """The first page of each host."""
+    return graph.per_site(graph.url_table(pages), 1).select("url")
+
+
+@query("crawl_levels")
+def _(spark, sf):
+    pages = _table(spark, sf, "pages")
+    return graph.crawl(pages, _seeds(pages))
+
+
+def _pagerank_sql(steps: int = 10) -> str:
+    ctes = [
+        _SITE_LINKS,
+        "nodes AS MATERIALIZED (SELECT src AS id FROM edges UNION SELECT dst FROM edges)",
+        "cnt AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes)",
+        "deg AS MATERIALIZED (SELECT src AS id, count(*) AS out FROM edges GROUP BY 1)",
+        "p0 AS MATERIALIZED (SELECT id, 1 / n AS score FROM nodes, cnt)",
+    ]
+    for i in range(steps):
+        ctes.append(
+            f"p{i + 1} AS MATERIALIZED (SELECT n.id, 0.2::DOUBLE / cnt.n + 0.8::DOUBLE * (coalesce(g.got, 0) + d.lost / cnt.n) AS score FROM nodes n CROSS JOIN cnt"
+            f" CROSS JOIN (SELECT coalesce(sum(score), 0) AS lost FROM p{i} WHERE id NOT IN (SELECT id FROM deg)) d"
+            f" LEFT JOIN (SELECT e.dst AS id, sum(p.score / deg.out) AS got FROM edges e JOIN p{i} p ON p.id = e.src JOIN deg ON deg.id = e.src GROUP BY 1) g ON g.id = n.id)"
+        )
+    return ", ".join(ctes)
+
+
+def _hits_sql(steps: int = 5) -> str:
+    ctes = [_SITE_LINKS, "nodes AS MATERIALIZED (SELECT src AS id FROM edges UNION SELECT dst FROM edges)", "h0 AS MATERIALIZED (SELECT id, CAST(1.0 AS DOUBLE) / (SELECT count(*) FROM nodes) AS v FROM nodes)"]
+    for i in range(steps):
+        ctes.append(f"ra{i + 1} AS MATERIALIZED (SELECT e.dst AS id, sum(v) AS v FROM edges e JOIN h{i} h ON h.id = e.src GROUP BY 1), a{i + 1} AS MATERIALIZED (SELECT id, v / (SELECT sum(v) FROM ra{i + 1}) AS v FROM ra{i + 1})")
+        ctes.append(f"rh{i + 1} AS MATERIALIZED (SELECT e.src AS id, sum(v) AS v FROM edges e JOIN a{i + 1} a ON a.id = e.dst GROUP BY 1), h{i + 1} AS MATERIALIZED (SELECT id, v / (SELECT sum(v) FROM rh{i + 1}) AS v FROM rh{i + 1})")
+    return ", ".join(ctes)
+
+
+@query("pagerank", _pagerank_sql() + " SELECT id, round(score, 9) AS score FROM p10")
+def _(spark, sf):
+    e = graph.edges(graph.links(_table(spark, sf, "pages"), resolve=True))
+    return graph.pagerank(e).select("id", F.round("score", 9).alias("score"))
+
+
+@query("hits", _hits_sql() + " SELECT n.id, round(coalesce(h.v, 0), 9) AS hub, round(coalesce(a.v, 0), 9) AS authority FROM nodes n LEFT JOIN h5 h USING (id) LEFT JOIN a5 a USING (id)")
+def _(spark, sf):
+    e = graph.edges(graph.links(_table(spark, sf, "pages"), resolve=True))
+    return graph.hits(e, 5).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
+
+
+@query(
+    "overlap_curve",
+    _pagerank_sql()
+    + """, indeg AS (SELECT n.id, count(e.dst) AS k FROM nodes n LEFT JOIN edges e ON e.dst = n.id GROUP BY 1
+), a AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS row FROM p10), b AS (SELECT id, row_number() OVER (ORDER BY k DESC, id) AS row FROM indeg
+), at AS (SELECT greatest(a.row, b.row) AS i, count(*) AS n FROM a JOIN b USING (id) GROUP BY 1)
+SELECT a.row - 1 AS i, round(coalesce(sum(coalesce(n, 0)) OVER (ORDER BY a.row), 0) / (SELECT count(*) FROM nodes), 6) AS overlap FROM a LEFT JOIN at ON at.i = a.row - 1""",
+)
+def _(spark, sf):
+    e = written(graph.edges(graph.links(_table(spark, sf, "pages"), resolve=True)), "edges")
+    ranks = numbered(graph.pagerank(e).select("id", F.round("score", 9).alias("score")), F.desc("score"), F.col("id"))
+    into = graph.nodes(e).join(e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("k")), "id", "left").select("id", F.coalesce("k", F.lit(0)).alias("k"))
+    return graph.overlap(ranks, numbered(into, F.desc("k"), F.col("id")))
+
+
+@query("html_visible_text")
+def _(spark, sf):
+    return _table(spark, sf, "pages").select("page_id", visible_text("html").alias("text"))
+
+
+@query("html_terms")
+def _(spark, sf):
+    pages = _table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), visible_text("html").alias("text"))
+    return statistics.term_statistics(tokenize.term_frequencies(tokenize.typed_tokens(pages)))
+
+
+@query("vb_size", f"SELECT doc_id, CAST({_VB('n_chars + 1')} AS BIGINT) AS vb_bytes, CAST({_GA('n_chars + 1')} AS BIGINT) AS gamma_bits FROM documents")
+def _(spark, sf):
+    n = F.col("n_chars") + 1
+    return _docs(spark, sf).select("doc_id", compress.vb_bytes(n).alias("vb_bytes"), compress.gamma_bits(n).alias("gamma_bits"))
+
+
+@query("event_windows", "SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS VARCHAR) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    from .streaming.incremental import event_counts
+
+    rows = event_counts(_table(spark, sf, "events"))
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("value", 6).alias("value"))
