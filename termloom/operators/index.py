@@ -87,9 +87,9 @@ def compressed_index(tf: DataFrame, method: str = "gamma", gapped: bool = True)
 def decompressed(index: DataFrame, method: str = "gamma", gapped: bool = True) -> DataFrame:
     """``term, doc_id, tf`` of a compressed index."""
     numbers = compress.ungamma("data", "padding") if method == "gamma" else compress.unvb("data")
-    rows = index.select("term", numbers.alias("n")).select(
-        "term", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("n") / 2 - 1), lambda i: F.struct(F.get("n", (i * 2).cast("int")).alias("gap"), F.get("n", (i * 2 + 1).cast("int")).alias("tf")))).alias("i", "r")
-    )
+    at = lambda i: F.get("n", i.cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("n") / 2).cast("int") - 1), lambda i: F.struct(at(i * 2).alias("gap"), at(i * 2 + 1).alias("tf")))
+    rows = index.select("term", numbers.alias("n")).select("term", F.posexplode(pairs).alias("i", "r"))
     rows = rows.select("term", "i", F.col("r.gap").alias("gap"), F.col("r.tf").alias("tf"))
     ids = ungap(rows) if gapped else rows.withColumn("doc_id", F.col("gap"))
     return ids.select("term", (F.col("doc_id") - 1).alias("doc_id"), "tf")

@@ -75,7 +75,7 @@ _TF = (
   SELECT term, CAST(sum(tf) AS BIGINT) AS cf, CAST(count(*) AS BIGINT) AS df FROM tf GROUP BY ALL
 )"""
 )
-_PLACES = ", places AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS at FROM tok WHERE term IS NOT NULL)"
+_PLACES = ", places AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place FROM tok WHERE term IS NOT NULL)"
 _ITEMS = """, qtok AS (
   SELECT query_id, pos, CASE WHEN length(t) BETWEEN 3 AND 25 THEN t END AS term FROM (
     SELECT query_id, pos, regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g') AS t FROM (
@@ -355,7 +355,7 @@ def _(spark, sf):
 
 @query(
     "positional_index",
-    _TF + _PLACES + " SELECT term, doc_id, CAST(count(*) AS BIGINT) AS tf, string_agg(CAST(at AS VARCHAR), ' ' ORDER BY at) AS positions FROM places GROUP BY 1, 2",
+    _TF + _PLACES + " SELECT term, doc_id, CAST(count(*) AS BIGINT) AS tf, string_agg(CAST(place AS VARCHAR), ' ' ORDER BY place) AS positions FROM places GROUP BY 1, 2",
 )
 def _(spark, sf):
     return index.positional_index(_tokens(spark, sf)).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
@@ -471,7 +471,7 @@ def _(spark, sf):
     + _ITEMS
     + _QPLACES
     + """, n AS (SELECT query_id, count(*) AS need FROM qp GROUP BY 1)
-SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id, at - i AS start, need FROM qp JOIN places USING (term) JOIN n USING (query_id) GROUP BY ALL HAVING count(DISTINCT i) = need)""",
+SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id, place - i AS start, need FROM qp JOIN places USING (term) JOIN n USING (query_id) GROUP BY ALL HAVING count(DISTINCT i) = need)""",
 )
 def _(spark, sf):
     return positional.phrase(positional.positions(_tokens(spark, sf)), _phrases(spark, sf))
@@ -490,12 +490,12 @@ SELECT query_id, doc_id FROM hit JOIN n USING (query_id) GROUP BY query_id, doc_
     )
 
 
-@query("phrase_pairwise", _near_sql("y.at - x.at = 1"))
+@query("phrase_pairwise", _near_sql("y.place - x.place = 1"))
 def _(spark, sf):
     return positional.phrase_pairwise(positional.positions(_tokens(spark, sf)), _phrases(spark, sf))
 
 
-@query("proximity_query", _near_sql("x.at <> y.at AND abs(y.at - x.at) <= 3"))
+@query("proximity_query", _near_sql("x.place <> y.place AND abs(y.place - x.place) <= 3"))
 def _(spark, sf):
     return positional.proximity(positional.positions(_tokens(spark, sf)), _phrases(spark, sf))
 
