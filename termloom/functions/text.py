@@ -124,12 +124,8 @@ def letters(c) -> Column:
 
 def bigrams(c) -> Column:
     """Pairs of neighbours among letters and white space whose first is not a space."""
-    text = F.regexp_replace(F.lower(c), r"[^a-z\s]", "")
-    pairs = F.transform(
-        F.when(F.length(text) > 1, F.sequence(F.lit(1), F.length(text) - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.substring(text, i, F.lit(2)),
-    )
-    return F.filter(pairs, lambda p: ~p.startswith(" "))
+    chars = F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z\s]", ""), ""), lambda x: x != "")
+    return F.filter(F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b)), lambda p: p.isNotNull() & ~p.startswith(" "))
 
 
 def language_name(c) -> Column:

@@ -31,7 +31,7 @@ def url_table(pages: DataFrame) -> DataFrame:
 
 def depth_histogram(pages: DataFrame, column: str = "p_depth") -> DataFrame:
     """``depth, static, dynamic`` for every depth from 0 to the greatest, zero where there is none."""
-    counts = pages.groupBy(column).pivot("dynamic", [False, True]).agg(F.count("*")).toDF("depth", "static", "dynamic")
+    counts = pages.groupBy(column).pivot("dynamic", [False, True]).agg(F.count(F.lit(1))).toDF("depth", "static", "dynamic")
     last = pages.agg(F.max(column).alias("last"))
     every = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("depth"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -564,7 +564,7 @@ def _(spark, sf):
 
 _GRAM = {
     "letters": "SELECT {k}, unnest(regexp_extract_all(lower(text), '[a-z]')) AS gram FROM documents",
-    "bigrams": """SELECT {k}, gram FROM (SELECT {k}, substr(t, unnest(range(1, length(t))), 2) AS gram FROM (SELECT {k}, regexp_replace(lower(text), '[^a-z\\s]', '', 'g') AS t FROM documents)) WHERE gram[1] <> ' '""",
+    "bigrams": """SELECT {k}, a || b AS gram FROM (SELECT {k}, unnest(l) AS a, unnest(l[2:]) AS b FROM (SELECT {k}, string_split(regexp_replace(lower(text), '[^a-z\\s]', '', 'g'), '') AS l FROM documents)) WHERE b IS NOT NULL AND a <> ' '""",
 }
 
 
@@ -723,8 +723,8 @@ def _(spark, sf):
     _pagerank_sql()
     + """, indeg AS (SELECT n.id, count(e.dst) AS k FROM nodes n LEFT JOIN edges e ON e.dst = n.id GROUP BY 1
 ), a AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS row FROM p10), b AS (SELECT id, row_number() OVER (ORDER BY k DESC, id) AS row FROM indeg
-), at AS (SELECT greatest(a.row, b.row) AS i, count(*) AS n FROM a JOIN b USING (id) GROUP BY 1)
-SELECT a.row - 1 AS i, round(coalesce(sum(coalesce(n, 0)) OVER (ORDER BY a.row), 0) / (SELECT count(*) FROM nodes), 6) AS overlap FROM a LEFT JOIN at ON at.i = a.row - 1""",
+), met AS (SELECT greatest(a.row, b.row) AS i, count(*) AS n FROM a JOIN b USING (id) GROUP BY 1)
+SELECT a.row - 1 AS i, round(coalesce(sum(coalesce(n, 0)) OVER (ORDER BY a.row), 0) / (SELECT count(*) FROM nodes), 6) AS overlap FROM a LEFT JOIN met ON met.i = a.row - 1""",
 )
 def _(spark, sf):
     e = written(graph.edges(graph.links(_table(spark, sf, "pages"), resolve=True)), "edges")
