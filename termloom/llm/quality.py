@@ -119,8 +119,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.raw(ids, values, starts)[0], -35, 35)))
 
 
-def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float = 0.03) -> Model:
-    """Minibatch Adam on the logistic loss."""
+def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, epochs: int = 12, rate: float = 0.03, least_steps: int = 400) -> Model:
+    """Minibatch Adam on the logistic loss, at least ``least_steps`` batches."""
     share = float(labels.mean()) if len(labels) else 0.5
     base = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     count = len(MARKS) + 15
@@ -131,6 +131,7 @@ def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, epochs
         model.v[:] = 0
         return model
     rng = np.random.default_rng(11)
+    epochs = max(epochs, -(-least_steps // -(-len(labels) // 256)))
     params = {"w": model.w, "v": model.v}
     moments = {k: (np.zeros_like(p), np.zeros_like(p)) for k, p in params.items()}
     step = 0
