@@ -14,7 +14,7 @@ from .functions.html import visible_text
 from .functions.stem import stems
 from .operators import evaluation, graph, index, language, positional, retrieval, statistics, tokenize
 from .plans import boolean
-from .plans.common import numbered, written
+from .plans.common import numbered, spread, written
 
 K = 10
 BOOLEAN_AND, BOOLEAN_OR, BOOLEAN_NOT = "that & with", "dans | nicht", "that - with"
@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark, sf_dir):
-    return _table(spark, sf_dir, "documents")
+    return spread(_table(spark, sf_dir, "documents"))
 
 
 def _tokens(spark, sf_dir):
