@@ -296,8 +296,8 @@ def test_mix(spark, docs):
     key = ["doc_id", "size", "source_size", "target", "taken"]
     assert a.sort_values(key).reset_index(drop=True).equals(b.sort_values(key).reset_index(drop=True))
     assert (a["taken"] <= 3 * a["size"]).all()
-    per = a.groupby(["source_size", "target"])["taken"].sum().reset_index()
-    assert (abs(per["taken"] - per["target"]) < 0.15 * per["target"]).all()
+    per = a.groupby(["source_size", "target"]).agg(taken=("taken", "sum"), most=("size", "max")).reset_index()
+    assert (abs(per["taken"] - per["target"]) <= per["most"]).all()  # along sizes, a document's size bounds the miss
     taken = mixing.take(table)
     assert taken.columns == table.columns
     counts = collections.Counter(r.doc_id for r in taken.select("doc_id").collect())
