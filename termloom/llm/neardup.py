@@ -1,20 +1,24 @@
 """Near duplicates by a containment ensemble of MinHash tables.
 
 Texts are sets of hashed five-word shingles. Texts are split by set size into partitions that double in
-size. Two texts are linked if the smaller's set is contained to at least 0.8 in the larger's, whose size is
-at most ``RATIO`` times as large. For a pair of partitions that containment bounds the Jaccard similarity
-from below; bands and rows are tuned for each bound, a text looks up its own partition and the next with
-their own bandings, and every candidate is checked on the exact sets.
+size. Two texts are linked if the smaller's set is contained to at least 0.8 in the larger's, whatever their
+sizes. Within a partition that containment bounds the Jaccard similarity from below; bands and rows are
+tuned for that bound, and texts meet in the partition's tables. Towards larger partitions the bound falls
+with the ratio of sizes and banding would need thousands of hashes, so there the lookup is asymmetric: a
+text asks with its ``ASKED`` least shingle hashes, larger texts answer with all their shingles, and a pair is
+a candidate if ``ANSWERED`` of the asked ones are met. That finds a set contained to 0.8 with probability
+0.99 for any ratio of sizes, and always if it has under 40 shingles. Larger texts send only shingles that a
+filter of the asked ones lets through; what it lets through by chance only costs time. Every candidate is
+checked on the exact sets.
 
 Classes: texts linked with Jaccard similarity of at least ``CLOSE`` (so of similar size) are in one class
 (connected components). A class whose largest text is only contained in a larger text of another class (a
 cut version of it) joins one such class, that of the best container, so two texts never meet merely by
 sharing a contained third.
 
-No bucket emits all its pairs. Texts that share many buckets with others come first in a bucket, as the
-original of a group of edited copies does. In the first round every text of a bucket meets the bucket's
-first few; then classes are formed, and in further rounds one text a class and bucket meets the first few
-and its neighbours in the order, until a round finds no link.
+First rounds make most classes cheaply: every text of a bucket meets the bucket's first few (texts that
+share many buckets come first, as the original of a group of edited copies does), then one text a class and
+bucket meets the first few and its neighbours in the order.
 
 Defined cases: equal texts are one text with several rows; a text of one to four words has one shingle of
 all its words; texts without words equal only themselves; null text counts as empty; repeated rows
@@ -38,11 +42,13 @@ from .common import materialise, small_or_shuffled
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RATIO = 2.0
 CLOSE = 0.5
 LEADERS = 4
+ASKED = 16
+ANSWERED = 9
 HASHES = 64
-ROUNDS = 6
+ROUNDS = 3
+ALIKE, ASKS, ANSWERS = 0, 1, 2  # roles of a text in a bucket
 _WORD = re.compile(r"[^\W_]+")
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -99,36 +105,36 @@ def banding(bound: float) -> tuple[int, int]:
     return (best[1], best[2]) if best else (HASHES, 1)
 
 
-def bound(part: int, step: int) -> float:
-    """Least Jaccard similarity of a linked pair whose partitions are ``part - step`` and ``part``.
+def bound(part: int) -> float:
+    """Least Jaccard similarity of a linked pair within a partition.
 
     With containment c and sizes a <= b it is c a / (a + b - c a), least where b / a is largest: the
-    partition's largest size over the smallest of the lower one, RATIO at most.
+    partition's largest size over its smallest.
     """
-    ratio = min(RATIO, (2.0**part - 1) / max(1.0, 2.0 ** (part - 1 - step)))
+    ratio = (2.0**part - 1) / 2.0 ** (part - 1)
     return SIMILARITY / (1 + ratio - SIMILARITY)
 
 
 def buckets(n: int, sig: np.ndarray) -> np.ndarray:
-    """Bucket numbers: the own partition's table, and the next partition's for texts from below."""
+    """Bucket numbers in the own partition's tables."""
     if n == 0:
         return np.zeros(0, np.uint64)
     part = int(n).bit_length()
-    out = []
+    bands, rows = banding(bound(part))
     with np.errstate(over="ignore"):
-        for step, of in ((0, part), (1, part), (1, part + 1)):  # the own table; as host; as visitor
-            bands, rows = banding(bound(of, step))
-            if step and of == part and part == 1:
-                continue  # nothing is smaller
-            h = np.full(bands, (of * 4 + step) * 1000003 + 17, np.uint64) + np.arange(bands, dtype=np.uint64)
-            for r in range(rows):
-                h = (h ^ sig[r * bands : (r + 1) * bands].astype(np.uint64)) * _G
-                h ^= h >> np.uint64(31)
-            out.append(h)
-    return np.concatenate(out)
+        h = np.full(bands, part * 4 * 1000003 + 17, np.uint64) + np.arange(bands, dtype=np.uint64)
+        for r in range(rows):
+            h = (h ^ sig[r * bands : (r + 1) * bands].astype(np.uint64)) * _G
+            h ^= h >> np.uint64(31)
+    return h
+
+
+def asked(s: np.ndarray) -> np.ndarray:
+    """The shingles looked up in larger texts."""
+    return s[:ASKED]
 
 
-_SKETCH = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
+_SKETCH = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("asked", T.ArrayType(T.LongType()))])
 
 
 @F.pandas_udf(_SKETCH)
@@ -137,8 +143,38 @@ def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = []
         for x in s:
             sh = shingles(x)
-            rows.append((len(sh), buckets(len(sh), signature(sh)).view(np.int64)))
-        yield pd.DataFrame(rows, columns=["n", "buckets"])
+            rows.append((len(sh), buckets(len(sh), signature(sh)).view(np.int64), asked(sh).view(np.int64)))
+        yield pd.DataFrame(rows, columns=["n", "buckets", "asked"])
+
+
+def _answers(docs: DataFrame, asks: DataFrame) -> DataFrame:
+    """``key, n, bucket`` of the shingles of all texts that the filter of the asked ones lets through.
+
+    The filter is a bit table of about 32 bits an asked shingle, 64 MB at most; it only saves rows.
+    """
+    bits = min(29, max(20, (32 * asks.count()).bit_length()))
+    low = F.col("bucket").bitwiseAND(F.lit((1 << bits) - 1))
+    made = asks.groupBy(F.shiftright(low, 15).cast("int").alias("at")).agg(F.bitmap_construct_agg(low.bitwiseAND(F.lit(32767))).alias("m")).toPandas()
+    table = np.zeros((1 << (bits - 15), 4096), np.uint8)
+    for at, m in zip(made["at"], made["m"]):
+        table[at] = np.frombuffer(m, np.uint8)
+    packed = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+    kind = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("met", T.ArrayType(T.LongType()))])
+
+    @F.pandas_udf(kind)
+    def met(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        flags = np.frombuffer(packed.value, np.uint8)
+        for s in batches:
+            rows = []
+            for x in s:
+                sh = shingles(x)
+                v = sh & np.uint64((1 << bits) - 1)
+                hit = (flags[v >> np.uint64(3)] >> (v & np.uint64(7)).astype(np.uint8)) & 1
+                rows.append((len(sh), sh[hit.astype(bool)].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["n", "met"])
+
+    found = keyed(docs.select("text")).select("key", met(F.col("text").cast("string")).alias("k"))
+    return found.select("key", "k.n", F.explode("k.met").alias("bucket"))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -186,60 +222,94 @@ def _check(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(swap("a", "b").alias("a"), swap("b", "a").alias("b"), swap("na", "nb").alias("na"), swap("nb", "na").alias("nb"), "common")
 
 
+def _part(n: str):
+    """The number of the size partition: the bits of n."""
+    return F.length(F.bin(F.col(n).cast("long")))
+
+
+def _shared(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``bucket, key, n, role, many`` of the rows that can meet another of their bucket."""
+    asks = texts.select("key", "n", F.explode("asked").alias("bucket"))
+    rows = texts.select("key", "n", F.explode("buckets").alias("bucket"), F.lit(ALIKE).alias("role"))
+    rows = rows.unionByName(asks.withColumn("role", F.lit(ASKS))).unionByName(_answers(docs, asks).withColumn("role", F.lit(ANSWERS)))
+    bucket = Window.partitionBy("bucket", "alike")
+    met = rows.withColumn("alike", F.col("role") == ALIKE).withColumn("part", _part("n"))
+    met = met.withColumn("many", F.count("*").over(bucket))
+    met = met.withColumn("least", F.min(F.when(F.col("role") == ASKS, F.col("part"))).over(bucket)).withColumn("most", F.max(F.when(F.col("role") == ANSWERS, F.col("part"))).over(bucket))
+    fit = F.when(F.col("role") == ALIKE, F.col("many") > 1).when(F.col("role") == ASKS, F.col("part") < F.col("most")).otherwise(F.col("part") > F.col("least"))
+    return met.where(fit).dropDuplicates(["bucket", "alike", "key", "role"]).select("bucket", "key", "n", "role", "many")
+
+
+def _fit(role: str, n: str, other_role: str, other_n: str):
+    """Whether two rows of a bucket may make a pair."""
+    ask = lambda r, m, o, k: (F.col(r) == ASKS) & (F.col(o) == ANSWERS) & (_part(m) < _part(k))
+    return ((F.col(role) == ALIKE) & (F.col(other_role) == ALIKE)) | ask(role, n, other_role, other_n) | ask(other_role, other_n, role, n)
+
+
+def _answered(n: str):
+    """Asked shingles that must be met: all but those that a link of so small a set may lack, else ``ANSWERED``."""
+    return F.greatest(F.least(F.lit(ASKED), F.col(n)) - F.floor(F.col(n) / 5), F.least(F.lit(ANSWERED), F.col(n)))
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """``a, b`` of rows met in buckets, a the smaller set; a pair has rows of one kind."""
+    own, other = F.struct("n", "key"), F.struct(F.col("o_n").alias("n"), F.col("o_key").alias("key"))
+    low, high = F.least(own, other), F.greatest(own, other)
+    need = F.when(F.col("role") == ALIKE, 1).otherwise(_answered("low.n")).alias("need")
+    met = met.select("role", low.alias("low"), high.alias("high")).select(F.col("low.key").alias("a"), F.col("high.key").alias("b"), need)
+    return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("need").alias("need")).where("met >= need").select("a", "b")
+
+
 def _pairs(members: DataFrame, neighbours: bool) -> DataFrame:
     """Candidates ``a, b``: each row with its bucket's first few, and if asked with those just before it."""
-    order = Window.partitionBy("bucket").orderBy(F.desc("degree"), F.desc("n"), "key")
-    one = F.struct("key", "n")
+    order = Window.partitionBy("bucket").orderBy(F.desc("role"), F.desc("degree"), F.desc("n"), "key")
+    one = F.struct("key", "n", "role")
     others = [F.nth_value(one, k + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) for k in range(LEADERS)]
     others += [F.lag(one, k).over(order) for k in range(1, LEADERS + 1)] if neighbours else []
-    met = members.withColumn("others", F.array_compact(F.array(*others))).select("key", "n", F.explode("others").alias("o"))
-    fit = F.greatest("o.n", "n") <= RATIO * F.least("o.n", "n")
-    a, b = F.least("o.key", "key").alias("a"), F.greatest("o.key", "key").alias("b")
-    return met.where((F.col("o.key") != F.col("key")) & fit).select(a, b).distinct()
+    met = members.withColumn("others", F.array_compact(F.array(*others))).select("key", "n", "role", F.explode("others").alias("o"))
+    met = met.select("key", "n", "role", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("key", "n", "role")])
+    return _candidates(met.where((F.col("o_key") != F.col("key")) & _fit("role", "n", "o_role", "o_n")))
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts ``key, n, first_id, rows, class, n_links`` and links ``a, b, na, nb, common``."""
+    """Texts ``key, n, first_id, rows, class`` and links ``a, b, na, nb, common`` (all those between classes)."""
     contained = F.col("common") >= SIMILARITY * F.col("na")
     sketched = keyed(docs.select("doc_id", "text")).select("key", "doc_id", _sketch(F.col("text").cast("string")).alias("k"))
     texts = materialise(
         sketched.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.any_value("k").alias("k")).select("key", "first_id", "rows", "k.*"),
         "near-texts",
     )
-    bucket = Window.partitionBy("bucket")
-    shared = materialise(
-        texts.select("key", "n", F.explode("buckets").alias("bucket")).withColumn("many", F.count("*").over(bucket)).where("many > 1"),
-        "near-buckets",
-    )
+    shared = materialise(_shared(texts, docs), "near-buckets")
     degree = shared.groupBy("key").agg(F.sum(F.col("many") - 1).alias("degree"))
     shared = materialise(shared.drop("many").join(degree, "key"), "near-shared")
-    checked, tried, near_classes = None, None, None
-    for number in range(ROUNDS):
-        members = shared
-        if checked is not None:
-            near = checked.where(F.col("common") >= CLOSE * (F.col("na") + F.col("nb") - F.col("common"))).where(contained)
-            near_classes = materialise(_components(near, "near-components"), "near-classes")
-            classed = shared.join(near_classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
-            members = classed.groupBy("bucket", "class").agg(F.max(F.struct("degree", "n", "key")).alias("m")).select("bucket", "m.*")
-        new = _pairs(members, neighbours=number > 0)
-        new = new if tried is None else new.join(tried, ["a", "b"], "left_anti")
-        new = materialise(new, "near-pairs")
-        if number and new.isEmpty():
-            break
+    checked, tried = None, None
+
+    def classed(df: DataFrame) -> DataFrame:
+        near = checked.where(F.col("common") >= CLOSE * (F.col("na") + F.col("nb") - F.col("common"))).where(contained)
+        near_classes = materialise(_components(near, "near-components"), "near-classes")
+        return df.join(near_classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
+
+    def check(new: DataFrame) -> bool:
+        """Whether untried candidates among ``new`` are links."""
+        nonlocal checked, tried
+        new = materialise(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         found = materialise(_check(new, docs), "near-checked")
         checked = found if checked is None else checked.union(found)
         tried = new if tried is None else tried.union(new)
-        if number and found.where(contained).isEmpty():
+        return not found.where(contained).isEmpty()
+
+    check(_pairs(shared, neighbours=False))
+    for _ in range(1, ROUNDS):
+        members = classed(shared).groupBy("bucket", "class", "role").agg(F.max(F.struct("degree", "n", "key")).alias("m")).select("bucket", "role", "m.*")
+        if not check(_pairs(members, neighbours=True)):
             break
-    links = checked.where(contained)
-    return texts.drop("buckets").join(near_classes, "key", "left").withColumn("class", F.coalesce("class", "key")), links
+    return classed(texts.drop("buckets", "asked")), checked.where(contained)
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
-    """``key, class_key, class_id, keeper (key, doc_id), n_links`` of every distinct text."""
+    """``key, class, class_id, class_rows, keeper (key, first_id)`` of every distinct text."""
     texts, links = link(docs)
     texts = materialise(texts, "near-classed")
-    ends = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     own = texts.groupBy("class").agg(F.max_by("key", F.struct("n", F.col("key"))).alias("top"))
     of = texts.select("key", "class")
     inside = (
@@ -260,8 +330,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
     rooted = (
         texts.join(jump.withColumnRenamed("from", "class"), "class", "left")
         .withColumn("class", F.coalesce("to", "class"))
-        .join(ends, "key", "left")
-        .select("key", "n", "first_id", "rows", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("key", "n", "first_id", "rows", "class")
     )
     rooted = materialise(rooted, "near-rooted")
     whole = rooted.groupBy("class").agg(
@@ -271,9 +340,9 @@ def text_classes(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, class_rows, n_links`` of every row; ``n_links`` counts links to other texts."""
-    found = materialise(text_classes(docs).select("key", "class_id", "class_rows", "n_links"), "near-result")
-    return keyed(docs.select("doc_id", "text")).select("doc_id", "key").join(found, "key").select("doc_id", "class_id", "class_rows", "n_links")
+    """``doc_id, class_id, class_rows`` of every row."""
+    found = materialise(text_classes(docs).select("key", "class_id", "class_rows"), "near-result")
+    return keyed(docs.select("doc_id", "text")).select("doc_id", "key").join(found, "key").select("doc_id", "class_id", "class_rows")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

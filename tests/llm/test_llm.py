@@ -185,6 +185,19 @@ def test_near_duplicates(spark, docs):
     assert neardup.classes(empty(spark)).count() == 0
 
 
+def test_near_duplicates_far_larger(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(20000)]
+    long = [list(rng.choice(words, 900)) for _ in range(12)]
+    rows = [" ".join(x) for x in long]
+    for x in long:  # cuts of a thirtieth and of a third, and a cut with a changed word
+        rows += [" ".join(x[100:130]), " ".join(x[300:600]), " ".join([*x[700:740], "changed", *x[741:781]])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
+    assert all(got[12 + 3 * i + j] == i for i in range(12) for j in range(3))
+    assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == list(range(12))
+
+
 # languages
 
 
