@@ -18,7 +18,9 @@ sharing a contained third.
 
 First rounds make most classes cheaply: every text of a bucket meets the bucket's first few (texts that
 share many buckets come first, as the original of a group of edited copies does), then one text a class and
-bucket meets the first few and its neighbours in the order.
+bucket meets the first few and its neighbours in the order. After them every pair of a bucket that is still
+in two classes is checked, in blocks of a bucket, and the classes are formed anew; pairs within a class need
+no check, as they can change neither the classes nor what these join.
 
 Defined cases: equal texts are one text with several rows; a text of one to four words has one shingle of
 all its words; texts without words equal only themselves; null text counts as empty; repeated rows
@@ -46,6 +48,7 @@ CLOSE = 0.5
 LEADERS = 4
 ASKED = 16
 ANSWERED = 9
+BLOCK = 500
 HASHES = 64
 ROUNDS = 3
 ALIKE, ASKS, ANSWERS = 0, 1, 2  # roles of a text in a bucket
@@ -271,6 +274,23 @@ def _pairs(members: DataFrame, neighbours: bool) -> DataFrame:
     return _candidates(met.where((F.col("o_key") != F.col("key")) & _fit("role", "n", "o_role", "o_n")))
 
 
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """All candidates ``a, b`` of a bucket that are in two classes.
+
+    A bucket's rows are split into blocks; every block meets every other of its bucket in a group of
+    its own, so no task holds the pairs of a large bucket.
+    """
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("bucket")) / BLOCK).cast("int")
+    rows = members.select("bucket", "key", "n", "role", "class", blocks.alias("blocks"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    all_blocks = lambda: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.where(F.col("role") != ANSWERS).select("bucket", F.col("block").alias("x"), all_blocks().alias("y"), "key", "n", "role", "class")
+    right = rows.where(F.col("role") != ASKS).select("bucket", all_blocks().alias("x"), F.col("block").alias("y"), *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "role", "class")])
+    once = (F.col("role") != ALIKE) | (F.col("key") < F.col("o_key"))
+    met = left.join(right, ["bucket", "x", "y"]).where((F.col("class") != F.col("o_class")) & once & _fit("role", "n", "o_role", "o_n"))
+    return _candidates(met)
+
+
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts ``key, n, first_id, rows, class`` and links ``a, b, na, nb, common`` (all those between classes)."""
     contained = F.col("common") >= SIMILARITY * F.col("na")
@@ -303,6 +323,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         members = classed(shared).groupBy("bucket", "class", "role").agg(F.max(F.struct("degree", "n", "key")).alias("m")).select("bucket", "role", "m.*")
         if not check(_pairs(members, neighbours=True)):
             break
+    check(_all_pairs(classed(shared)))
     return classed(texts.drop("buckets", "asked")), checked.where(contained)
 
 

@@ -198,6 +198,24 @@ def test_near_duplicates_far_larger(spark):
     assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == list(range(12))
 
 
+def test_near_duplicates_all_pairs(spark):
+    """Twenty pairs whose texts all share buckets: more than the first few of a bucket have to meet."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(20000)]
+    common = list(rng.choice(words, 70))
+    texts = []
+    for _ in range(20):
+        own = list(rng.choice(words, 50))
+        for k in range(2):
+            texts.append(" ".join([*common, *own, f"end{k}"]))
+    members = spark.createDataFrame([(1, f"{i:03}".encode(), 120, 0, f"{i // 2}".encode()) for i in range(1300)], "bucket long, key binary, n int, role int, class binary")
+    assert neardup._all_pairs(members).count() == 1300 * 1299 // 2 - 650
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
+    assert all(got[i] == i // 2 * 2 for i in range(40))
+    assert "n_links" not in neardup.classes(df).columns
+
+
 # languages
 
 
