@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from .common import held_out
 
-LONGEST_PIECE = 6
 LONGEST_WORD = 48
+LONGEST_PIECE = LONGEST_WORD + 1  # with the word mark; a longer piece fits no word, all others are used
 UNKNOWN = 1e-7
 CACHE_WORDS = 300_000
 BATCH_WORDS = 20_000
@@ -57,7 +57,8 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         names = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))}
-        self.names = sorted(n for n in names if len(n) <= LONGEST_PIECE and n.replace("▁", "", 1).isalpha() and "▁" not in n[1:])
+        self.names = sorted(n for n in names if n.replace("▁", "", 1).isalpha() and "▁" not in n[1:])
+        self.longest = max(map(len, self.names), default=1)
         self.unknown = len(self.names)
         self.size = self.unknown + 1
         mask = np.uint64((1 << _BITS) - 1)
@@ -93,7 +94,7 @@ class Pieces:
         out = [[]] + [[] for _ in range(n)]
         with np.errstate(over="ignore"):
             hashes = [np.zeros(len(words), np.uint64)] * n
-            for k in range(min(LONGEST_PIECE, n)):
+            for k in range(min(self.longest, n)):
                 for start in range(n - k):
                     hashes[start] = hashes[start] * _P + codes[:, start + k]
                     found = self.find(hashes[start])

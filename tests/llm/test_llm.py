@@ -249,6 +249,21 @@ def test_language(spark, docs):
     assert langid.identify(empty(spark)).count() == 0
 
 
+def test_language_long_pieces():
+    vocab = langid.pieces(langid.default_vocabulary())
+    number = {n: i for i, n in enumerate(vocab.names)}
+    assert {"ability", "▁absolute", "▁account"} <= number.keys()
+    p = np.random.default_rng(3).random((vocab.size, 2))
+    scorer = langid.Scorer(langid.default_vocabulary(), p)
+    for w in ("absolute", "accountability"):
+        marked = "▁" + w
+        ways = [np.ones(2)]
+        for end in range(1, len(marked) + 1):
+            own = [(ways[start], number.get(marked[start:end], vocab.unknown if end - start == 1 else None)) for start in range(end)]
+            ways.append(sum(a * scorer.p[i] for a, i in own if i is not None))
+        assert np.allclose(np.exp(scorer.batch([w])[0]), ways[-1])
+
+
 # decontamination
 
 
