@@ -122,15 +122,19 @@ def pagerank(e: DataFrame, steps: int = 10, alpha: float = 0.8, write_every: int
     return ranks.select("id", "score")
 
 
-def hits(e: DataFrame, steps: int = 10, write_every: int = 3) -> DataFrame:
-    """``id, hub, authority``, each normalised to sum 1, a fixed number of steps from equal hubs."""
+def hits(e: DataFrame, steps: int = 10, write_every: int = 3, tolerance: float = 0.0) -> DataFrame:
+    """``id, hub, authority``, each normalised to sum 1, from equal hubs.
+
+    It ends after ``steps``, or earlier once the hubs changed by less than ``tolerance`` in all from one
+    written step to the next.
+    """
     e = written(e, "hits-edges")
     ids = written(nodes(e), "hits-nodes")
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("hub"), F.lit(0.0).alias("authority"))
     scores = ids.withColumn("hub", F.lit(1.0 / n))
-    authority = None
+    authority, known = None, None
 
     def normal(df: DataFrame, name: str) -> DataFrame:
         total = df.agg(F.sum(name).alias("total"))  # one row
@@ -142,7 +146,13 @@ def hits(e: DataFrame, steps: int = 10, write_every: int = 3) -> DataFrame:
         h = e.join(authority.select(F.col("id").alias("dst"), "authority"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("authority").alias("hub"))
         scores = normal(h, "hub")
         if step % write_every == 0 and step < steps:
-            scores = written(scores, "hits")
+            last, scores = known, written(scores, "hits")
+            known = scores
+            if tolerance and last is not None:
+                both = scores.join(last.withColumnRenamed("hub", "before"), "id", "full")
+                change = both.agg(F.sum(F.abs(F.coalesce("hub", F.lit(0.0)) - F.coalesce("before", F.lit(0.0))))).first()[0]
+                if change < tolerance:
+                    break
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return ids.join(scores, "id", "left").join(authority, "id", "left").select("id", zero("hub"), zero("authority"))
 

@@ -712,7 +712,13 @@ def _(spark, sf):
     return graph.pagerank(e).select("id", F.round("score", 9).alias("score"))
 
 
-@query("hits", _hits_sql() + " SELECT n.id, round(coalesce(h.v, 0), 9) AS hub, round(coalesce(a.v, 0), 9) AS authority FROM nodes n LEFT JOIN h5 h USING (id) LEFT JOIN a5 a USING (id)")
+@query("hits")
+def _(spark, sf):
+    e = graph.edges(graph.links(_table(spark, sf, "pages"), resolve=True))
+    return graph.hits(e, 200, tolerance=1e-8).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
+
+
+@query("hits_five_steps", _hits_sql() + " SELECT n.id, round(coalesce(h.v, 0), 9) AS hub, round(coalesce(a.v, 0), 9) AS authority FROM nodes n LEFT JOIN h5 h USING (id) LEFT JOIN a5 a USING (id)")
 def _(spark, sf):
     e = graph.edges(graph.links(_table(spark, sf, "pages"), resolve=True))
     return graph.hits(e, 5).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))

@@ -182,3 +182,18 @@ def test_stream_index(spark, tmp_path, docs):
     q.awaitTermination(60)
     want = tokenize.term_frequencies(tokenize.plain_tokens(docs)).count()
     assert incremental.indexed(spark, str(tmp_path / "out")).count() == want
+
+
+def test_hits_to_tolerance(spark):
+    import numpy as np
+
+    pairs = [(a, b) for a in range(12) for b in range(12) if (a * 7 + b * 5) % 4 == 0 or b == 0]
+    got = {r.id: (r.hub, r.authority) for r in graph.hits(spark.createDataFrame(pairs, "src long, dst long"), 30, tolerance=1e-8).collect()}
+    m = np.zeros((12, 12))
+    for a, b in pairs:
+        m[a, b] = 1
+    h = np.ones(12)
+    for _ in range(200):
+        a = m.T @ h / (m.T @ h).sum()
+        h = m @ a / (m @ a).sum()
+    assert all(abs(got[i][0] - h[i]) < 1e-7 and abs(got[i][1] - a[i]) < 1e-7 for i in range(12))
