@@ -262,6 +262,17 @@ def _(spark, sf):
 @query(
     "heaps_curve",
     _TF
+    + """, o AS (
+  SELECT row_number() OVER (ORDER BY doc_id, pos) AS tokens, CASE WHEN term IS NOT NULL AND row_number() OVER (PARTITION BY term ORDER BY doc_id, pos) = 1 THEN 1 ELSE 0 END AS new FROM tok
+) SELECT tokens, CAST(sum(new) OVER (ORDER BY tokens) AS BIGINT) AS terms FROM o""",
+)
+def _(spark, sf):
+    return statistics.heaps_curve(_tokens(spark, sf))
+
+
+@query(
+    "heaps_by_document",
+    _TF
     + """, n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1), f AS (SELECT d AS doc_id, count(*) AS new FROM (SELECT term, min(doc_id) AS d FROM tf GROUP BY 1) GROUP BY 1)
 SELECT doc_id, CAST(sum(n) OVER (ORDER BY doc_id) AS BIGINT) AS tokens, CAST(sum(coalesce(new, 0)) OVER (ORDER BY doc_id) AS BIGINT) AS terms FROM n LEFT JOIN f USING (doc_id)""",
 )

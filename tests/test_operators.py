@@ -197,3 +197,15 @@ def test_hits_to_tolerance(spark):
         a = m.T @ h / (m.T @ h).sum()
         h = m @ a / (m @ a).sum()
     assert all(abs(got[i][0] - h[i]) < 1e-7 and abs(got[i][1] - a[i]) < 1e-7 for i in range(12))
+
+
+def test_heaps_query_has_every_token(spark):
+    from termloom.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = tokenize.plain_tokens(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    seen, want = set(), []
+    for i, r in enumerate(sorted(rows, key=lambda r: (r.doc_id, r.pos)), 1):
+        seen |= {r.term} - {None}
+        want.append((i, len(seen)))
+    assert sorted((r.tokens, r.terms) for r in QUERIES["heaps_curve"](spark, folder).collect()) == want
