@@ -31,6 +31,8 @@ DATE = r"^(?:[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-][0-9]{1,4}|[0-9]{2,4}[/.\-][0-9]{1,
 DATE_PREFIX = r"^[0-9]+[/.\-][0-9]+[/.\-][0-9]+"
 PROPER_NAME = r"[^\p{L}\p{N}_]((?:[A-Z](?:[a-z]+|\.+))+(?:\s[A-Z][a-z]+)+)"
 PROPER_NAME_PLAIN = r"((?:[A-Z](?:[a-z]+|\.+))+(?:\s[A-Z][a-z]+)+)"
+#: Not where a text or sentence begins, as any word is in capitals there.
+PROPER_NAME_INSIDE = r"(?<!\A)(?<!\.\s)[A-Z][a-z]+(?: *[A-Z][a-z]+)*[^.]"
 INNER_NUMBER = r"[+\-]?(?:[0-9]+[,\-]?)*[0-9](?:[.][0-9]+)?"
 QUERY_WORD = r"[a-zA-Z]{5,20}"
 
@@ -102,6 +104,12 @@ def proper_names(c, pattern: str = PROPER_NAME) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
 
 
+def proper_names_inside(c, stop_words: list[str], low: int = 3, high: int = 25) -> Column:
+    """Names that don't begin a text or sentence, without stop words and by length."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(PROPER_NAME_INSIDE), F.lit(0)), lambda x: F.trim(x))
+    return F.filter(found, lambda x: ~F.lower(x).isin(stop_words) & F.length(x).between(low, high))
+
+
 def without_proper_names(c, pattern: str = PROPER_NAME_PLAIN) -> Column:
     return F.regexp_replace(c, pattern, "")
 

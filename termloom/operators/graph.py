@@ -99,9 +99,11 @@ def crawl(
     return done.join(known, "url", "left").select("id", "url", "depth", F.coalesce("found", F.lit(False)).alias("found"))
 
 
-def pagerank(e: DataFrame, steps: int = 10, alpha: float = 0.8, write_every: int = 5) -> DataFrame:
-    """``id, score``: uniform start and teleport, dangling mass spread evenly, a fixed number of steps.
+def pagerank(e: DataFrame, steps: int = 100, alpha: float = 0.8, write_every: int = 5, tolerance: float = 1e-12) -> DataFrame:
+    """``id, score``: uniform start and teleport, dangling mass spread evenly.
 
+    It ends after ``steps``, or earlier once the scores changed by less than ``tolerance`` in all from one
+    written step to the next.
     Out-degrees are part of the edge table, so a step is one join and one aggregation; hubs are combined
     before the shuffle.
     """
@@ -111,14 +113,19 @@ def pagerank(e: DataFrame, steps: int = 10, alpha: float = 0.8, write_every: int
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("score"))
-    ranks = ids.withColumn("score", F.lit(1.0 / n))
+    ranks, known = ids.withColumn("score", F.lit(1.0 / n)), None
     for step in range(1, steps + 1):
         dangling = ranks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("score"))), F.lit(0.0)).alias("lost"))  # one row
         got = wired.join(ranks.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("out")).alias("got"))
         score = (1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
         ranks = ids.join(got, "id", "left").crossJoin(F.broadcast(dangling)).select("id", "out", score.alias("score"))
         if step % write_every == 0 and step < steps:
-            ranks = written(ranks, "pagerank")
+            last, known = known, written(ranks, "pagerank")
+            ranks = known
+            if last is not None:
+                both = ranks.join(last.select("id", F.col("score").alias("before")), "id")
+                if both.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] < tolerance:
+                    break
     return ranks.select("id", "score")
 
 

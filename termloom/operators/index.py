@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import compress
+from ..plans.common import small_or_shuffled
 from .statistics import term_statistics
 
+BLOCK_IDS = 1 << 18
+
 
 def inverted_index(tf: DataFrame) -> DataFrame:
     """``term, cf, df, postings array<struct<doc_id,tf>>`` sorted by document."""
@@ -28,16 +31,26 @@ def doc_norms(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def gaps(tf: DataFrame) -> DataFrame:
-    """``term, doc_id, tf, gap``: the first document as it is, then differences."""
-    order = Window.partitionBy("term").orderBy("doc_id")
-    return tf.withColumn("gap", F.col("doc_id") - F.coalesce(F.lag("doc_id").over(order), F.lit(0)))
+def placed(tf: DataFrame, ids: int = BLOCK_IDS) -> DataFrame:
+    """Adds ``block, idx, before, df``: a posting's place (from 1), the document before it (null: none), the term's postings.
 
+    A list is worked on in blocks of ``ids`` document numbers, so no task sorts the whole list of a common
+    term; counts and last documents are carried over the list's blocks.
+    """
+    blocked = tf.withColumn("block", F.floor(F.col("doc_id") / ids))
+    along = Window.partitionBy("term").orderBy("block")
+    per = blocked.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    start = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("term", "block", start.alias("start"), F.lag("last").over(along).alias("carried"), F.sum("n").over(Window.partitionBy("term")).alias("df"))
+    within = Window.partitionBy("term", "block").orderBy("doc_id")
+    out = blocked.withColumn("idx", F.row_number().over(within)).withColumn("before", F.lag("doc_id").over(within)).join(per, ["term", "block"])
+    out = out.withColumn("idx", (F.col("idx") + F.col("start")).cast("long")).withColumn("before", F.coalesce("before", "carried"))
+    return out.drop("start", "carried")
 
-def ungap(gapped: DataFrame) -> DataFrame:
-    """Document ids again: running sums of gaps in the order of ``i``."""
-    order = Window.partitionBy("term").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return gapped.withColumn("doc_id", F.sum("gap").over(order))
+
+def gaps(tf: DataFrame) -> DataFrame:
+    """``term, doc_id, tf, gap``: the first document as it is, then differences."""
+    return placed(tf).withColumn("gap", F.col("doc_id") - F.coalesce("before", F.lit(0))).select(*tf.columns, "gap")
 
 
 def skips(tf: DataFrame, include_first: bool = True) -> DataFrame:
@@ -45,12 +58,10 @@ def skips(tf: DataFrame, include_first: bool = True) -> DataFrame:
 
     With ``include_first`` a term of one document has an entry; without, counting starts at the second.
     """
-    order = Window.partitionBy("term").orderBy("doc_id")
-    n = F.row_number().over(order)
-    step = F.ceil(F.sqrt(F.count("*").over(Window.partitionBy("term"))))
-    placed = tf.select("term", "doc_id", n.cast("long").alias("idx"), step.cast("long").alias("step"))
+    step = F.ceil(F.sqrt("df")).cast("long")
+    every = placed(tf.select("term", "doc_id")).withColumn("step", step)
     hit = F.col("idx") % F.col("step") == 0 if include_first else (F.col("idx") > 1) & ((F.col("idx") - 1) % F.col("step") == 0)
-    return placed.where(hit).select("term", "doc_id", "idx")
+    return every.where(hit).select("term", "doc_id", "idx")
 
 
 def code_sizes(tf: DataFrame) -> DataFrame:
@@ -70,42 +81,108 @@ def code_sizes(tf: DataFrame) -> DataFrame:
     )
 
 
-def compressed_index(tf: DataFrame, method: str = "gamma", gapped: bool = True) -> DataFrame:
-    """``term, df, data, padding``: the codes of doc_id + 1 (or its gaps) and tf, interleaved."""
-    g = gaps(tf.withColumn("doc_id", F.col("doc_id") + 1))
-    number = "gap" if gapped else "doc_id"
-    row = F.struct("doc_id", F.col(number).alias("n"), "tf")
-    lists = g.groupBy("term").agg(F.count("*").alias("df"), F.array_sort(F.collect_list(row)).alias("rows"))
+def compressed_index(tf: DataFrame, method: str = "gamma", gapped: bool = True, ids: int = BLOCK_IDS) -> DataFrame:
+    """``term, block, n, base, data, padding``: the codes of doc_id + 1 (or its gaps) and tf, interleaved.
+
+    A row holds a term's postings of one block of document numbers; ``base`` is the number before its first.
+    """
+    g = placed(tf.withColumn("doc_id", F.col("doc_id") + 1), ids)
+    base = F.coalesce("before", F.lit(0))
+    number = F.col("doc_id") - base if gapped else F.col("doc_id")
+    row = F.struct("doc_id", number.alias("n"), "tf")
+    lists = g.groupBy("term", "block").agg(F.count("*").alias("n"), F.min(base).alias("base"), F.array_sort(F.collect_list(row)).alias("rows"))
     flat = F.flatten(F.transform("rows", lambda r: F.array(r["n"], r["tf"])))
+    kept = ["term", "block", "n", "base"]
     if method == "gamma":
-        return lists.select("term", "df", compress.gamma(flat).alias("c")).select("term", "df", "c.*")
+        return lists.select(*kept, compress.gamma(flat).alias("c")).select(*kept, "c.*")
     if method == "vb":
-        return lists.select("term", "df", compress.vb(flat).alias("data"), F.lit(0).alias("padding"))
+        return lists.select(*kept, compress.vb(flat).alias("data"), F.lit(0).alias("padding"))
     raise ValueError(f"unknown method {method}")
 
 
 def decompressed(index: DataFrame, method: str = "gamma", gapped: bool = True) -> DataFrame:
     """``term, doc_id, tf`` of a compressed index."""
     numbers = compress.ungamma("data", "padding") if method == "gamma" else compress.unvb("data")
-    at = lambda i: F.get("n", i.cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("n") / 2).cast("int") - 1), lambda i: F.struct(at(i * 2).alias("gap"), at(i * 2 + 1).alias("tf")))
-    rows = index.select("term", numbers.alias("n")).select("term", F.posexplode(pairs).alias("i", "r"))
-    rows = rows.select("term", "i", F.col("r.gap").alias("gap"), F.col("r.tf").alias("tf"))
-    ids = ungap(rows) if gapped else rows.withColumn("doc_id", F.col("gap"))
-    return ids.select("term", (F.col("doc_id") - 1).alias("doc_id"), "tf")
+    at = lambda i: F.get("numbers", i.cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("numbers") / 2).cast("int") - 1), lambda i: F.struct(at(i * 2).alias("gap"), at(i * 2 + 1).alias("tf")))
+    rows = index.select("term", "block", "base", numbers.alias("numbers")).select("term", "block", "base", F.posexplode(pairs).alias("i", "r"))
+    rows = rows.select("term", "block", "base", "i", F.col("r.gap").alias("gap"), F.col("r.tf").alias("tf"))
+    order = Window.partitionBy("term", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.col("base") + F.sum("gap").over(order) if gapped else F.col("gap")
+    return rows.withColumn("doc_id", number - 1).select("term", "doc_id", "tf")
 
 
 def write_index(tf: DataFrame, path: str, tokens: DataFrame | None = None, partitions: int | None = None) -> None:
-    """Store ``terms`` and ``postings`` (and ``positions``), postings sorted by (term, doc_id).
+    """Store ``terms``, ``postings`` and ``totals`` (and ``positions``), postings sorted by (term, doc_id).
 
     One shuffle by ranges of terms; Parquet statistics then find a term's few row groups.
     """
     spread = tf.repartitionByRange(partitions, "term", "doc_id") if partitions else tf.repartitionByRange("term", "doc_id")
     spread.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    terms = term_statistics(tf.sparkSession.read.parquet(f"{path}/postings"))
-    terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    postings = tf.sparkSession.read.parquet(f"{path}/postings")
+    term_statistics(postings).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    terms = read_terms(tf.sparkSession, path)
+    docs = postings.select("doc_id").distinct().agg(F.count("*").alias("n"))
+    docs.crossJoin(terms.agg(F.count("*").alias("v"))).write.mode("overwrite").parquet(f"{path}/totals")  # one row each
     if tokens is not None:
-        positional_index(tokens).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/positions")
+        write_positions(tokens, path)
+
+
+def write_positions(tokens: DataFrame, path: str) -> None:
+    positional_index(tokens).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/positions")
+
+
+def write_norms(spark: SparkSession, path: str, weights: dict[str, str]) -> None:
+    """Store ``norms``: ``doc_id`` and a column a scheme, the length of the document's weights (SQL over n, v, tf, df, cf)."""
+    n, v = totals(spark, path)
+    known = read_terms(spark, path).withColumns({"n": F.lit(n), "v": F.lit(v)})
+    weighted = spark.read.parquet(f"{path}/postings").join(known, "term")
+    length = lambda w: F.sqrt(F.sum(F.expr(w) * F.expr(w)))
+    norms = weighted.groupBy("doc_id").agg(*[length(w).alias(name) for name, w in weights.items()])
+    norms.write.mode("overwrite").parquet(f"{path}/norms")
+
+
+def totals(spark: SparkSession, path: str) -> tuple[float, float]:
+    """Documents with terms, and terms, of a stored index."""
+    n, v = spark.read.parquet(f"{path}/totals").first()
+    return float(n), float(v)
+
+
+def write_skips(tf: DataFrame, path: str) -> None:
+    """Store the skip entries beside the postings, sorted by (term, doc_id)."""
+    skips(tf).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/skips")
+
+
+def skip_intersection(spark: SparkSession, path: str, first: str, second: str) -> DataFrame:
+    """``doc_id`` of documents with both terms, by the longer list's skips.
+
+    A skip entry closes a block of the longer list. Each document of the shorter list falls into one block;
+    only blocks that some document falls into are read on.
+    """
+    df = {r.term: r.df for r in read_terms(spark, path).where(F.col("term").isin(first, second)).collect()}
+    if len(df) < len({first, second}):
+        return spark.read.parquet(f"{path}/postings").select("doc_id").limit(0)
+    short, long = sorted({first, second}, key=lambda t: (df[t], t))[0], sorted({first, second}, key=lambda t: (df[t], t))[-1]
+    ends = posting(spark, path, long, "skips").select(F.col("doc_id").alias("end"))
+    # Blocks in order: those that begin after their predecessor's end; the last is open.
+    order = Window.orderBy("end")  # the square root of one list's length
+    blocks = ends.select(F.coalesce(F.lag("end").over(order) + 1, F.lit(-(1 << 62))).alias("begin"), "end")
+    last = ends.agg((F.coalesce(F.max("end"), F.lit(-(1 << 62) - 1)) + 1).alias("begin")).select("begin", F.lit(1 << 62).alias("end"))
+    blocks = small_or_shuffled(blocks.union(last))
+    mine = posting(spark, path, short).select("doc_id").join(blocks, F.col("doc_id").between(F.col("begin"), F.col("end")))
+    hit = mine.select("begin", "end").distinct()
+    theirs = posting(spark, path, long).select(F.col("doc_id").alias("other")).join(small_or_shuffled(hit), F.col("other").between(F.col("begin"), F.col("end")))
+    return mine.join(theirs.select(F.col("other").alias("doc_id")), "doc_id").select("doc_id")
+
+
+def write_compressed(tf: DataFrame, path: str, method: str = "gamma", gapped: bool = True) -> None:
+    """Store a compressed index: a row of codes a term and block, sorted by term."""
+    compressed_index(tf, method, gapped).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/codes")
+
+
+def read_compressed(spark: SparkSession, path: str, method: str = "gamma", gapped: bool = True) -> DataFrame:
+    """``term, doc_id, tf`` of a stored compressed index."""
+    return decompressed(spark.read.parquet(f"{path}/codes"), method, gapped)
 
 
 def append_block(tf: DataFrame, path: str) -> None:

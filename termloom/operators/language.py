@@ -30,12 +30,12 @@ def predict(docs: DataFrame, model: DataFrame, kind: str = "letters") -> DataFra
     """
     grams = gram_counts(docs, kind)
     own = grams.groupBy("doc_id").agg(F.count("*").alias("g"), F.sum("n").alias("sx"), F.sum(F.col("n") * F.col("n")).alias("sxx"))
-    langs = model.groupBy("lang").agg(F.sum("n").alias("sy"), F.sum(F.col("n") * F.col("n")).alias("syy"))
+    langs = small_or_shuffled(model.groupBy("lang").agg(F.sum("n").alias("sy"), F.sum(F.col("n") * F.col("n")).alias("syy")))
     domain = model.select("gram").distinct()
     size = domain.agg(F.count("*").alias("v"))
     known = grams.join(small_or_shuffled(domain), "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("k"))
     met = grams.join(small_or_shuffled(model.withColumnRenamed("n", "m")), "gram").groupBy("doc_id", "lang").agg(F.sum(F.col("n") * F.col("m")).alias("sxy"))
-    every = own.join(known, "doc_id", "left").crossJoin(F.broadcast(langs)).crossJoin(F.broadcast(size))  # a few languages, one size
+    every = own.join(known, "doc_id", "left").crossJoin(langs).crossJoin(F.broadcast(size))  # a few languages, one size
     every = every.join(met, ["doc_id", "lang"], "left")
     d = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     n = d("v") + d("g") - d("k")
@@ -47,6 +47,26 @@ def predict(docs: DataFrame, model: DataFrame, kind: str = "letters") -> DataFra
     return docs.select("doc_id").join(picked.select("doc_id", F.col("lang").alias("lang_pred"), F.col("r").alias("correlation")), "doc_id", "left")
 
 
+def detected(docs: DataFrame, detector) -> DataFrame:
+    """``doc_id, lang_pred`` by any detector: a function of the text column, or one of a pandas series of texts."""
+    import pandas as pd
+    from pyspark.sql import Column
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    try:
+        column = detector(text)
+    except Exception:  # noqa: BLE001  not a function of columns
+        column = None
+    if not isinstance(column, Column):
+
+        @F.pandas_udf("string")
+        def column_of(texts: pd.Series) -> pd.Series:
+            return pd.Series(detector(texts), dtype=object)
+
+        column = column_of(text)
+    return docs.select("doc_id", column.alias("lang_pred"))
+
+
 def accuracy(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """``lang, docs, correct, accuracy``; truth: (doc_id, lang)."""
     met = truth.select("doc_id", "lang").join(predicted.select("doc_id", "lang_pred"), "doc_id")

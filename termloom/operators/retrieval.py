@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.common import small_or_shuffled
+from .index import read_terms, totals
 from .statistics import term_statistics
 
 
@@ -71,6 +72,22 @@ def rank(tf: DataFrame, queries: DataFrame, scheme: str | Scheme = "tfidf", k: i
     return top(scored, k)
 
 
+def rank_stored(spark: SparkSession, path: str, queries: DataFrame, scheme: str = "tfidf", k: int = 10) -> DataFrame:
+    """``rank`` over a stored index with norms: only the asked terms' postings are joined and shuffled."""
+    rule = SCHEMES[scheme]
+    n, v = totals(spark, path)
+    q = queries.withColumn("mq", F.max("qtf").over(Window.partitionBy("query_id"))).join(read_terms(spark, path), "term")
+    q = q.withColumns({"n": F.lit(n), "v": F.lit(v)}).withColumn("q", F.expr(rule.query)).where("q is not null")
+    own = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
+    postings = spark.read.parquet(f"{path}/postings").select("doc_id", "term", "tf")
+    met = postings.join(small_or_shuffled(q), "term").withColumn("w", F.expr(rule.doc)).where("w is not null")
+    dots = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
+    norms = spark.read.parquet(f"{path}/norms").select("doc_id", F.col(scheme).alias("dn"))
+    scored = dots.join(norms, "doc_id").join(small_or_shuffled(own), "query_id").where("dn > 0 and qn > 0")
+    scored = scored.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
+    return top(scored.where("score > 0") if rule.positive_only else scored, k)
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")

@@ -200,8 +200,10 @@ def heaps_curve(tokens: DataFrame) -> DataFrame:
     """``tokens, terms`` after every single token, in the order of documents and positions."""
     from pyspark.sql import Window
 
-    first = Window.partitionBy("term").orderBy("doc_id", "pos")
-    marked = tokens.withColumn("new", F.when(F.col("term").isNotNull() & (F.row_number().over(first) == 1), 1).otherwise(0))
+    # A term's first place is combined before the shuffle.
+    first = tokens.where("term is not null").groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
+    first = first.select("at.doc_id", "at.pos", F.lit(1).alias("new"))
+    marked = tokens.join(first, ["doc_id", "pos"], "left").withColumn("new", F.coalesce("new", F.lit(0)))
     within = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     local = marked.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).alias("i"), F.sum("new").over(within).alias("s"))
     totals = heaps_by_document(tokens).select("doc_id", F.col("tokens").alias("after"), F.col("terms").alias("seen"))

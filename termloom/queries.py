@@ -14,7 +14,7 @@ from .functions.html import visible_text
 from .functions.stem import stems
 from .operators import evaluation, graph, index, language, positional, retrieval, statistics, tokenize
 from .plans import boolean
-from .plans.common import numbered, spread, written
+from .plans.common import exists, numbered, shared_path, spread, written
 
 K = 10
 BOOLEAN_AND, BOOLEAN_OR, BOOLEAN_NOT = "that & with", "dans | nicht", "that - with"
@@ -49,6 +49,34 @@ def _asked(spark, sf_dir):
     return bags.select(F.col("doc_id").alias("query_id"), "term", F.col("tf").alias("qtf"))
 
 
+_STORES: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark, sf_dir, *parts) -> str:
+    """The folder of the collection's stored index with the parts asked for; a session writes each part once."""
+    app = spark.sparkContext.applicationId
+    path = _STORES.setdefault((app, sf_dir, "path"), shared_path(spark, "index"))
+    if not exists(spark, f"{path}/totals"):
+        index.write_index(_tf(spark, sf_dir), path)
+    if "norms" in parts and not exists(spark, f"{path}/norms"):
+        index.write_norms(spark, path, {name: s.doc for name, s in retrieval.SCHEMES.items()})
+    if "positions" in parts and not exists(spark, f"{path}/positions"):
+        index.write_positions(_tokens(spark, sf_dir), path)
+    if "skips" in parts and not exists(spark, f"{path}/skips"):
+        index.write_skips(spark.read.parquet(f"{path}/postings"), path)
+    return path
+
+
+def postings(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{stored(spark, sf_dir)}/postings")
+
+
+def _places(spark, sf_dir) -> DataFrame:
+    """``doc_id, term, at`` of the stored positional index."""
+    found = spark.read.parquet(f"{stored(spark, sf_dir, 'positions')}/positions")
+    return found.select("doc_id", "term", F.explode("positions").alias("at"))
+
+
 def _phrases(spark, sf_dir, size=3):
     """The first kept words of each benchmark item, in order."""
     items = _table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
@@ -87,18 +115,28 @@ _QPLACES = (
 )
 
 
+#: Document and query weights written for the SQL alone, and whether only positive scores count.
+_WEIGHTS = {
+    "inverse_idf": ("tf * (ln(n / df) / ln(10))", "CASE WHEN n > df THEN ((1 + qtf / CAST(mq AS DOUBLE)) / 2) / (ln(n / df) / ln(10)) END", False),
+    "binary": ("ln(n / df) / ln(10)", "ln(n / df) / ln(10)", True),
+    "vocab_cf": ("(ln(tf) + 1) * (ln(v) - ln(cf))", "(qtf + 1) * (ln(v) - ln(cf))", True),
+    "shared_terms": ("ln(v) - ln(cf)", "(qtf + 1) * (ln(v) - ln(cf))", False),
+    "double_log": ("tf * (ln(v) - ln(df))", "CASE WHEN v > df THEN ((1 + qtf / CAST(mq AS DOUBLE)) / 2) * ln(ln(v) - ln(df)) END", False),
+    "tfidf": ("(ln(tf) / ln(10) + 1) * (ln(n / df) / ln(10))", "(ln(qtf) / ln(10) + 1) * (ln(n / df) / ln(10))", True),
+}
+
+
 def _rank_sql(scheme: str) -> str:
-    s = retrieval.SCHEMES[scheme]
-    fix = lambda e: e.replace("0.5D", "CAST(0.5 AS DOUBLE)")
-    keep = "WHERE score > 0" if s.positive_only else ""
+    doc, asked, positive = _WEIGHTS[scheme]
+    keep = "WHERE score > 0" if positive else ""
     return f"""{_TF}{_ITEMS}, tot AS (
   SELECT CAST((SELECT count(DISTINCT doc_id) FROM tf) AS DOUBLE) AS n, CAST((SELECT count(*) FROM terms) AS DOUBLE) AS v
 ), wd AS (
-  SELECT doc_id, term, n, v, cf, df, CAST({fix(s.doc)} AS DOUBLE) AS w FROM tf JOIN terms USING (term), tot
+  SELECT doc_id, term, n, v, cf, df, CAST({doc} AS DOUBLE) AS w FROM tf JOIN terms USING (term), tot
 ), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS dn FROM wd GROUP BY 1
 ), qm AS (SELECT *, max(qtf) OVER (PARTITION BY query_id) AS mq FROM q
 ), met AS (
-  SELECT * FROM (SELECT query_id, doc_id, term, w, CAST({fix(s.query)} AS DOUBLE) AS qw FROM wd JOIN qm USING (term))
+  SELECT * FROM (SELECT query_id, doc_id, term, w, CAST({asked} AS DOUBLE) AS qw FROM wd JOIN qm USING (term))
   WHERE w IS NOT NULL AND qw IS NOT NULL
 ), qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM (SELECT DISTINCT query_id, term, qw FROM met) GROUP BY 1
 ), sc AS (
@@ -361,7 +399,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     pair = lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))
-    return index.inverted_index(_tf(spark, sf)).withColumn("postings", F.array_join(F.transform("postings", pair), " "))
+    return index.inverted_index(postings(spark, sf).select("doc_id", "term", "tf")).withColumn("postings", F.array_join(F.transform("postings", pair), " "))
 
 
 @query(
@@ -379,13 +417,13 @@ def _(spark, sf):
 SELECT doc_id, round(sqrt(sum(power(tf * ln(v / df), 2))), 6) AS norm FROM tf JOIN terms USING (term), v GROUP BY 1""",
 )
 def _(spark, sf):
-    norms = index.doc_norms(retrieval.weigh(_tf(spark, sf), retrieval.SCHEMES["double_log"]))
+    norms = index.doc_norms(retrieval.weigh(postings(spark, sf), retrieval.SCHEMES["double_log"]))
     return norms.withColumn("norm", F.round("norm", 6))
 
 
 @query("dgaps", _TF + " SELECT term, doc_id, tf, CAST(doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS BIGINT) AS gap FROM tf")
 def _(spark, sf):
-    return index.gaps(_tf(spark, sf))
+    return index.gaps(postings(spark, sf).select("doc_id", "term", "tf"))
 
 
 _SKIPS = ", s AS (SELECT term, doc_id, row_number() OVER w AS idx, ceil(sqrt(count(*) OVER (PARTITION BY term))) AS step FROM tf WINDOW w AS (PARTITION BY term ORDER BY doc_id))"
@@ -393,12 +431,12 @@ _SKIPS = ", s AS (SELECT term, doc_id, row_number() OVER w AS idx, ceil(sqrt(cou
 
 @query("skip_entries", _TF + _SKIPS + " SELECT term, doc_id, idx FROM s WHERE idx % CAST(step AS BIGINT) = 0")
 def _(spark, sf):
-    return index.skips(_tf(spark, sf))
+    return index.skips(postings(spark, sf).select("doc_id", "term", "tf"))
 
 
 @query("skip_entries_after_first", _TF + _SKIPS + " SELECT term, doc_id, idx FROM s WHERE idx > 1 AND (idx - 1) % CAST(step AS BIGINT) = 0")
 def _(spark, sf):
-    return index.skips(_tf(spark, sf), include_first=False)
+    return index.skips(postings(spark, sf).select("doc_id", "term", "tf"), include_first=False)
 
 
 _BITS = lambda c: f"length(ltrim(bin({c}), '0'))"
@@ -414,7 +452,7 @@ SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum({_VB('d')} + {_VB('tf')})
   CAST(sum({_VB('gap')} + {_VB('tf')}) AS BIGINT) AS gap_vb, CAST(ceil(sum({_GA('gap')} + {_GA('tf')}) / 8.0) AS BIGINT) AS gap_gamma FROM g GROUP BY 1""",
 )
 def _(spark, sf):
-    return index.code_sizes(_tf(spark, sf))
+    return index.code_sizes(postings(spark, sf).select("doc_id", "term", "tf"))
 
 
 def _round_trip(method: str, gapped: bool):
@@ -422,7 +460,7 @@ def _round_trip(method: str, gapped: bool):
 
     @query(name, _TF + " SELECT term, doc_id, tf FROM tf")
     def _(spark, sf):
-        return index.decompressed(index.compressed_index(_tf(spark, sf), method, gapped), method, gapped)
+        return index.decompressed(index.compressed_index(postings(spark, sf), method, gapped), method, gapped)
 
 
 for _method in ("vb", "gamma"):
@@ -443,7 +481,7 @@ def _sql_condition(node) -> str:
 def _boolean(name: str, text: str, sets: bool = False):
     @query(name, _TF + f" SELECT doc_id FROM tf GROUP BY 1 HAVING {_sql_condition(boolean.parse(text))}")
     def _(spark, sf):
-        return (boolean.search_by_sets if sets else boolean.search)(_tf(spark, sf), text)
+        return (boolean.search_by_sets if sets else boolean.search)(postings(spark, sf), text)
 
 
 _boolean("boolean_and", BOOLEAN_AND)
@@ -457,7 +495,7 @@ _ALL = ", m AS (SELECT query_id, doc_id, term FROM q JOIN tf USING (term)), need
 
 @query("and_query", _TF + _ITEMS + _ALL + " SELECT query_id, doc_id FROM hit")
 def _(spark, sf):
-    return retrieval.all_terms(_tf(spark, sf), _asked(spark, sf))
+    return retrieval.all_terms(postings(spark, sf), _asked(spark, sf))
 
 
 @query(
@@ -469,7 +507,7 @@ def _(spark, sf):
   CAST(coalesce(sum(df), 0) AS BIGINT) AS posting_length FROM q LEFT JOIN terms USING (term) GROUP BY 1""",
 )
 def _(spark, sf):
-    return retrieval.posting_totals(_tf(spark, sf), _asked(spark, sf))
+    return retrieval.posting_totals(postings(spark, sf), _asked(spark, sf))
 
 
 # Phrases
@@ -485,7 +523,7 @@ def _(spark, sf):
 SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id, place - i AS start, need FROM qp JOIN places USING (term) JOIN n USING (query_id) GROUP BY ALL HAVING count(DISTINCT i) = need)""",
 )
 def _(spark, sf):
-    return positional.phrase(positional.positions(_tokens(spark, sf)), _phrases(spark, sf))
+    return positional.phrase(_places(spark, sf), _phrases(spark, sf))
 
 
 def _near_sql(test: str) -> str:
@@ -503,12 +541,12 @@ SELECT query_id, doc_id FROM hit JOIN n USING (query_id) GROUP BY query_id, doc_
 
 @query("phrase_pairwise", _near_sql("y.place - x.place = 1"))
 def _(spark, sf):
-    return positional.phrase_pairwise(positional.positions(_tokens(spark, sf)), _phrases(spark, sf))
+    return positional.phrase_pairwise(_places(spark, sf), _phrases(spark, sf))
 
 
 @query("proximity_query", _near_sql("x.place <> y.place AND abs(y.place - x.place) <= 3"))
 def _(spark, sf):
-    return positional.proximity(positional.positions(_tokens(spark, sf)), _phrases(spark, sf))
+    return positional.proximity(_places(spark, sf), _phrases(spark, sf))
 
 
 # Ranking
@@ -517,7 +555,7 @@ def _(spark, sf):
 def _rank(scheme: str):
     @query(f"rank_{scheme}", _rank_sql(scheme) + _RANKED)
     def _(spark, sf):
-        return retrieval.rank(written(_tf(spark, sf), "tf"), _asked(spark, sf), scheme, K)
+        return retrieval.rank_stored(spark, stored(spark, sf, "norms"), _asked(spark, sf), scheme, K)
 
 
 for _scheme in retrieval.SCHEMES:
@@ -526,13 +564,13 @@ for _scheme in retrieval.SCHEMES:
 
 @query("trec_run_lines", _rank_sql("tfidf") + " SELECT concat_ws(' ', query_id, 'Q0', doc_id, rank - 1, printf('%.6f', score)) AS value FROM r WHERE rank <= 10")
 def _(spark, sf):
-    return evaluation.run_lines(retrieval.rank(written(_tf(spark, sf), "tf"), _asked(spark, sf), "tfidf", K))
+    return evaluation.run_lines(retrieval.rank_stored(spark, stored(spark, sf, "norms"), _asked(spark, sf), "tfidf", K))
 
 
 @query("run_id_map", _rank_sql("tfidf") + " SELECT query_id, CAST(rank AS INT) AS rank, score, source AS doc_id FROM r JOIN documents USING (doc_id) WHERE rank <= 10")
 def _(spark, sf):
     names = _docs(spark, sf).select("doc_id", F.col("source").alias("new_id"))
-    return evaluation.renamed(retrieval.rank(written(_tf(spark, sf), "tf"), _asked(spark, sf), "tfidf", K), names)
+    return evaluation.renamed(retrieval.rank_stored(spark, stored(spark, sf, "norms"), _asked(spark, sf), "tfidf", K), names)
 
 
 def _spearman_sql() -> str:
@@ -549,8 +587,8 @@ FROM full_ GROUP BY 1"""
 
 @query("run_spearman", _spearman_sql())
 def _(spark, sf):
-    tf, asked = written(_tf(spark, sf), "tf"), _asked(spark, sf)
-    return evaluation.spearman(retrieval.rank(tf, asked, "tfidf", K), retrieval.rank(tf, asked, "vocab_cf", K))
+    path, asked = stored(spark, sf, "norms"), _asked(spark, sf)
+    return evaluation.spearman(*[retrieval.rank_stored(spark, path, asked, scheme, K) for scheme in ("tfidf", "vocab_cf")])
 
 
 @query(
@@ -625,6 +663,31 @@ def _(spark, sf):
     return _docs(spark, sf).groupBy(X.language_name("lang").alias("name")).agg(F.count("*").alias("docs"))
 
 
+@query(
+    "language_detector",
+    r"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|\s)(der|und|nicht)(\s|$)') THEN 'de' WHEN regexp_matches(lower(text), '(^|\s)(dans|est)(\s|$)') THEN 'fr' ELSE 'en' END AS lang_pred FROM documents",
+)
+def _(spark, sf):
+    """The slot for an outside detector, filled with one that looks for a few words."""
+
+    def few_words(text):
+        low = F.lower(text)
+        return F.when(low.rlike(r"(^|\s)(der|und|nicht)(\s|$)"), "de").when(low.rlike(r"(^|\s)(dans|est)(\s|$)"), "fr").otherwise("en")
+
+    return language.detected(_docs(spark, sf), few_words)
+
+
+@query("inner_proper_names")
+def _(spark, sf):
+    names = _docs(spark, sf).select("doc_id", F.explode(X.proper_names_inside("text", STOP_WORDS)).alias("term"))
+    return statistics.term_statistics(tokenize.term_frequencies(names))
+
+
+@query("without_proper_names", r"SELECT doc_id, CAST(length(regexp_replace(text, '((?:[A-Z](?:[a-z]+|\.+))+(?:\s[A-Z][a-z]+)+)', '', 'g')) AS INT) AS n_left FROM documents")
+def _(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.length(X.without_proper_names("text")).alias("n_left"))
+
+
 # Pages
 
 _HREF = "h AS (SELECT page_id, url, trim(unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))) AS l FROM pages)"
@@ -686,13 +749,75 @@ def _seeds(pages: DataFrame) -> DataFrame:
     return graph.per_site(graph.url_table(pages), 1).select("url")
 
 
-@query("crawl_levels")
+_CRAWL_SITE = "regexp_extract({c}, '^[A-Za-z]+://([^/?#]+)', 1)"
+
+
+_CRAWL_SEEDS = """SELECT DISTINCT split_part(url, '#', 1) AS url FROM (SELECT url, row_number() OVER (PARTITION BY host ORDER BY page_id) AS nth FROM (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN regexp_extract(url, '^([^:]*)://([^/]*)(.*)$', 2) END AS host FROM pages)) WHERE nth = 1"""
+_CRAWLED = "SELECT id, url, CAST(depth AS INT) AS depth, url IN (SELECT url FROM st) AS found FROM done3"
+
+
+def _crawl_sql(result: str, seeds: str = _CRAWL_SEEDS, also: str = "true", levels: int = 3, per_host: int = 30, limit: int = 500, max_path: int = 3) -> str:
+    path = "coalesce(CASE WHEN contains(dst, '://') THEN regexp_extract(dst, '^([^:]*)://([^/]*)(.*)$', 3) END, '')"
+    ctes = [
+        """WITH st AS (SELECT url, html, page_id FROM (
+  SELECT split_part(url, '#', 1) AS url, html, page_id, row_number() OVER (PARTITION BY split_part(url, '#', 1) ORDER BY page_id) AS nth FROM pages) WHERE nth = 1)""",
+        "h AS (SELECT url, trim(unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))) AS l FROM st)",
+        f"""links AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT url AS src,
+  split_part(CASE WHEN starts_with(l, 'http') THEN l WHEN starts_with(l, '/') THEN {_HOST} || l ELSE {_HOST} || '/' || l END, '#', 1) AS dst FROM h WHERE l <> '')
+  WHERE length({path}) - length(replace({path}, '/', '')) <= {max_path} AND {also})""",
+        f"s AS ({seeds})",
+        f"""l0 AS MATERIALIZED (SELECT id, url, host, 0 AS depth FROM (SELECT row_number() OVER (ORDER BY url) AS id, url, host FROM (
+  SELECT url, host, row_number() OVER (PARTITION BY host ORDER BY url) AS place FROM (SELECT url, {_CRAWL_SITE.format(c='url')} AS host FROM s)) WHERE place <= {per_host}) WHERE id <= {limit})""",
+        "done0 AS MATERIALIZED (SELECT * FROM l0)",
+    ]
+    for d in range(1, levels + 1):
+        ctes.append(
+            f"""l{d} AS MATERIALIZED (SELECT nth + (SELECT count(*) FROM done{d - 1}) AS id, url, host, {d} AS depth FROM (
+  SELECT url, host, row_number() OVER (ORDER BY via, url) AS nth FROM (
+    SELECT url, n.host, via, row_number() OVER (PARTITION BY n.host ORDER BY via, url) + coalesce(used, 0) AS place FROM (
+      SELECT dst AS url, {_CRAWL_SITE.format(c='dst')} AS host, min(id) AS via FROM l{d - 1} f JOIN links ON f.url = src WHERE dst NOT IN (SELECT url FROM done{d - 1}) GROUP BY ALL) n
+    LEFT JOIN (SELECT host, count(*) AS used FROM done{d - 1} GROUP BY 1) u ON u.host = n.host) WHERE place <= {per_host})
+  WHERE nth <= {limit} - (SELECT count(*) FROM done{d - 1}))"""
+        )
+        ctes.append(f"done{d} AS MATERIALIZED (SELECT * FROM done{d - 1} UNION ALL SELECT * FROM l{d})")
+    return ", ".join(ctes) + f" {result}"
+
+
+@query("crawl_levels", _crawl_sql(_CRAWLED))
 def _(spark, sf):
     pages = _table(spark, sf, "pages")
     return graph.crawl(pages, _seeds(pages))
 
 
-def _pagerank_sql(steps: int = 10) -> str:
+@query(
+    "crawl_depths",
+    _crawl_sql(
+        "SELECT CAST(depth AS BIGINT) AS depth, CAST(count(*) FILTER (NOT regexp_matches(url, '[?=&%]')) AS BIGINT) AS static, CAST(count(*) FILTER (regexp_matches(url, '[?=&%]')) AS BIGINT) AS dynamic FROM done3 GROUP BY 1"
+    ),
+)
+def _(spark, sf):
+    """The crawl's levels by static and dynamic addresses."""
+    pages = _table(spark, sf, "pages")
+    return graph.depth_histogram(graph.crawl(pages, _seeds(pages)).withColumn("dynamic", X.is_dynamic("url")), "depth")
+
+
+def _main_host(pages: DataFrame):
+    """The host of the smallest page id."""
+    return pages.agg(F.min_by(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]+)", 1), "page_id")).first()[0]
+
+
+_FIRST_URL = "(SELECT arg_min(url, page_id) FROM pages)"
+
+
+@query("crawl_one_host", _crawl_sql(_CRAWLED, f"SELECT {_FIRST_URL} AS url", f"{_CRAWL_SITE.format(c='dst')} = {_CRAWL_SITE.format(c=_FIRST_URL)}"))
+def _(spark, sf):
+    pages = _table(spark, sf, "pages")
+    first = pages.groupBy().agg(F.min_by("url", "page_id").alias("url"))
+    return graph.crawl(pages, first, host=_main_host(pages))
+
+
+def _pagerank_sql(steps: int = 30) -> str:
     ctes = [
         _SITE_LINKS,
         "nodes AS MATERIALIZED (SELECT src AS id FROM edges UNION SELECT dst FROM edges)",
@@ -717,7 +842,7 @@ def _hits_sql(steps: int = 5) -> str:
     return ", ".join(ctes)
 
 
-@query("pagerank", _pagerank_sql() + " SELECT id, round(score, 9) AS score FROM p10")
+@query("pagerank", _pagerank_sql() + " SELECT id, round(score, 9) AS score FROM p30")
 def _(spark, sf):
     e = graph.edges(graph.links(_table(spark, sf, "pages"), resolve=True))
     return graph.pagerank(e).select("id", F.round("score", 9).alias("score"))
@@ -739,7 +864,7 @@ def _(spark, sf):
     "overlap_curve",
     _pagerank_sql()
     + """, indeg AS (SELECT n.id, count(e.dst) AS k FROM nodes n LEFT JOIN edges e ON e.dst = n.id GROUP BY 1
-), a AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS row FROM p10), b AS (SELECT id, row_number() OVER (ORDER BY k DESC, id) AS row FROM indeg
+), a AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS row FROM p30), b AS (SELECT id, row_number() OVER (ORDER BY k DESC, id) AS row FROM indeg
 ), met AS (SELECT greatest(a.row, b.row) AS i, count(*) AS n FROM a JOIN b USING (id) GROUP BY 1)
 SELECT a.row - 1 AS i, round(coalesce(sum(coalesce(n, 0)) OVER (ORDER BY a.row), 0) / (SELECT count(*) FROM nodes), 6) AS overlap FROM a LEFT JOIN met ON met.i = a.row - 1""",
 )

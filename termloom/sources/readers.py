@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..plans.common import numbered
+from ..plans.common import numbered, small_or_shuffled
 
 
 def documents(spark: SparkSession, path: str, recursive: bool = True, encoding: str = "UTF-8", pattern: str | None = None) -> DataFrame:
@@ -14,8 +14,8 @@ def documents(spark: SparkSession, path: str, recursive: bool = True, encoding:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
     named = files.select("path", F.decode("content", encoding).alias("text"), F.col("length").alias("size_bytes"))
-    rows = numbered(named, F.col("path"))
-    return rows.select(F.col("row").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "text", "size_bytes")
+    ids = small_or_shuffled(numbered(files.select("path"), F.col("path")))  # paths alone are sorted
+    return named.join(ids, "path").select(F.col("row").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "text", "size_bytes")
 
 
 def lines(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,3 +64,13 @@ def crawl_records(pages: DataFrame, path: str) -> None:
 
 def document_ids(docs: DataFrame, path: str) -> None:
     docs.select("name", "doc_id").write.mode("overwrite").csv(path)
+
+
+def timings(cases, spark, path: str) -> None:
+    """CSV of ``query_id, n_terms, seconds``: how long each of the cases (id, terms, action) takes."""
+    rows = []
+    for query_id, n_terms, action in cases:
+        began = time.perf_counter()
+        action()
+        rows.append((query_id, n_terms, time.perf_counter() - began))
+    spark.createDataFrame(rows, "query_id long, n_terms long, seconds double").coalesce(1).write.mode("overwrite").csv(path, header=True)

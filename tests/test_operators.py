@@ -1,6 +1,8 @@
 import math
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from termloom.operators import evaluation, graph, index, language, positional, retrieval, statistics, tokenize
 from termloom.plans import boolean
@@ -209,3 +211,99 @@ def test_heaps_query_has_every_token(spark):
         seen |= {r.term} - {None}
         want.append((i, len(seen)))
     assert sorted((r.tokens, r.terms) for r in QUERIES["heaps_curve"](spark, folder).collect()) == want
+
+
+def test_pagerank_to_tolerance(spark):
+    import numpy as np
+
+    pairs = [(a, (a * 5 + k) % 11) for a in range(9) for k in range(1 + a % 3)]
+    got = {r.id: r.score for r in graph.pagerank(spark.createDataFrame(pairs, "src long, dst long").distinct()).collect()}
+    out = np.zeros((11, 11))
+    for a, b in set(pairs):
+        out[a, b] = 1
+    p = np.full(11, 1 / 11)
+    for _ in range(500):
+        spread = np.where(out.sum(1) > 0, p / np.maximum(out.sum(1), 1), 0)
+        p = 0.2 / 11 + 0.8 * (out.T @ spread + p[out.sum(1) == 0].sum() / 11)
+    assert all(abs(got[i] - p[i]) < 1e-9 for i in got) and len(got) == 11
+
+
+def test_blocks_of_long_lists(spark):
+    """Gaps, skips and codes are the same in blocks of few document numbers."""
+    from termloom.operators import index
+
+    rows = [(d, t, 1 + d % 4) for t in ("a", "b") for d in range(0, 200, 3 if t == "a" else 7)]
+    tf = spark.createDataFrame(rows, "doc_id long, term string, tf long")
+    whole = {(r.term, r.doc_id): (r.idx, r.before, r.df) for r in index.placed(tf).collect()}
+    assert whole == {(r.term, r.doc_id): (r.idx, r.before, r.df) for r in index.placed(tf, 10).collect()}
+    assert whole["a", 9] == (4, 6, 67) and whole["b", 0] == (1, None, 29)
+    for method in ("vb", "gamma"):
+        for gapped in (True, False):
+            codes = index.compressed_index(tf, method, gapped, 10)
+            assert codes.count() > 2
+            back = index.decompressed(codes, method, gapped).collect()
+            assert sorted((r.doc_id, r.term, r.tf) for r in back) == sorted(rows)
+
+
+def test_skip_intersection(spark, tmp_path):
+    from termloom.operators import index
+
+    rows = [(d, "long", 1) for d in range(0, 400, 2)] + [(d, "short", 1) for d in (3, 4, 150, 151, 398, 401)] + [(7, "one", 1)]
+    tf, path = spark.createDataFrame(rows, "doc_id long, term string, tf long"), str(tmp_path / "i")
+    index.write_index(tf, path)
+    index.write_skips(tf, path)
+    ids = lambda *terms: sorted(r.doc_id for r in index.skip_intersection(spark, path, *terms).collect())
+    assert ids("long", "short") == ids("short", "long") == [4, 150, 398]
+    assert ids("one", "short") == [] and ids("long", "nothing") == [] and ids("one", "one") == [7]
+
+
+def test_helpers_keep_own_columns(spark):
+    """Inputs may have columns of any name."""
+    from termloom.plans.common import numbered, running_sums
+
+    names = ["_at", "_part", "_n", "_start", "_block", "_v", "at", "part", "block"]
+    df = spark.createDataFrame([(i * 10**9, i, *[f"{c}{i}" for c in names]) for i in range(9)], ", ".join(["k long", "v long", *[f"{c} string" for c in names]]))
+    for out in (numbered(df, "k"), running_sums(df, "k", {"v": "total"}, block=2)):
+        assert all(r[c] == f"{c}{r.v}" for r in out.collect() for c in names)
+    assert {r.v: r.row for r in numbered(df, "k").collect()} == {i: i + 1 for i in range(9)}
+    assert {r.v: r.total for r in running_sums(df, "k", {"v": "total"}, block=2).collect()} == {i: i * (i + 1) // 2 for i in range(9)}
+
+
+def test_inner_proper_names(spark):
+    from termloom.functions import text as X
+
+    texts = ["Ana went to Buenos Aires. Then Juan Perez saw Luis.", "Only", "we saw The Beatles and Al", "x Rosa, y Maria Jose z"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.n for r in df.select(X.proper_names_inside("text", ["the"]).alias("n")).collect()]
+    want = [[m for m in (x.strip() for x in re.findall(X.PROPER_NAME_INSIDE, t)) if m.lower() != "the" and 3 <= len(m) <= 25] for t in texts]
+    assert got == want and "Buenos Aires" in [x for r in got for x in r] and not any("Ana" in r or "Then" in r for r in got)
+
+
+def test_detectors(spark):
+    from termloom.operators import language
+
+    df = spark.createDataFrame([(1, "der und"), (2, None)], "doc_id long, text string")
+    of_column = language.detected(df, lambda c: F.when(c.contains("der"), "de").otherwise("en"))
+    of_series = language.detected(df, lambda texts: ["de" if "der" in t else "en" for t in texts])
+    assert sorted(of_column.collect()) == sorted(of_series.collect()) == [(1, "de"), (2, "en")]
+
+
+def test_round_trips_against_sql(spark):
+    """Some of the queries that write and read files, against their SQL."""
+    import os
+
+    import duckdb
+
+    import __spark_entry__
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for f in os.listdir(folder):
+        con.execute(f"create view {f[:-8]} as select * from read_parquet('{folder}/{f}')")
+    queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    for name in ("source_flat", "source_names", "trec_topics", "source_cisi_documents", "source_structured_queries", "crawl_csv", "sink_timings", "stored_posting", "rank_tfidf"):
+        df = queries[name](spark, folder)
+        got = con.execute(sql[name])
+        columns = [d[0] for d in got.description]
+        mine = sorted(tuple(map(str, r)) for r in df.select(*columns).collect())
+        assert mine == sorted(tuple(map(str, r)) for r in got.fetchall()), name
