@@ -1,35 +1,38 @@
 """Near duplicates by a containment ensemble of MinHash tables.
 
-Texts are sets of hashed five-word shingles. Texts are split by set size into partitions that double in
-size. Two texts are linked if the smaller's set is contained to at least 0.8 in the larger's, whatever their
-sizes. Within a partition that containment bounds the Jaccard similarity from below; bands and rows are
-tuned for that bound, and texts meet in the partition's tables. Towards larger partitions the bound falls
-with the ratio of sizes and banding would need thousands of hashes, so there the lookup is asymmetric: a
-text asks with its ``ASKED`` least shingle hashes, larger texts answer with all their shingles, and a pair is
-a candidate if ``ANSWERED`` of the asked ones are met. That finds a set contained to 0.8 with probability
-0.99 for any ratio of sizes, and always if it has under 40 shingles. Larger texts send only shingles that a
-filter of the asked ones lets through; what it lets through by chance only costs time. Every candidate is
-checked on the exact sets.
+Texts are sets of hashed five-word shingles. Two texts are linked if the smaller's set is contained to at
+least 0.8 in the larger's, whatever their sizes; the sets themselves are compared before a link counts.
+
+The ensemble: texts are partitioned by set size, each partition reaching to the square root of two of its
+least size. For every partition the containment is converted to the least Jaccard similarity that a linked
+pair of such sizes has, and its bands and rows are tuned for that threshold. A text is entered in the
+partition's own table and asks in the table of the next larger sizes. Every bucket brings its members to its
+first and last member. Pairs whose MinHash signatures are far below the pair's threshold are dropped, the
+others checked, and their links make the first classes.
+
+Pairs of a bucket that this leaves in two classes, and texts in much larger ones (there the threshold falls
+with the ratio of sizes, and bands would need thousands of hashes), are found by an asymmetric lookup in all
+partitions from the own one up: a text asks with its ``ASKED`` least shingle hashes, and texts at least as
+large that hold ``ANSWERED`` of them are candidates. A linked pair passes with probability 0.998 for any ratio
+of sizes, and always if the smaller set has under 40 shingles. Of ``ASKED`` hashes the
+``ASKED - ANSWERED + 1`` rarest outside of the text's own class must hold a common one, so only these are
+followed: passages that many texts share are common, and pairs that have nothing else in common are never made. No bucket, list of answers
+or number of partners is capped.
 
 Classes: texts linked with Jaccard similarity of at least ``CLOSE`` (so of similar size) are in one class
 (connected components). A class whose largest text is only contained in a larger text of another class (a
 cut version of it) joins one such class, that of the best container, so two texts never meet merely by
 sharing a contained third.
 
-First rounds make most classes cheaply: every text of a bucket meets the bucket's first few (texts that
-share many buckets come first, as the original of a group of edited copies does), then one text a class and
-bucket meets the first few and its neighbours in the order. After them every pair of a bucket that is still
-in two classes is checked, in blocks of a bucket, and the classes are formed anew; pairs within a class need
-no check, as they can change neither the classes nor what these join.
-
 Defined cases: equal texts are one text with several rows; a text of one to four words has one shingle of
 all its words; texts without words equal only themselves; null text counts as empty; repeated rows
 give repeated result rows; null ids are kept, and the class id is the smallest id (null if there is none);
-extra columns are ignored by ``classes`` and kept by ``keep_one``.
+extra columns of any name are ignored by ``classes`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,67 +43,113 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, small_or_shuffled
+from .common import BROADCAST_ROWS, discard, materialise, small_or_shuffled
 
 SHINGLE = 5
 SIMILARITY = 0.8
 CLOSE = 0.5
-LEADERS = 4
 ASKED = 16
-ANSWERED = 9
-BLOCK = 500
-HASHES = 64
-ROUNDS = 3
-ALIKE, ASKS, ANSWERS = 0, 1, 2  # roles of a text in a bucket
-_WORD = re.compile(r"[^\W_]+")
+ANSWERED = 8
+BLOCK = 512
+HASHES = 128
+DEVIATIONS = 3
+HOT_ROWS = 100_000
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _G = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[str, int] = {}
+_STRETCH = 1 << 18
+_POWER = np.uint64(0xD6E8FEB86659FD93)
+_UNPOWER = np.uint64(pow(int(_POWER), -1, 1 << 64))
+
 
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether a code point is a letter or digit; the powers, and inverse powers, of a word's characters."""
+    word = np.zeros(0x110000, bool)
+    word[[ord(c) for c in re.findall(r"[^\W_]", "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000))))]] = True
+    with np.errstate(over="ignore"):
+        powers = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(_STRETCH, p, np.uint64)])) for p in (_POWER, _UNPOWER)]
+    return word, *powers
 
-def _word_hash(word: str) -> int:
-    import xxhash
 
-    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-    if len(_words) < 400_000:
-        _words[word] = h
-    return h
+def _word_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash of every word of lower-case code points: the sum of its mixed characters times powers of their place."""
+    word, power, unpower = _tables()
+    inside = word[codes]
+    turn = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
+    starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    out = np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        at = 0
+        while at < len(starts):  # stretches of whole words bound the powers
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + _STRETCH, "right")))
+            low, high = starts[at], ends[to - 1]
+            x = (codes[low:high].astype(np.uint64) + np.uint64(1)) * _G
+            x ^= x >> np.uint64(32)
+            if high - low <= _STRETCH:
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(x * power[: high - low])])
+                h = (sums[ends[at:to] - low] - sums[starts[at:to] - low]) * unpower[starts[at:to] - low]
+            else:  # one word longer than a stretch
+                h = np.uint64(0)
+                for k in range(0, len(x), _STRETCH):
+                    h = h * power[_STRETCH] + (x[k : k + _STRETCH] * power[: len(x[k : k + _STRETCH])]).sum(dtype=np.uint64)
+            out[at:to] = h
+            at = to
+        out ^= out >> np.uint64(31)
+        out *= _G
+    return out
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the text's shingles."""
-    words = _WORD.findall((text or "").lower())
-    if not words:
-        return np.zeros(0, np.uint64)
-    get = _words.get
-    h = np.array([x if (x := get(w)) is not None else _word_hash(w) for w in words], np.uint64)
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = _word_hashes(codes)
+    if not len(h):
+        return h
     n = max(1, len(h) - SHINGLE + 1)
     with np.errstate(over="ignore"):
         out = np.full(n, 7, np.uint64)
         for k in range(min(SHINGLE, len(h))):
             out = (out ^ h[k : k + n]) * _G
             out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def signature(s: np.ndarray) -> np.ndarray:
     """The least value of each hash over the set, 32 bits."""
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(s), 1024):
-            part = s[at : at + 1024]
+        for at in range(0, len(s), 512):
+            part = s[at : at + 512]
             out = np.minimum(out, ((part[:, None] * _MULTIPLIERS) >> np.uint64(32)).min(0).astype(np.uint32))
     return out
 
 
+def partition(n: int) -> int:
+    """The size partition: sizes from 2^(p/2) up to below 2^((p+1)/2)."""
+    return (n * n).bit_length() - 1
+
+
+@lru_cache(maxsize=256)
+def bound(part: int) -> float:
+    """Least Jaccard similarity of a linked pair of one partition, ``CLOSE`` at least.
+
+    With containment c and sizes a <= b it is c a / (a + b - c a), least where b / a is largest: the
+    partition's largest size over its smallest. Less similar links make no class of their own.
+    """
+    low = math.isqrt((1 << part) - 1) + 1 if part else 1
+    high = max(low, math.isqrt((1 << (part + 1)) - 1))
+    return max(CLOSE, SIMILARITY / (1 + high / low - SIMILARITY))
+
+
 @lru_cache(maxsize=64)
-def banding(bound: float) -> tuple[int, int]:
-    """Bands and rows within the hashes: the fewest chance candidates that still find 95 % at the bound."""
+def banding(least: float) -> tuple[int, int]:
+    """Bands and rows within the hashes: the fewest chance candidates that still find 95 % at the threshold."""
     best = None
     for rows in range(1, 9):
         for bands in range(1, HASHES // rows + 1):
-            if 1 - (1 - bound**rows) ** bands >= 0.95:
-                low = np.linspace(0.01, bound, 50)
+            if 1 - (1 - least**rows) ** bands >= 0.95:
+                low = np.linspace(0.01, least, 50)
                 cost = float((1 - (1 - low**rows) ** bands).mean()) + 0.002 * bands
                 if best is None or cost < best[0]:
                     best = (cost, bands, rows)
@@ -108,36 +157,25 @@ def banding(bound: float) -> tuple[int, int]:
     return (best[1], best[2]) if best else (HASHES, 1)
 
 
-def bound(part: int) -> float:
-    """Least Jaccard similarity of a linked pair within a partition.
-
-    With containment c and sizes a <= b it is c a / (a + b - c a), least where b / a is largest: the
-    partition's largest size over its smallest.
-    """
-    ratio = (2.0**part - 1) / 2.0 ** (part - 1)
-    return SIMILARITY / (1 + ratio - SIMILARITY)
-
-
 def buckets(n: int, sig: np.ndarray) -> np.ndarray:
-    """Bucket numbers in the own partition's tables."""
+    """Bucket numbers in the tables of the own partition and of the next larger sizes."""
     if n == 0:
         return np.zeros(0, np.uint64)
-    part = int(n).bit_length()
-    bands, rows = banding(bound(part))
-    with np.errstate(over="ignore"):
-        h = np.full(bands, part * 4 * 1000003 + 17, np.uint64) + np.arange(bands, dtype=np.uint64)
-        for r in range(rows):
-            h = (h ^ sig[r * bands : (r + 1) * bands].astype(np.uint64)) * _G
-            h ^= h >> np.uint64(31)
-    return h
-
+    out = []
+    for part in (partition(n), partition(n) + 1):
+        bands, rows = banding(bound(part))
+        with np.errstate(over="ignore"):
+            h = np.full(bands, part * 4 * 1000003 + 17, np.uint64) + np.arange(bands, dtype=np.uint64)
+            for r in range(rows):
+                h = (h ^ sig[r * bands : (r + 1) * bands].astype(np.uint64)) * _G
+                h ^= h >> np.uint64(31)
+        out.append(h)
+    return np.concatenate(out)
 
-def asked(s: np.ndarray) -> np.ndarray:
-    """The shingles looked up in larger texts."""
-    return s[:ASKED]
 
-
-_SKETCH = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("asked", T.ArrayType(T.LongType()))])
+_SKETCH = T.StructType(
+    [T.StructField("n", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("asked", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
+)
 
 
 @F.pandas_udf(_SKETCH)
@@ -146,38 +184,9 @@ def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = []
         for x in s:
             sh = shingles(x)
-            rows.append((len(sh), buckets(len(sh), signature(sh)).view(np.int64), asked(sh).view(np.int64)))
-        yield pd.DataFrame(rows, columns=["n", "buckets", "asked"])
-
-
-def _answers(docs: DataFrame, asks: DataFrame) -> DataFrame:
-    """``key, n, bucket`` of the shingles of all texts that the filter of the asked ones lets through.
-
-    The filter is a bit table of about 32 bits an asked shingle, 64 MB at most; it only saves rows.
-    """
-    bits = min(29, max(20, (32 * asks.count()).bit_length()))
-    low = F.col("bucket").bitwiseAND(F.lit((1 << bits) - 1))
-    made = asks.groupBy(F.shiftright(low, 15).cast("int").alias("at")).agg(F.bitmap_construct_agg(low.bitwiseAND(F.lit(32767))).alias("m")).toPandas()
-    table = np.zeros((1 << (bits - 15), 4096), np.uint8)
-    for at, m in zip(made["at"], made["m"]):
-        table[at] = np.frombuffer(m, np.uint8)
-    packed = docs.sparkSession.sparkContext.broadcast(table.tobytes())
-    kind = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("met", T.ArrayType(T.LongType()))])
-
-    @F.pandas_udf(kind)
-    def met(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        flags = np.frombuffer(packed.value, np.uint8)
-        for s in batches:
-            rows = []
-            for x in s:
-                sh = shingles(x)
-                v = sh & np.uint64((1 << bits) - 1)
-                hit = (flags[v >> np.uint64(3)] >> (v & np.uint64(7)).astype(np.uint8)) & 1
-                rows.append((len(sh), sh[hit.astype(bool)].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["n", "met"])
-
-    found = keyed(docs.select("text")).select("key", met(F.col("text").cast("string")).alias("k"))
-    return found.select("key", "k.n", F.explode("k.met").alias("bucket"))
+            sig = signature(sh)
+            rows.append((len(sh), buckets(len(sh), sig).view(np.int64), sh[:ASKED].view(np.int64), sig.astype(np.uint8).tobytes()))
+        yield pd.DataFrame(rows, columns=["n", "buckets", "asked", "sig"])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -186,153 +195,221 @@ def _shingle_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingles(x).view(np.int64) for x in s])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds ``key``, the md5 of the text as 16 bytes."""
-    return docs.withColumn("key", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+@F.pandas_udf(T.BooleanType())
+def _plausible(na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
+    """False where the signatures agree over ``DEVIATIONS`` deviations less than those of a link of these sizes."""
+    small, large = np.minimum(na, nb), np.maximum(na, nb)
+    least = SIMILARITY * small / (small + large - SIMILARITY * small)
+    need = HASHES * least - DEVIATIONS * np.sqrt(HASHES * least * (1 - least))
+    if not len(na):
+        return need >= 0
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, HASHES) for s in (sa, sb))
+    return pd.Series((x == y).sum(1) >= need.to_numpy())
 
 
-def _components(edges: DataFrame, name: str) -> DataFrame:
-    """``key, class`` of all keys in ``edges (a, b)``: the smallest key reachable.
+class _Filter:
+    """A Bloom filter of a column of hashes: 16 bits a value and two places each, ``2**MOST`` bits (64 MB) at most.
 
-    Alternating large-star and small-star steps; every step is one aggregation and is written out.
+    Bits are set in parallel and gathered as one bitmap of bounded size. It only saves rows; what it lets
+    through by chance is dropped by the joins after it.
     """
-    both = lambda e: e.select("a", "b").union(e.select("b", "a"))
-    edges = materialise(edges.select("a", "b").where("a != b").distinct(), name)
-    while True:
-        near = both(edges).toDF("u", "v")
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = near.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        new = materialise(small.where("a != b").distinct(), name)
-        if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
-            break
-        edges = new
-    return edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("class")).union(edges.select("b", "b").distinct()).groupBy("key").agg(F.min("class").alias("class"))
-
-
-def _check(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Exact sizes of the sets' meets: ``a, b, na, nb, common`` with a the smaller set."""
-    needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-needed")
-    texts = keyed(docs.select("text")).join(small_or_shuffled(needed), "key", "left_semi").dropDuplicates(["key"])
-    sets = materialise(texts.select("key", _shingle_column(F.col("text").cast("string")).alias("s")), "near-sets")
-    met = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    na, nb = F.size("sa"), F.size("sb")
-    out = met.select("a", "b", na.alias("na"), nb.alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    flip = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
-    swap = lambda x, y: F.when(flip, F.col(y)).otherwise(F.col(x))
-    return out.select(swap("a", "b").alias("a"), swap("b", "a").alias("b"), swap("na", "nb").alias("na"), swap("nb", "na").alias("nb"), "common")
 
+    MOST = 29
+    SHIFTS = (0, 23)  # the least hashes of a set have zeros in front, so places are taken from the other end
 
-def _part(n: str):
-    """The number of the size partition: the bits of n."""
-    return F.length(F.bin(F.col(n).cast("long")))
+    def __init__(self, values: DataFrame):
+        (column,) = values.columns
+        self.bits = min(self.MOST, max(20, (16 * values.count()).bit_length()))
+        mask = F.lit((1 << self.bits) - 1)
+        places = F.array(*[F.shiftrightunsigned(column, k).bitwiseAND(mask) for k in self.SHIFTS])
+        at = values.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 15).cast("int").alias("at"))
+        made = at.agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("m")).toPandas()
+        table = np.zeros((1 << (self.bits - 15), 4096), np.uint8)
+        for k, m in zip(made["at"], made["m"]):
+            table[k] = np.frombuffer(m, np.uint8)
+        self.packed = values.sparkSession.sparkContext.broadcast(table.tobytes())
 
+    def passes(self, values: np.ndarray) -> np.ndarray:
+        """Places of the unsigned values that may be in the column."""
+        flags = np.frombuffer(self.packed.value, np.uint8)
+        at = np.arange(len(values))
+        for k in self.SHIFTS:
+            p = (values[at] >> np.uint64(k)) & np.uint64((1 << self.bits) - 1)
+            at = at[((flags[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
+        return at
 
-def _shared(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """``bucket, key, n, role, many`` of the rows that can meet another of their bucket."""
-    asks = texts.select("key", "n", F.explode("asked").alias("bucket"))
-    rows = texts.select("key", "n", F.explode("buckets").alias("bucket"), F.lit(ALIKE).alias("role"))
-    rows = rows.unionByName(asks.withColumn("role", F.lit(ASKS))).unionByName(_answers(docs, asks).withColumn("role", F.lit(ANSWERS)))
-    bucket = Window.partitionBy("bucket", "alike")
-    met = rows.withColumn("alike", F.col("role") == ALIKE).withColumn("part", _part("n"))
-    met = met.withColumn("many", F.count("*").over(bucket))
-    met = met.withColumn("least", F.min(F.when(F.col("role") == ASKS, F.col("part"))).over(bucket)).withColumn("most", F.max(F.when(F.col("role") == ANSWERS, F.col("part"))).over(bucket))
-    fit = F.when(F.col("role") == ALIKE, F.col("many") > 1).when(F.col("role") == ASKS, F.col("part") < F.col("most")).otherwise(F.col("part") > F.col("least"))
-    return met.where(fit).dropDuplicates(["bucket", "alike", "key", "role"]).select("bucket", "key", "n", "role", "many")
 
+def _text():
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-def _fit(role: str, n: str, other_role: str, other_n: str):
-    """Whether two rows of a bucket may make a pair."""
-    ask = lambda r, m, o, k: (F.col(r) == ASKS) & (F.col(o) == ANSWERS) & (_part(m) < _part(k))
-    return ((F.col(role) == ALIKE) & (F.col(other_role) == ALIKE)) | ask(role, n, other_role, other_n) | ask(other_role, other_n, role, n)
 
+def _key():
+    """The md5 of the text as 16 bytes."""
+    return F.unhex(F.md5(_text()))
 
-def _answered(n: str):
-    """Asked shingles that must be met: all but those that a link of so small a set may lack, else ``ANSWERED``."""
-    return F.greatest(F.least(F.lit(ASKED), F.col(n)) - F.floor(F.col(n) / 5), F.least(F.lit(ANSWERED), F.col(n)))
 
+def _short(key: str):
+    return F.xxhash64(key)
 
-def _candidates(met: DataFrame) -> DataFrame:
-    """``a, b`` of rows met in buckets, a the smaller set; a pair has rows of one kind."""
-    own, other = F.struct("n", "key"), F.struct(F.col("o_n").alias("n"), F.col("o_key").alias("key"))
-    low, high = F.least(own, other), F.greatest(own, other)
-    need = F.when(F.col("role") == ALIKE, 1).otherwise(_answered("low.n")).alias("need")
-    met = met.select("role", low.alias("low"), high.alias("high")).select(F.col("low.key").alias("a"), F.col("high.key").alias("b"), need)
-    return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("need").alias("need")).where("met >= need").select("a", "b")
 
+def _components(edges: DataFrame) -> DataFrame:
+    """``id, class`` of all ids in ``edges (a, b)``: the smallest id reachable.
 
-def _pairs(members: DataFrame, neighbours: bool) -> DataFrame:
-    """Candidates ``a, b``: each row with its bucket's first few, and if asked with those just before it."""
-    order = Window.partitionBy("bucket").orderBy(F.desc("role"), F.desc("degree"), F.desc("n"), "key")
-    one = F.struct("key", "n", "role")
-    others = [F.nth_value(one, k + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) for k in range(LEADERS)]
-    others += [F.lag(one, k).over(order) for k in range(1, LEADERS + 1)] if neighbours else []
-    met = members.withColumn("others", F.array_compact(F.array(*others))).select("key", "n", "role", F.explode("others").alias("o"))
-    met = met.select("key", "n", "role", *[F.col(f"o.{c}").alias(f"o_{c}") for c in ("key", "n", "role")])
-    return _candidates(met.where((F.col("o_key") != F.col("key")) & _fit("role", "n", "o_role", "o_n")))
+    Alternating large-star and small-star steps; every step is one aggregation and is written out.
+    """
+    both = lambda e: e.select("a", "b").union(e.select("b", "a"))
+    edges = materialise(edges.select("a", "b").where("a != b").distinct(), "near-components")
+    size, total = None, None
+    while True:
+        near = both(edges).toDF("u", "v")
+        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = near.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        before, edges = edges, materialise(small.where("a != b").distinct(), "near-components")
+        discard(before)
+        # A step that changes an edge lowers the sum of ends or the number of edges.
+        now = edges.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)") + F.col("b"))).first()
+        if (size, total) == tuple(now):
+            break
+        size, total = now
+    return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("class")).union(edges.select("b", "b").distinct())
 
 
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """All candidates ``a, b`` of a bucket that are in two classes.
+def _sets(docs: DataFrame, needed: DataFrame, only: _Filter | None = None) -> DataFrame:
+    """``id, s`` of the texts of ``needed (id, key)``: their sorted shingles, at least those that ``only`` lets through.
 
-    A bucket's rows are split into blocks; every block meets every other of its bucket in a group of
-    its own, so no task holds the pairs of a large bucket.
+    Other texts are left out by a broadcast of the few needed keys, or of a filter of them.
     """
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("bucket")) / BLOCK).cast("int")
-    rows = members.select("bucket", "key", "n", "role", "class", blocks.alias("blocks"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    all_blocks = lambda: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.where(F.col("role") != ANSWERS).select("bucket", F.col("block").alias("x"), all_blocks().alias("y"), "key", "n", "role", "class")
-    right = rows.where(F.col("role") != ASKS).select("bucket", all_blocks().alias("x"), F.col("block").alias("y"), *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "role", "class")])
-    once = (F.col("role") != ALIKE) | (F.col("key") < F.col("o_key"))
-    met = left.join(right, ["bucket", "x", "y"]).where((F.col("class") != F.col("o_class")) & once & _fit("role", "n", "o_role", "o_n"))
-    return _candidates(met)
+    rows = docs.select(_key().alias("key"), _text().alias("text"))
+    few = needed.count() <= BROADCAST_ROWS
+    wanted = None if few else _Filter(needed.select(_short("key").alias("k")))
+    if few:
+        rows = rows.join(F.broadcast(needed.select("key")), "key", "left_semi")
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def chosen(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, short in batches:
+            out = np.full(len(text), None, object)
+            every = range(len(text)) if wanted is None else wanted.passes(short.to_numpy(np.int64).view(np.uint64))
+            for i in every:
+                sh = shingles(text.iloc[i])
+                out[i] = (sh if only is None else sh[only.passes(sh)]).view(np.int64)
+            yield pd.Series(out)
+
+    # Copies of one text are combined before they are shuffled. A filter on what a deterministic function returns
+    # would be pushed below it and so run it twice.
+    chosen = chosen.asNondeterministic()
+    made = rows.select("key", chosen("text", _short("key")).alias("s")).where("s is not null")
+    return made.groupBy("key").agg(F.any_value("s").alias("s")).join(small_or_shuffled(needed), "key").select("id", "s")
+
+
+def _check(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links among ``pairs (a, b)``: ``a, b, na, nb, common`` with a the smaller set.
+
+    Of the larger sets only what may be in some smaller one is read. The smaller set is sent to the larger,
+    whose partners are split into groups of ``BLOCK``.
+    """
+    of = lambda x: texts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    sized = pairs.join(of("a"), "a").join(of("b"), "b").where(_plausible("na", "nb", "sa", "sb"))
+    flip = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
+    swap = lambda x, y: F.when(flip, F.col(y)).otherwise(F.col(x))
+    sized = materialise(sized.select(swap("a", "b").alias("a"), swap("b", "a").alias("b"), swap("na", "nb").alias("na"), swap("nb", "na").alias("nb")), "near-plausible")
+    needed = lambda x: materialise(sized.select(F.col(x).alias("id")).distinct().join(texts.select("id", "key"), "id"), "near-needed")
+    need_a, need_b = needed("a"), needed("b")
+    smaller = materialise(_sets(docs, need_a), "near-sets")
+    larger = materialise(_sets(docs, need_b, _Filter(smaller.select(F.explode("s").alias("s")))), "near-sets")
+    groups = sized.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
+    group = lambda x: F.pmod(F.xxhash64(x), F.col("groups")).cast("int").alias("group")
+    small = sized.join(groups, "b").select("a", "b", "na", "nb", group("a")).join(smaller.toDF("a", "sa"), "a")
+    large = larger.toDF("b", "sb").join(groups, "b").select("b", "sb", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    met = small.join(large, ["b", "group"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
+    links = materialise(met.where(F.col("common") >= SIMILARITY * F.col("na")), "near-links")
+    discard(sized, need_a, need_b, smaller, larger)
+    return links
+
+
+def _lookup(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidates ``a, b`` in different classes by the asymmetric lookup; ``texts`` has their classes."""
+    asks = texts.select("id", "n", "class", F.explode("asked").alias("s"))
+    wanted = _Filter(asks.select("s"))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def others(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        """Shingles beyond those that the text asks with itself."""
+        for s in batches:
+            out = []
+            for x in s:
+                sh = shingles(x)[ASKED:]
+                out.append(sh[wanted.passes(sh)].view(np.int64))
+            yield pd.Series(out)
+
+    others = others.asNondeterministic()  # as in _sets
+    found = docs.select(_key().alias("key"), others(_text()).alias("met")).where(F.size("met") > 0)
+    found = found.groupBy("key").agg(F.any_value("met").alias("met")).join(texts.select("key", "id", "class"), "key")
+    held = asks.select("s", "id", "class").union(found.select(F.explode("met").alias("s"), "id", "class"))
+    held = materialise(held, "near-held")
+    # How many texts of other classes hold a hash; those of the own class lead nowhere.
+    per = held.groupBy("s", "class").agg(F.count("*").alias("own"))
+    shared = per.groupBy("s").agg(F.sum("own").alias("df"), F.count("*").alias("classes")).where("classes > 1")
+    common = materialise(per.join(shared, "s").select("s", "class", "df", (F.col("df") - F.col("own")).alias("others")), "near-common")
+    # The rarest hashes of a text; those that no text of another class holds come first.
+    m = F.least(F.lit(ASKED), F.col("n"))
+    need = F.greatest(m - F.floor(F.col("n") / 5), F.least(F.lit(ANSWERED), F.col("n")))
+    rare = asks.join(common, ["s", "class"]).groupBy("id", "n", "class").agg(F.sort_array(F.collect_list(F.struct("others", "s", "df"))).alias("l"))
+    rare = rare.withColumn("take", (m - need + 1 - (m - F.size("l"))).cast("int")).where("take > 0")
+    rare = rare.select("id", "n", "class", F.explode(F.slice("l", F.lit(1), F.col("take"))).alias("r"))
+    followed = materialise(rare.select("id", "n", "class", "r.s", F.ceil(F.col("r.df") / BLOCK).cast("int").alias("blocks")), "near-followed")
+    # Answers in groups of one class and block: a text passes over the groups of its own class.
+    asked = followed.select("s", "blocks").distinct()
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    answers = held.join(asked, "s").select("s", "id", "class", block).join(texts.select("id", "n"), "id")
+    answers = answers.groupBy("s", "block", F.col("class").alias("o_class")).agg(F.collect_list(F.struct("n", "id")).alias("o"))
+    spread = followed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = spread.join(answers, ["s", "block"]).where("class != o_class")
+    larger = F.filter("o", lambda o: (o.n > F.col("n")) | ((o.n == F.col("n")) & (o.id > F.col("id"))))
+    pairs = materialise(met.select(F.col("id").alias("a"), F.explode(larger).alias("o")).select("a", F.col("o.id").alias("b")).distinct(), "near-pairs")
+    discard(held, common, followed)
+    return pairs
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts ``key, n, first_id, rows, class`` and links ``a, b, na, nb, common`` (all those between classes)."""
-    contained = F.col("common") >= SIMILARITY * F.col("na")
-    sketched = keyed(docs.select("doc_id", "text")).select("key", "doc_id", _sketch(F.col("text").cast("string")).alias("k"))
-    texts = materialise(
-        sketched.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.any_value("k").alias("k")).select("key", "first_id", "rows", "k.*"),
-        "near-texts",
-    )
-    shared = materialise(_shared(texts, docs), "near-buckets")
-    degree = shared.groupBy("key").agg(F.sum(F.col("many") - 1).alias("degree"))
-    shared = materialise(shared.drop("many").join(degree, "key"), "near-shared")
-    checked, tried = None, None
-
-    def classed(df: DataFrame) -> DataFrame:
-        near = checked.where(F.col("common") >= CLOSE * (F.col("na") + F.col("nb") - F.col("common"))).where(contained)
-        near_classes = materialise(_components(near, "near-components"), "near-classes")
-        return df.join(near_classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
-
-    def check(new: DataFrame) -> bool:
-        """Whether untried candidates among ``new`` are links."""
-        nonlocal checked, tried
-        new = materialise(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        found = materialise(_check(new, docs), "near-checked")
-        checked = found if checked is None else checked.union(found)
-        tried = new if tried is None else tried.union(new)
-        return not found.where(contained).isEmpty()
-
-    check(_pairs(shared, neighbours=False))
-    for _ in range(1, ROUNDS):
-        members = classed(shared).groupBy("bucket", "class", "role").agg(F.max(F.struct("degree", "n", "key")).alias("m")).select("bucket", "role", "m.*")
-        if not check(_pairs(members, neighbours=True)):
-            break
-    check(_all_pairs(classed(shared)))
-    return classed(texts.drop("buckets", "asked")), checked.where(contained)
+    """Texts ``id, key, n, first_id, rows, class`` and links ``a, b, na, nb, common`` (all those between classes)."""
+    sketched = docs.select(_key().alias("key"), "doc_id", _sketch(_text()).alias("k"))
+    texts = sketched.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.any_value("k").alias("k"))
+    texts = materialise(texts.select(F.monotonically_increasing_id().alias("id"), "key", "first_id", "rows", "k.*"), "near-texts")
+
+    def classed(links: DataFrame) -> DataFrame:
+        near = links.where(F.col("common") >= CLOSE * (F.col("na") + F.col("nb") - F.col("common")))
+        return materialise(_components(near), "near-classes")
+
+    def of_class(df: DataFrame, found: DataFrame) -> DataFrame:
+        return df.join(found, "id", "left").withColumn("class", F.coalesce("class", "id"))
+
+    rows = texts.select("id", F.explode("buckets").alias("bucket"))
+    ends = rows.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    shared = materialise(rows.join(ends, "bucket"), "near-shared")
+    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    pairs = shared.select(F.explode(F.array(pair("id", "first"), pair("id", "last"))).alias("p")).select("p.*").where("a != b").distinct()
+    links = _check(pairs, texts, docs)
+    found = classed(links)
+    discard(shared)
+
+    pairs = _lookup(of_class(texts.select("id", "key", "n", "asked"), found), docs)
+    more = _check(pairs, texts, docs)
+    links = links.union(more).dropDuplicates(["a", "b"])
+    if not more.isEmpty():
+        found = classed(links)
+    return of_class(texts.select("id", "key", "n", "first_id", "rows"), found), links
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
-    """``key, class, class_id, class_rows, keeper (key, first_id)`` of every distinct text."""
+    """``key, rows, class, class_id, class_rows, keeper (key, first_id)`` of every distinct text."""
     texts, links = link(docs)
     texts = materialise(texts, "near-classed")
-    own = texts.groupBy("class").agg(F.max_by("key", F.struct("n", F.col("key"))).alias("top"))
-    of = texts.select("key", "class")
+    own = texts.groupBy("class").agg(F.max_by("id", F.struct("n", F.col("id"))).alias("top"))
+    of = texts.select("id", "class")
     inside = (
         links.join(own.toDF("from", "a"), "a")
         .join(of.toDF("b", "to"), "b")
@@ -361,14 +438,30 @@ def text_classes(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, class_rows`` of every row."""
-    found = materialise(text_classes(docs).select("key", "class_id", "class_rows"), "near-result")
-    return keyed(docs.select("doc_id", "text")).select("doc_id", "key").join(found, "key").select("doc_id", "class_id", "class_rows")
+    """``doc_id, class_id, class_rows`` of every row.
+
+    Texts of over ``HOT_ROWS`` rows, of which there is one in so many rows at most, are joined by broadcast.
+    """
+    found = materialise(text_classes(docs).select("key", "rows", "class_id", "class_rows"), "near-result")
+    hot = F.broadcast(found.where(F.col("rows") > HOT_ROWS).select("key", F.struct("class_id", "class_rows").alias("hot")))
+    rows = docs.select("doc_id", _key().alias("key")).join(hot, "key", "left")
+    out = ["doc_id", "class_id", "class_rows"]
+    return rows.where("hot is not null").select("doc_id", "hot.*").union(rows.where("hot is null").join(found, "key").select(*out))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of every class: of its largest text, the row with the smallest id."""
-    found = text_classes(docs)
-    kept = materialise(found.where("key = keeper.key").select("key", F.col("first_id").alias("_kept")), "near-kept")
-    marked = keyed(docs).join(kept, "key").where(F.col("doc_id").eqNullSafe(F.col("_kept")))
-    return marked.dropDuplicates(["key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = text_classes(docs).where("key = keeper.key").select("key", F.struct(F.col("first_id").alias("id")).alias("first"))
+    kept = materialise(kept, "near-kept")
+    wanted = _Filter(kept.select(F.xxhash64("key", "first.id").alias("k")))
+
+    @F.pandas_udf(T.BooleanType())
+    def likely(short: pd.Series) -> pd.Series:
+        out = np.zeros(len(short), bool)
+        out[wanted.passes(short.to_numpy(np.int64).view(np.uint64))] = True
+        return pd.Series(out)
+
+    # Rows that aren't kept are left out before whole rows are shuffled.
+    rows = docs.select(F.struct("*").alias("row"), _key().alias("key")).where(likely(F.xxhash64("key", "row.doc_id")))
+    marked = rows.join(kept, "key").where(F.col("row.doc_id").eqNullSafe(F.col("first.id")))
+    return marked.dropDuplicates(["key"]).select("row.*")
