@@ -28,6 +28,24 @@ def phrase(places: DataFrame, queries: DataFrame) -> DataFrame:
     return votes.where("n = need").select("query_id", "doc_id").distinct()
 
 
+def windows(places: DataFrame, size: int) -> DataFrame:
+    """``doc_id, at, words``: every ``size`` kept words in a row, as an array."""
+    order = Window.partitionBy("doc_id").orderBy("at")
+    words = [F.col("term"), *[F.lead("term", k).over(order) for k in range(1, size)]]
+    return places.select("doc_id", "at", F.array(*words).alias("words")).where(F.element_at("words", -1).isNotNull())
+
+
+def phrase_windows(places: DataFrame, queries: DataFrame, size: int) -> DataFrame:
+    """``query_id, start, docs``: documents that hold each phrase; one join on whole phrases, however many are asked.
+
+    queries: (query_id, start, words). Phrases that nobody asks for are left out before the shuffle.
+    """
+    asked = small_or_shuffled(queries.select("words").distinct())
+    met = windows(places, size).join(asked, "words", "left_semi").select("words", "doc_id").distinct()
+    per = met.groupBy("words").agg(F.count("*").alias("docs"))
+    return queries.join(per, "words").select("query_id", "start", "docs")
+
+
 def near(places: DataFrame, pairs: DataFrame, distance: int = 1, symmetric: bool = False) -> DataFrame:
     """``query_id, i, doc_id``: the pair's terms within the distance. pairs: (query_id, i, a, b).
 

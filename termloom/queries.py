@@ -320,11 +320,21 @@ def _(spark, sf):
 
 # Entities
 
-_Q = lambda p: p.replace("'", "''")
-_ENT = f"""WITH f AS (SELECT doc_id, translate(text, '{X.FOLD_FULL[0]}', '{X.FOLD_FULL[1]}') AS t FROM documents
+#: Patterns written for the SQL alone.
+_SQL_NUMBER = r"^\d+$|\d-?\d{8}$|^\d+[.|,]\d+$"
+_SQL_MAIL_OR_URL = r"^([a-zA-Z]+:/+[\w.-]+\.[\w./-]+[^https:]|[\w.-]+@[a-zA-Z]+(\.[a-zA-Z]+)+|www\.[a-z\d]+(\.[a-z]{2,4}){1,4})"
+_SQL_DATE = r"^(\d{1,2}[/.-]\d{1,2}[/.-]\d{1,4}|\d{2,4}[/.-]\d{1,2}[/.-]\d{1,2})$"
+_SQL_ABBREVIATION = (
+    r"(^|[^\pL\pN_])[a-zA-Z](\.[a-zA-Z])+([^\pL\pN_]|$)|[A-Z][b-df-hj-np-tvxz]+\.|(^|[^\pL\pN_])[A-Z]{2,5}([^\pL\pN_]|$)"
+    r"|(^|[^\pL\pN_])[b-df-hj-np-tvxz]{2,4}\.|[A-Z][aeiou][b-df-hj-np-tvxz]\.|(^|[^\pL\pN_])[a-zA-Z]{1,2}(\.[a-zA-Z]{1,2})+([^\pL\pN_]|$)"
+)
+_SQL_PROPER_NAME = r"[^\pL\pN_](([A-Z]([a-z]+|\.+))+(\s[A-Z][a-z]+)+)"
+_SQL_INNER_NUMBER = r"[-+]?(\d+[,-]?)*\d(\.\d+)?"
+_SQL_FOLD = ("áäâàãéëèêẽíïĩìîóõöòôúüùûũ", "aaaaaeeeeeiiiiiooooouuuuu")
+_ENT = f"""WITH f AS (SELECT doc_id, translate(text, '{_SQL_FOLD[0]}ñ', '{_SQL_FOLD[1]}n') AS t FROM documents
 ), s AS (SELECT doc_id, unnest(string_split_regex(trim(t), '\\s+')) AS token FROM f
-), k AS (SELECT doc_id, token, CASE WHEN regexp_matches(token, '{_Q(X.NUMBER)}') THEN 'number' WHEN regexp_matches(token, '{_Q(X.MAIL_OR_URL)}') THEN 'mail_url'
-  WHEN regexp_matches(token, '{_Q(X.ABBREVIATION)}') THEN 'abbreviation' WHEN regexp_matches(token, '{_Q(X.DATE)}') THEN 'date' ELSE 'plain' END AS kind FROM s
+), k AS (SELECT doc_id, token, CASE WHEN regexp_matches(token, '{_SQL_NUMBER}') THEN 'number' WHEN regexp_matches(token, '{_SQL_MAIL_OR_URL}') THEN 'mail_url'
+  WHEN regexp_matches(token, '{_SQL_ABBREVIATION}') THEN 'abbreviation' WHEN regexp_matches(token, '{_SQL_DATE}') THEN 'date' ELSE 'plain' END AS kind FROM s
 ), c AS (SELECT doc_id, token, kind, CASE WHEN kind IN ('number', 'mail_url', 'date') THEN lower(regexp_replace(token, '[^\\p{{L}}\\p{{N}}_\\s/@.:-?&|]', '', 'g'))
   ELSE lower(regexp_replace(token, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')) END AS term FROM k
 ), kept AS (SELECT * FROM c WHERE kind IN ('number', 'mail_url', 'date') OR (regexp_matches(term, '^[a-z]+$') AND length(term) BETWEEN 3 AND 25)
@@ -350,7 +360,7 @@ def _(spark, sf):
 
 @query(
     "proper_names",
-    _ENT + f" SELECT lower(name) AS term, CAST(count(*) AS BIGINT) AS cf, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{_Q(X.PROPER_NAME)}', 1)) AS name FROM f) GROUP BY 1",
+    _ENT + f" SELECT lower(name) AS term, CAST(count(*) AS BIGINT) AS cf, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{_SQL_PROPER_NAME}', 1)) AS name FROM f) GROUP BY 1",
 )
 def _(spark, sf):
     names = tokenize.typed_tokens(_docs(spark, sf)).where("kind = 'proper_name'")
@@ -359,8 +369,8 @@ def _(spark, sf):
 
 @query(
     "inner_numbers",
-    f"""SELECT num AS term, CAST(count(*) AS BIGINT) AS cf FROM (SELECT unnest(regexp_extract_all(token, '{_Q(X.INNER_NUMBER)}')) AS num
-  FROM (SELECT unnest(string_split_regex(trim(translate(text, '{X.FOLD_WIDE[0]}', '{X.FOLD_WIDE[1]}')), '\\s+')) AS token FROM documents)) GROUP BY 1""",
+    f"""SELECT num AS term, CAST(count(*) AS BIGINT) AS cf FROM (SELECT unnest(regexp_extract_all(token, '{_SQL_INNER_NUMBER}')) AS num
+  FROM (SELECT unnest(string_split_regex(trim(translate(text, '{_SQL_FOLD[0]}', '{_SQL_FOLD[1]}')), '\\s+')) AS token FROM documents)) GROUP BY 1""",
 )
 def _(spark, sf):
     found = tokenize.entity_tokens(_docs(spark, sf)).where("kind = 'number'")
@@ -471,24 +481,21 @@ for _method in ("vb", "gamma"):
 # Boolean retrieval
 
 
-def _sql_condition(node) -> str:
-    if isinstance(node, boolean.Term):
-        return f"bool_or(term = '{node.name}')"
-    left, right = _sql_condition(node.left), _sql_condition(node.right)
-    return f"({left} {'OR' if node.sign == '|' else 'AND'} {'NOT ' if node.sign == '-' else ''}{right})"
+_HAS = "bool_or(term = '{}')".format
 
 
-def _boolean(name: str, text: str, sets: bool = False):
-    @query(name, _TF + f" SELECT doc_id FROM tf GROUP BY 1 HAVING {_sql_condition(boolean.parse(text))}")
+def _boolean(name: str, text: str, condition: str, sets: bool = False):
+    @query(name, _TF + f" SELECT doc_id FROM tf GROUP BY 1 HAVING {condition}")
     def _(spark, sf):
         return (boolean.search_by_sets if sets else boolean.search)(postings(spark, sf), text)
 
 
-_boolean("boolean_and", BOOLEAN_AND)
-_boolean("boolean_or", BOOLEAN_OR)
-_boolean("boolean_not", BOOLEAN_NOT)
-_boolean("boolean_nested", BOOLEAN_NESTED)
-_boolean("boolean_nested_by_sets", BOOLEAN_NESTED, sets=True)
+_NESTED_SQL = f"(({_HAS('that')} OR {_HAS('dans')}) AND {_HAS('from')}) OR ({_HAS('nicht')} AND NOT ({_HAS('der')} AND {_HAS('die')}))"
+_boolean("boolean_and", BOOLEAN_AND, f"{_HAS('that')} AND {_HAS('with')}")
+_boolean("boolean_or", BOOLEAN_OR, f"{_HAS('dans')} OR {_HAS('nicht')}")
+_boolean("boolean_not", BOOLEAN_NOT, f"{_HAS('that')} AND NOT {_HAS('with')}")
+_boolean("boolean_nested", BOOLEAN_NESTED, _NESTED_SQL)
+_boolean("boolean_nested_by_sets", BOOLEAN_NESTED, _NESTED_SQL, sets=True)
 
 _ALL = ", m AS (SELECT query_id, doc_id, term FROM q JOIN tf USING (term)), need AS (SELECT query_id, count(DISTINCT term) AS need FROM m GROUP BY 1), hit AS (SELECT query_id, doc_id FROM m JOIN need USING (query_id) GROUP BY query_id, doc_id, need HAVING count(*) = need)"
 
@@ -526,6 +533,22 @@ def _(spark, sf):
     return positional.phrase(_places(spark, sf), _phrases(spark, sf))
 
 
+@query(
+    "phrase_windows",
+    _TF
+    + _PLACES
+    + _ITEMS
+    + """, w AS (SELECT doc_id, term AS a, lead(term) OVER p AS b, lead(term, 2) OVER p AS c FROM places WINDOW p AS (PARTITION BY doc_id ORDER BY place)
+), qw AS (SELECT query_id, row_number() OVER p - 1 AS start, term AS a, lead(term) OVER p AS b, lead(term, 2) OVER p AS c FROM qtok WHERE term IS NOT NULL WINDOW p AS (PARTITION BY query_id ORDER BY pos)
+) SELECT query_id, start, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM qw JOIN w USING (a, b, c) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """Every three words in a row of every benchmark item."""
+    items = _table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")
+    asked = positional.windows(positional.positions(tokenize.plain_tokens(items)), 3).select(F.col("doc_id").alias("query_id"), F.col("at").alias("start"), "words")
+    return positional.phrase_windows(_places(spark, sf), asked, 3)
+
+
 def _near_sql(test: str) -> str:
     return (
         _TF
