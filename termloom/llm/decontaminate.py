@@ -1,20 +1,25 @@
 """Benchmark decontamination by the q-gram lemma.
 
 A document region within k edits of an item of m characters shares at least m - q + 1 - k q of its
-q-grams with it, on diagonals that differ by at most k. Shared q-grams are counted in overlapping bands of
-diagonals; bands that reach the bound are verified by an alignment that only fills the band.
+q-grams with it, on diagonals that differ by at most k. q is 8, for an item for which that leaves no bound
+the largest smaller one that does, so no length of items is missed. Shared q-grams are counted in
+overlapping bands of 2 (k + 1) diagonals, of each item's own width; bands that reach the bound are verified
+by an alignment that fills the band's cells only, so an item costs about 2 k m a band.
 
 Documents are scanned in one map-only pass against an index of the items. Items are taken in blocks of at
 most ``block_chars`` characters, one pass a block, so an index never outgrows a worker's memory.
 
 Texts are compared in lower case with every white-space character as a space, one code point for one, so
 spans are code points of the document's own text. Defined cases: null or empty texts and items have no
-hits; an item shorter than q is found where it occurs with no edit; repeated rows give repeated hits;
-extra columns are ignored; an empty benchmark gives no hits.
+hits; an item shorter than q is found where it occurs with no edit; ids of any type are carried as they are;
+of an item's occurrences in a document the one of fewest edits is given, then the first end, then the last
+start; repeated rows give repeated hits; extra columns of any name are ignored, ``keep_clean`` keeps them; an
+empty benchmark gives no hits.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,19 +33,15 @@ Q = 8
 EDITS = 0.1
 BLOCK_CHARS = 4_000_000
 BATCH_CHARS = 200_000
+PAIRS = 2_000_000
 _BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-HITS = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("item_id", T.LongType()),
-            T.StructField("start", T.LongType()),
-            T.StructField("end", T.LongType()),
-            T.StructField("edits", T.IntegerType()),
-        ]
-    )
-)
+
+def hits_type(benchmark: DataFrame) -> T.ArrayType:
+    """Hits carry the items' ids as they are."""
+    kinds = [("item_id", benchmark.schema["item_id"].dataType), ("start", T.LongType()), ("end", T.LongType()), ("edits", T.IntegerType())]
+    return T.ArrayType(T.StructType([T.StructField(*k) for k in kinds]))
 
 
 _ALL_SPACES = np.zeros(0x3001, bool)
@@ -71,62 +72,131 @@ def hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
-def align(item: np.ndarray, text: np.ndarray, limit: int) -> tuple[int, int, int] | None:
-    """Least edits of the item against any stretch of the text: (edits, start, end), None beyond the limit.
+def align(item: np.ndarray, text: np.ndarray, lows: np.ndarray, width: int, limit: int) -> tuple[int, int, int] | None:
+    """Least edits of the item against any stretch of the text, along bands of diagonals: (edits, start, end).
 
-    Rows are the item's characters; a row is a vector over the text, whose width is that of the band.
-    Among equal edits the first end wins, then the last start.
+    Band b holds the diagonals (place in the text less place in the item) from ``lows[b]`` to below
+    ``lows[b] + width``; no cell outside of a band is filled. Rows are the item's characters, a row is a
+    matrix of bands by diagonals. Among equal edits the first end wins, then the last start; None beyond
+    the limit.
     """
-    n = len(text)
-    steps = np.arange(n + 1)
-    row = np.zeros(n + 1, np.int64)
-    begin = steps.copy()
-    big = n + len(item) + 2
-    for i, c in enumerate(item, 1):
-        sub = row[:-1] + (text != c)
-        up = row[1:] + 1
+    n, m = len(text), len(item)
+    steps = np.arange(width)
+    big = n + m + width + 2
+    far = n + m + 1  # edits of a cell that can't be reached
+    place = lows[:, None] + steps  # characters of the text before the cell
+    inside = (place >= 0) & (place <= n)
+    row = np.where(inside, 0, far)
+    begin = np.clip(place, 0, n)
+    padded = np.append(text, np.uint32(0xFFFFFFFF))
+    edge = np.full((len(lows), 1), far)
+    none = np.zeros((len(lows), 1), begin.dtype)
+    for c in item:
+        place = place + 1
+        before = np.where((place >= 1) & (place <= n), place - 1, n)
+        sub = row + (padded[before] != c)
+        up = np.hstack([row[:, 1:], edge]) + 1
         take = sub <= up
         best = np.where(take, sub, up)
-        first = np.where(take, begin[:-1], begin[1:])
-        best = np.concatenate([[i], best])
-        first = np.concatenate([[0], first])
+        first = np.where(take, begin, np.hstack([begin[:, 1:], none]))
+        best[(place < 0) | (place > n)] = far
         # a gap in the item: running minimum along the row, with the place it came from
         shifted = (best - steps) * big + (big - 1 - steps)  # ties: the latest
-        low = np.minimum.accumulate(shifted)
-        row = low // big + steps
-        came = big - 1 - low % big
-        begin = first[came]
-        if row.min() > limit:
-            return None
-    end = int(np.argmin(row))
-    return (int(row[end]), int(begin[end]), end) if row[end] <= limit else None
-
-
-class Index:
-    """The items' q-grams, sorted by hash, with a bit table before them."""
-
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, edits: float = EDITS):
+        low = np.minimum.accumulate(shifted, axis=1)
+        row = np.minimum(low // big + steps, far)
+        row[place > n] = far
+        begin = np.take_along_axis(first, big - 1 - low % big, axis=1)
+        alive = row.min(1) <= limit
+        if not alive.all():
+            if not alive.any():
+                return None
+            row, begin, place, edge, none = row[alive], begin[alive], place[alive], edge[alive], none[alive]
+    good = np.flatnonzero(row.ravel() == row.min())
+    ends, starts = place.ravel()[good], begin.ravel()[good]
+    at = np.lexsort((-starts, ends))[0]
+    return int(row.min()), int(starts[at]), int(ends[at])
+
+
+def gram_size(size: int, limit: int, q: int) -> int:
+    """The largest q up to the given one for which the lemma asks at least one common q-gram."""
+    while q > 1 and size - q + 1 - limit * q < 1:
+        q -= 1
+    return q
+
+
+class _Grams:
+    """The q-grams of some items, sorted by hash, with a bit table before them."""
+
+    def __init__(self, numbers: list[int], items: list[np.ndarray], limits: np.ndarray, q: int):
         self.q = q
-        self.items = [(i, codes_of(t)) for i, t in items if t]
-        self.limits = np.array([int(edits * len(c)) if len(c) >= q else 0 for _, c in self.items], np.int64)
-        sizes = np.array([len(c) for _, c in self.items], np.int64)
-        self.least = np.maximum(1, sizes - q + 1 - self.limits * q)
-        self.sizes = sizes
-        self.short = [k for k, (_, c) in enumerate(self.items) if len(c) < q]
-        grams = [hashes(c, q) for _, c in self.items]
-        h = np.concatenate([*grams, np.zeros(0, np.uint64)])
+        self.numbers = np.array(numbers, np.int64)
+        self.sizes = np.array([len(items[k]) for k in numbers], np.int64)
+        limits = limits[self.numbers]
+        self.least = np.maximum(1, self.sizes - q + 1 - limits * q)
+        #: Bands overlap by half, so any limit + 1 neighbouring diagonals lie within one.
+        self.half = limits + 1
+        grams = [hashes(items[k], q) for k in numbers]
+        h = np.concatenate(grams)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        offset = np.concatenate([*[np.arange(len(g)) for g in grams], np.zeros(0, np.int64)]).astype(np.int64)
+        offset = np.concatenate([np.arange(len(g)) for g in grams]).astype(np.int64)
         order = np.argsort(h, kind="stable")
         self.item, self.offset = item[order], offset[order]
         self.keys, self.starts = np.unique(h[order], return_index=True)
         self.ends = np.append(self.starts[1:], len(h)).astype(np.int64)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.keys >> np.uint64(64 - _BITS)] = True
-        #: Bands overlap by half, so any k + 1 neighbouring diagonals lie within one.
-        self.half = int(max(1, self.limits.max(initial=0) + 1))
 
-    def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+    def bands(self, flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item number, least diagonal) of every band that holds enough of an item's q-grams."""
+        h = hashes(flat, self.q)
+        at = np.flatnonzero(self.seen[h >> np.uint64(64 - _BITS)])
+        key = np.searchsorted(self.keys, h[at])
+        key[key == len(self.keys)] = 0
+        same = self.keys[key] == h[at]
+        at, key = at[same], key[same]
+        if not len(at):
+            return
+        doc = np.searchsorted(starts, at, "right") - 1
+        n = self.ends[key] - self.starts[key]
+        most = int(self.sizes.max())
+        span = (len(flat) + most) // int(self.half.min()) + 3
+        every, tally = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # Pieces of bounded size: a q-gram may be in many items and at many places.
+        for piece in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1):
+            k, times = key[piece], n[piece]
+            entry = np.repeat(self.starts[k], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            item = self.item[entry]
+            place = np.repeat(at[piece] - starts[doc[piece]], times)
+            band = (place - self.offset[entry] + most) // self.half[item] + 1
+            code = (np.repeat(doc[piece], times) * len(self.sizes) + item) * span + band
+            for shift in (0, 1):  # a band holds the diagonals [b, b + 2) * half
+                codes, counts = np.unique(code - shift, return_counts=True)
+                every.append(codes)
+                tally.append(counts)
+        codes, where = np.unique(np.concatenate(every), return_inverse=True)
+        counts = np.bincount(where, np.concatenate(tally)).astype(np.int64)
+        item = codes // span % len(self.sizes)
+        for g in np.flatnonzero(counts >= self.least[item]):
+            k = int(item[g])
+            yield int(codes[g] // span // len(self.sizes)), int(self.numbers[k]), (int(codes[g] % span) - 1) * int(self.half[k]) - most
+
+
+class Index:
+    """The items and their q-grams, each item with the largest q for which the lemma leaves a bound."""
+
+    def __init__(self, items: list[tuple[object, str]], q: int = Q, edits: float = EDITS):
+        self.q = q
+        self.ids = [i for i, t in items if t]
+        self.items = [codes_of(t) for _, t in items if t]
+        self.limits = np.array([int(edits * len(c)) if len(c) >= q else 0 for c in self.items], np.int64)
+        self.short = [k for k, c in enumerate(self.items) if len(c) < q]
+        by_q: dict[int, list[int]] = {}
+        for k, c in enumerate(self.items):
+            if len(c) >= q:
+                by_q.setdefault(gram_size(len(c), int(self.limits[k]), q), []).append(k)
+        self.grams = [_Grams(numbers, self.items, self.limits, size) for size, numbers in sorted(by_q.items())]
+
+    def search(self, texts: list[str | None]) -> list[list[tuple[object, int, int, int]]]:
         out: list[list] = [[] for _ in texts]
         at, batch = 0, []
         for n, t in enumerate(texts):
@@ -136,104 +206,51 @@ class Index:
             if batch and (at > BATCH_CHARS or n == len(texts) - 1):
                 self._batch(batch, out)
                 at, batch = 0, []
-        if batch:
-            self._batch(batch, out)
         return out
 
     def _batch(self, batch, out) -> None:
-        if not self.items:
-            return
         gap = np.zeros(self.q, np.uint32)
         flat = np.concatenate([x for _, c in batch for x in (c, gap)])
         starts = np.cumsum([0] + [len(c) + self.q for _, c in batch])
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        if len(self.keys):
-            self._bands(flat, starts, found)
-        for (doc, k), regions in found.items():
+        found: dict[tuple[int, int], list[int]] = {}
+        for grams in self.grams:
+            for doc, k, low in grams.bands(flat, starts):
+                found.setdefault((doc, k), []).append(low)
+        for (doc, k), lows in sorted(found.items()):
             n, text = batch[doc]
-            item_id, item = self.items[k]
-            best = None
-            for low, high in _merged(regions):
-                low, high = max(0, low), min(len(text), high)
-                got = self._verify(item, text[low:high], k) if high > low else None
-                if got and (best is None or got[0] < best[0]):
-                    best = (got[0], low + got[1], low + got[2])
-            if best:
-                out[n].append((item_id, best[1], best[2], best[0]))
+            if best := self._verify(k, text, lows):
+                out[n].append((self.ids[k], best[1], best[2], best[0]))
         for k in self.short:
-            item_id, item = self.items[k]
-            needle = item.tobytes()
             for n, text in batch:
-                hay, p = text.tobytes(), -1
-                while (p := hay.find(needle, p + 1)) >= 0 and p % 4:
-                    pass
+                p = _find(self.items[k], text)
                 if p >= 0:
-                    out[n].append((item_id, p // 4, p // 4 + len(item), 0))
-        for n, _ in batch:
-            out[n].sort()
-
-    def _verify(self, item, text, k: int) -> tuple[int, int, int] | None:
-        """The alignment within a region; a verbatim occurrence, or too few of the item's q-grams, saves it."""
-        hay, needle, p = text.tobytes(), item.tobytes(), -1
-        while (p := hay.find(needle, p + 1)) >= 0 and p % 4:
-            pass
+                    out[n].append((self.ids[k], p, p + len(self.items[k]), 0))
+
+    def _verify(self, k: int, text: np.ndarray, lows: list[int]) -> tuple[int, int, int] | None:
+        """The best alignment within the bands; a verbatim occurrence saves it."""
+        item, limit = self.items[k], int(self.limits[k])
+        p = _find(item, text)
         if p >= 0:
-            return 0, p // 4, p // 4 + len(item)
-        if np.isin(hashes(item, self.q), hashes(text, self.q)).sum() < self.least[k]:
+            return 0, p, p + len(item)
+        if not limit:
             return None
-        return align(item, text, int(self.limits[k]))
+        width = 2 * (limit + 1)
+        step = max(1, PAIRS // (8 * width))
+        every = (align(item, text, np.array(lows[i : i + step], np.int64), width, limit) for i in range(0, len(lows), step))
+        return min(filter(None, every), key=lambda x: (x[0], x[2], -x[1]), default=None)
 
-    def _bands(self, flat, starts, found) -> None:
-        h = hashes(flat, self.q)
-        at = np.flatnonzero(self.seen[h >> np.uint64(64 - _BITS)])
-        key = np.searchsorted(self.keys, h[at])
-        key[key == len(self.keys)] = 0
-        same = self.keys[key] == h[at]
-        at, key = at[same], key[same]
-        n = self.ends[key] - self.starts[key]
-        if not n.sum():
-            return
-        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        entry = np.repeat(self.starts[key], n) + rank
-        place = np.repeat(at, n)
-        item = self.item[entry]
-        doc = np.searchsorted(starts, place, "right") - 1
-        diagonal = place - self.offset[entry] + self.sizes.max()
-        band = diagonal // self.half
-        span = len(flat) // self.half + int(self.sizes.max()) // self.half + 3
-        code = (doc * len(self.items) + item) * span + band
-        for shift in (0, 1):  # a band holds the diagonals [b, b + 2) * half
-            keys, counts = np.unique(code - shift, return_counts=True)
-            if shift == 0:
-                first, first_counts = keys, counts
-        every = np.concatenate([first, keys])
-        tally = np.concatenate([first_counts, counts])
-        keys, where = np.unique(every, return_inverse=True)
-        counts = np.bincount(where, tally).astype(np.int64)
-        which = keys // span % len(self.items)
-        good = np.flatnonzero(counts >= self.least[which])
-        for g in good:
-            k = int(which[g])
-            d = int(keys[g] // span // len(self.items))
-            low = int(keys[g] % span) * self.half - int(self.sizes.max()) - int(starts[d])
-            limit = int(self.limits[k])
-            found.setdefault((d, k), []).append((low - limit, low + 2 * self.half + int(self.sizes[k]) + limit))
-
-
-def _merged(regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for low, high in sorted(regions):
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(high, out[-1][1])
-        else:
-            out.append([low, high])
-    return [(a, b) for a, b in out]
+
+def _find(item: np.ndarray, text: np.ndarray) -> int:
+    hay, needle, p = text.tobytes(), item.tobytes(), -1
+    while (p := hay.find(needle, p + 1)) >= 0 and p % 4:
+        pass
+    return p if p < 0 else p // 4
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size; one block at a time is on the driver."""
     block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and text != ''")
+    rows = benchmark.select("item_id", F.col("text").cast("string")).where("text is not null and text != ''")
     for i, t in rows.distinct().orderBy("item_id", "text").toLocalIterator():
         if block and size + len(t) > block_chars:
             yield block
@@ -244,12 +261,24 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
         yield block
 
 
-def _searcher(packed, q: int, edits: float):
+_latest: dict[str, Index] = {}
+
+
+def _index(name: str, block, q: int, edits: float) -> Index:
+    """The index of a block; a worker keeps the latest from task to task."""
+    if name not in _latest:
+        _latest.clear()
+        _latest[name] = Index(block, q, edits)
+    return _latest[name]
+
+
+def _searcher(packed, kind: T.ArrayType, q: int, edits: float):
     """The search of one block of items, given as a broadcast."""
+    name = uuid.uuid4().hex
 
-    @F.pandas_udf(HITS)
+    @F.pandas_udf(kind)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(packed.value, q, edits)
+        index = _index(name, packed.value, q, edits)
         names = ("item_id", "start", "end", "edits")
         for s in batches:
             yield pd.Series([[dict(zip(names, h)) for h in hits] for hits in index.search(s.tolist())], dtype=object)
@@ -260,9 +289,9 @@ def _searcher(packed, q: int, edits: float):
 def hits_column(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, block_chars: int = BLOCK_CHARS) -> Column:
     """An array of hits (item_id, start, end, edits) for the column ``text``: the best of each item."""
     context = docs.sparkSession.sparkContext
-    text = F.col("text").cast("string")
-    found = [_searcher(context.broadcast(block), q, edits)(text) for block in item_blocks(benchmark, block_chars)]
-    return reduce(F.concat, found) if found else F.array().cast(HITS)
+    text, kind = F.col("text").cast("string"), hits_type(benchmark)
+    found = [_searcher(context.broadcast(block), kind, q, edits)(text) for block in item_blocks(benchmark, block_chars)]
+    return reduce(F.concat, found) if found else F.array().cast(kind)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
