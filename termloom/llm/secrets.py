@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialise, small_or_shuffled
 
 MAX_STRINGS = 64
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -137,6 +138,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, rules=RULES) -> DataFrame:
     """Postings ``(trigram int, key binary)`` of the trigrams that the rules' queries use."""
+    if not _vocabulary(rules):
+        return keyed(docs).select("key", F.lit(0).alias("trigram")).where(F.lit(False))
     lower = F.lower("text")
     found = F.array_compact(
         F.array(*[F.when(F.contains(lower, F.lit(t)), F.lit(i)) for i, t in enumerate(_vocabulary(rules))])
@@ -151,6 +154,8 @@ def candidates(postings: DataFrame, rules=RULES) -> DataFrame:
     postings of a text with many copies meet as a few rows.
     """
     vocabulary = _vocabulary(rules)
+    if not vocabulary:
+        return postings.select("key", F.lit(0).alias("wanted")).where(F.lit(False))
     words = range((len(vocabulary) + 59) // 60)
     one = F.lit(1).cast("long")
     bits = [
@@ -192,15 +197,28 @@ def _spans(rule: Rule, number: int) -> Column:
     gaps = F.split("text", rule.regex, -1)
     start = lambda a, x: a["p"] + F.length(x["g"])
     end = lambda a, x: start(a, x) + F.length(x["m"])
+    zero = F.lit(0).cast("long")
 
     def merge(a, x):
         span = F.array(F.struct(start(a, x).alias("s"), F.lit(number).alias("k"), end(a, x).alias("e")))
         kept = F.when(F.length(x["v"]) >= rule.value_min, F.concat(a["o"], span.cast(_SPAN))).otherwise(a["o"])
         return F.struct(end(a, x).alias("p"), kept.alias("o"))
 
+    def of_block(block, begin):
+        return F.aggregate(block, F.struct(begin.alias("p"), F.array().cast(_SPAN).alias("o")), merge, lambda a: a["o"])
+
+    def every(z):
+        """Positions in two levels, so an array that grows by a match a step is never longer than a block."""
+        count = F.ceil(F.size(z) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(z, b * BLOCK + 1, F.lit(BLOCK)))
+        length = lambda block: F.aggregate(block, zero, lambda n, x: n + F.length(x["g"]) + F.length(x["m"]))
+        begin = F.struct(zero.alias("p"), F.array().cast("array<bigint>").alias("o"))
+        step = lambda a, block: F.struct((a["p"] + length(block)).alias("p"), F.concat(a["o"], F.array(a["p"])).alias("o"))
+        return once(blocks, lambda bs: F.flatten(F.zip_with(bs, F.aggregate(bs, begin, step, lambda a: a["o"]), of_block)))
+
+    once = lambda column, use: F.element_at(F.transform(F.array(column), use), 1)
     zipped = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("g"), matches.alias("m"), values.alias("v"))
-    zero = F.struct(F.lit(0).cast("long").alias("p"), F.array().cast(_SPAN).alias("o"))
-    return F.aggregate(zipped, zero, merge, lambda a: a["o"])
+    return once(zipped, lambda z: F.when(F.size(z) > 0, every(z)).otherwise(F.array().cast(_SPAN)))
 
 
 def _joined(spans: Column, kinds) -> Column:
