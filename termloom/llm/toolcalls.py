@@ -12,10 +12,13 @@ calls, each with its place in the conversation's order, the result and what its
 
 Hot conversations: messages are parsed row by row before any shuffle, the join's keys are single calls, and
 messages are serialised one by one. Ordering a conversation's calls needs ids and references alone; a task
-orders up to ``IN_TASK`` calls, larger conversations are ordered in rounds of joins, one a level.
+orders up to ``IN_TASK`` calls. In larger conversations chains of single references are shortened by
+doubling, calls with several references get levels in rounds of joins, one for each such call on a chain, and
+places come from a range-partitioned sort.
 
 Defined cases: null text counts as empty, null role as "unknown", a null conversation is one of its own;
-a call with broken JSON counts as malformed and is left in the text; of repeated identifiers in a
+a call with broken JSON, a lone surrogate, a number beyond double range or values
+nested deeper than ``DEPTH`` counts as malformed and is left in the text; of repeated identifiers in a
 conversation the first call and first result by (turn, place) are linked, the others count as duplicates;
 a result without a call is an orphan; calls in a cycle of references, and those that wait for them, come
 last, by turn; equal rows are each kept; an empty table gives no rows; extra columns are ignored.
@@ -24,6 +27,7 @@ last, by turn; equal rows are each kept; an empty table gives no rows; extra col
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,9 +36,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.common import numbered
 from .common import materialise
 
 IN_TASK = 50_000
+DEPTH = 300
 #: Schemas of the tools that calls may name; a call of another tool is unknown, not invalid.
 SCHEMAS: dict[str, dict] = {
     "search": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}}},
@@ -95,23 +101,37 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return sorted(out)
 
 
+def _inside(value) -> Iterator[tuple[object, int]]:
+    """A JSON value and all values in it, each with its depth, without recursion."""
+    todo = [(value, 1)]
+    while todo:
+        value, depth = todo.pop()
+        yield value, depth
+        if isinstance(value, (dict, list)):
+            todo += [(v, depth + 1) for v in (value.values() if isinstance(value, dict) else value)]
+
+
 def _references(value) -> set[str]:
-    if isinstance(value, dict):
-        return {r for v in value.values() for r in _references(v)}
-    if isinstance(value, list):
-        return {r for v in value for r in _references(v)}
-    return {value[1:]} if isinstance(value, str) and value.startswith("$") and len(value) > 1 else set()
+    return {v[1:] for v, _ in _inside(value) if isinstance(v, str) and v.startswith("$") and len(v) > 1}
 
 
 def _load(text: str):
+    """The JSON object that a text is, None if it is none that canonical JSON can hold."""
+
     def refuse(name):
         raise ValueError(name)
 
+    def finite(digits):
+        return x if math.isfinite(x := float(digits)) else refuse(digits)
+
     try:
-        value = json.loads(text, parse_constant=refuse)
+        value = json.loads(text, parse_constant=refuse, parse_float=finite)
+        if not isinstance(value, dict) or any(depth > DEPTH for _, depth in _inside(value)):
+            return None
+        canonical(value).encode()  # a lone surrogate has no UTF-8
     except (ValueError, RecursionError):
         return None
-    return value if isinstance(value, dict) else None
+    return value
 
 
 _PART = T.StructType(
@@ -198,31 +218,37 @@ def _levels_in_task(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _levels_in_rounds(calls: DataFrame) -> DataFrame:
-    """Every round gives the calls whose references all have levels the next one."""
-    targets = calls.where("nth = 1").select("conv", "id")
-    edges = (
-        calls.select("conv", "row", "place", F.explode("refs").alias("ref"))
-        .join(targets.withColumnRenamed("id", "ref"), ["conv", "ref"])
-        .distinct()
-    )
+    """``row, place, level`` of the calls of large conversations."""
+    node = F.struct("row", "place").alias("node")
+    targets = calls.where("nth = 1").select("conv", F.col("id").alias("ref"), node.alias("to"))
+    edges = calls.select("conv", node, F.explode("refs").alias("ref")).join(targets, ["conv", "ref"]).select("node", "to").distinct()
     edges = materialise(edges, "call-edges")
-    waiting = edges.groupBy("conv", "row", "place").agg(F.count("*").alias("waits"))
-    todo = materialise(calls.join(waiting, ["conv", "row", "place"], "left").select("conv", "row", "place", "id", "nth", F.coalesce("waits", F.lit(0)).alias("waits")), "call-todo")
-    done = materialise(todo.where("waits = 0").select("conv", "row", "place", "id", "nth", F.lit(0).alias("level")), "call-levels")
-    level = 0
+    waits = materialise(edges.groupBy("node").agg(F.count("*").alias("waits"), F.min("to").alias("to")), "call-waits")
+    # Each round doubles the steps followed along single references; what still moves after all rounds is a cycle.
+    jump = materialise(waits.where("waits = 1").select("node", "to", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")), "call-jumps")
+    for _ in range(jump.count().bit_length() + 1):
+        far = jump.alias("x").join(jump.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more")), "to", "left")
+        moved = F.col("next").isNotNull()
+        jump = materialise(far.select("node", F.coalesce("next", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), moved.alias("moved")), "call-jumps")
+        if jump.where("moved").isEmpty():
+            break
+    single = jump.select("node", F.when(~F.col("moved"), F.col("to")).alias("root"), "steps")
+    far = single.select(F.col("node").alias("to"), "root", "steps", F.lit(True).alias("single"))
+    several = edges.join(waits.where("waits > 1").select("node", "waits"), "node").join(far, "to", "left")
+    several = several.select("node", "waits", F.when(F.col("single"), F.col("root")).otherwise(F.col("to")).alias("root"), F.coalesce("steps", F.lit(0)).alias("steps"))
+    several = materialise(several, "call-several")
+    every = calls.select(node)
+    done = materialise(every.join(waits, "node", "left_anti").select("node", F.lit(0).cast("long").alias("level")), "call-levels")
     while True:
-        level += 1
-        met = edges.join(done.where("nth = 1").select("conv", F.col("id").alias("ref")), ["conv", "ref"]).groupBy("conv", "row", "place").agg(F.count("*").alias("met"))
-        fresh = (
-            todo.join(met, ["conv", "row", "place"])
-            .where("met = waits")
-            .join(done.select("row", "place"), ["row", "place"], "left_anti")
-            .select("conv", "row", "place", "id", "nth", F.lit(level).alias("level"))
-        )
+        met = several.join(done.withColumnRenamed("node", "root"), "root").groupBy("node", "waits").agg(F.count("*").alias("met"), F.max(F.col("level") + F.col("steps")).alias("most"))
+        fresh = met.where("met = waits").join(done, "node", "left_anti").select("node", (F.col("most") + 1).alias("level"))
         fresh = materialise(fresh, "call-levels")
         if fresh.isEmpty():
-            return todo.join(done.select("row", "place", "level"), ["row", "place"], "left").select("row", "place", "level")
+            break
         done = done.union(fresh)
+    chained = single.join(done.withColumnRenamed("node", "root"), "root").select("node", (F.col("level") + F.col("steps")).alias("level"))
+    level = every.join(done.union(chained), "node", "left")
+    return level.select("node.row", "node.place", F.col("level").cast("int").alias("level"))
 
 
 def format_chats(messages: DataFrame, schemas: dict | None = None, in_task: int = IN_TASK) -> DataFrame:
@@ -240,8 +266,12 @@ def format_chats(messages: DataFrame, schemas: dict | None = None, in_task: int
     rows = materialise(rows, "chat-rows")  # the numbers stay as written
     conv = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("conv")
     parts = rows.select("row", conv, "turn", F.explode("parts").alias("x")).select("row", "conv", "turn", "x.*")
-    first = Window.partitionBy("conv", "kind", "id").orderBy(F.col("turn").asc_nulls_last(), "place", "body", "row")
-    parts = materialise(parts.withColumn("nth", F.row_number().over(first)), "chat-parts")
+    parts = materialise(parts, "chat-parts")
+    # The first of an identifier is combined before the shuffle; nth is 1 for it and 2 for all others.
+    order = F.struct(F.col("turn").isNull().alias("no"), F.col("turn").alias("turn"), "place", "body", "row")
+    first = parts.groupBy("conv", "kind", "id").agg(F.min(order).alias("first")).select("conv", "kind", "id", F.col("first.row").alias("row"), F.col("first.place").alias("place"))
+    parts = parts.join(first.withColumn("nth", F.lit(1)), ["conv", "kind", "id", "row", "place"], "left").withColumn("nth", F.coalesce("nth", F.lit(2)))
+    parts = materialise(parts, "chat-numbered")
     calls, results = parts.where("kind = 'call'"), parts.where("kind = 'result'")
     order = _order(calls, in_task)
     # The first call and the first result of an identifier meet; other calls stay without a result.
@@ -290,8 +320,18 @@ def _order(calls: DataFrame, in_task: int) -> DataFrame:
     if not big.isEmpty():
         level = level.union(_levels_in_rounds(big))
     # A call never precedes what it refers to: levels first, then turns.
-    along = Window.partitionBy("conv").orderBy(F.col("level").asc_nulls_last(), F.col("turn").asc_nulls_last(), "row", "place")
-    return slim.join(level, ["row", "place"]).select("row", "place", (F.row_number().over(along) - 1).alias("rank"))
+    order = [F.col("level").asc_nulls_last(), F.col("turn").asc_nulls_last(), "row", "place"]
+    placed = materialise(slim.join(level, ["row", "place"]), "call-placed")
+    few = placed.where(F.col("calls") <= in_task).withColumn("rank", F.row_number().over(Window.partitionBy("conv").orderBy(*order)) - 1)
+    few = few.select("row", "place", "rank")
+    many = placed.where(F.col("calls") > in_task).withColumnRenamed("row", "message")
+    if many.isEmpty():
+        return few
+    order[2] = "message"
+    many = numbered(many, "conv", *order)
+    begin = F.broadcast(many.groupBy("conv").agg(F.min("row").alias("begin")))  # at most one row in in_task calls
+    many = many.join(begin, "conv").select(F.col("message").alias("row"), "place", (F.col("row") - F.col("begin")).cast("int").alias("rank"))
+    return few.union(many)
 
 
 def _with_calls(message: str, calls) -> str:
