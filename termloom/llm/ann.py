@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product: a navigable small-world graph hierarchy per shard.
 
-Vectors are dealt to shards of bounded size by a hash. Each shard's graph is built by one task and kept as
+Vectors are dealt by a hash to shards of bounded rows and bytes. Each shard's graph is built by one task and kept as
 one row of flat arrays (vectors, neighbour table of each layer) in the shared folder. All queries meet
 every shard, streamed against its graph in blocks, and the shards' best are merged.
 
@@ -8,7 +8,8 @@ Within a shard equal vectors are one node that lists its ids, so copies cost no
 Inner products become distances by one more coordinate, sqrt(max norm^2 - norm^2), which queries leave 0.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
-do rows without an id; a row given twice counts once; vectors meet only those of their own length; extra
+do rows without an id; a product beyond the range of doubles scores plus or minus infinity, one that has no
+value (infinity less infinity) minus infinity; a row given twice counts once; vectors meet only those of their own length; extra
 columns are ignored.
 """
 
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 K = 20
-SHARD_ROWS = 65_536
+SHARD_ROWS = 8192
+SHARD_BYTES = 64 << 20
 MIN_SHARDS = 8
 LINKS = 16
 EF_BUILD = 96
-EF_SEARCH = 160
+EF_SEARCH = 256
 BLOCK = 192
 EXPAND = 4
 
@@ -192,10 +194,11 @@ def _insert(graph: Graph, layer: int, table: np.ndarray, batch: np.ndarray, link
 
 
 def _augmented(v: np.ndarray) -> np.ndarray:
-    norms = (v.astype(np.float64) ** 2).sum(1)
+    """Vectors of at most unit length with the coordinate that makes them equally long; no finite value overflows."""
+    v = v / max(np.abs(v).max(), 1e-300)
+    norms = (v**2).sum(1)
     extra = np.sqrt(np.maximum(norms.max() - norms, 0))
-    scale = 1 / max(np.sqrt(norms.max()), 1e-300)
-    return (np.column_stack([v, extra]) * scale).astype(np.float32)
+    return (np.column_stack([v, extra]) / np.sqrt(norms.max())).astype(np.float32)
 
 
 _INDEX = "dim int, shard int, vectors binary, members binary, starts binary, entry int, tables binary, widths array<int>, nodes binary"
@@ -239,12 +242,14 @@ class Shard:
 
     def nearest(self, ids: np.ndarray, q: np.ndarray, k: int, ef: int):
         """``(query id, vec_id, score)`` arrays: the k best of the nodes found, without the query itself."""
-        scaled = np.column_stack([q / np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None], np.zeros(len(q))])
+        unit = q / np.maximum(np.abs(q).max(1), 1e-300)[:, None]
+        scaled = np.column_stack([unit / np.linalg.norm(unit, axis=1)[:, None], np.zeros(len(q))])
         found, _ = self.graph.search(scaled.astype(np.float32), ef)
         out_q, out_v, out_s = [], [], []
         for i, (own, nodes) in enumerate(zip(ids, found)):
             nodes = nodes[nodes >= 0]
-            scores = self.v[nodes] @ q[i]
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = np.nan_to_num(self.v[nodes] @ q[i], nan=-np.inf, posinf=np.inf, neginf=-np.inf)
             order = np.argsort(-scores, kind="stable")
             nodes, scores = nodes[order], scores[order]
             # k + 1 best nodes, with all that tie with the last; of each its smallest ids suffice
@@ -262,11 +267,11 @@ class Shard:
         return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
-def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, min_shards: int = MIN_SHARDS) -> DataFrame:
+def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, min_shards: int = MIN_SHARDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row of flat arrays a shard, stored in the shared folder; every usable row is indexed."""
     rows = usable(vectors).dropDuplicates(["vec_id", "v"])
-    n = usable(vectors).count()
-    shards = max(min_shards, -(-n // shard_rows))
+    n, size = usable(vectors).agg(F.count("*"), F.coalesce(F.sum(F.size("v").cast("long") * 8), F.lit(0))).first()
+    shards = max(min_shards, -(-n // shard_rows), -(-size // shard_bytes))
     dealt = rows.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     return materialise(dealt.repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(_build_shard, _INDEX), "graph-shards")
 
