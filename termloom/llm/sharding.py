@@ -7,11 +7,12 @@ so a merge reads and writes each byte once, without a shuffle, and one task hold
 
 Every change is a new manifest file that lists all live shards. It is written aside and renamed to the next
 version's name, which fails if another writer committed that version first; the change is then tried on
-top of the new version (append) or dropped (compact). Readers see a version or the next, never a mixture,
+top of the new version (append) or dropped and planned anew (compact). Readers see a version or the next, never a mixture,
 and a task or executor lost on the way leaves only files that no manifest names, which ``vacuum`` deletes.
 
 Defined cases: an empty table commits a version without shards; repeated rows and nulls are kept;
-columns are stored as they are, and an input column named ``shard_id`` or ``shard_row`` gives way to the
+columns are stored as they are; arrivals may have fewer or more columns than older shards (null where a shard
+lacks one), a column of another type is refused; an input column named ``shard_id`` or ``shard_row`` gives way to the
 store's own in ``placed``.
 """
 
@@ -106,10 +107,21 @@ class ShardStore:
         while True:
             old = self.manifest()
             try:
-                return self._commit({"version": old["version"] + 1, "schema": df.schema.json(), "shards": old["shards"] + shards})
+                return self._commit({"version": old["version"] + 1, "schema": self._joint(old["schema"], df.schema), "shards": old["shards"] + shards})
             except Conflict:
                 continue
 
+    @staticmethod
+    def _joint(old: str | None, new: T.StructType) -> str:
+        """The old columns and the new ones; a column of older shards keeps its type."""
+        known = T.StructType.fromJson(json.loads(old)).fields if old else []
+        types = {f.name: f.dataType for f in known}
+        for f in new.fields:
+            if types.get(f.name, f.dataType) != f.dataType:
+                raise ValueError(f"column {f.name} is {types[f.name].simpleString()} in older shards, not {f.dataType.simpleString()}")
+        fields = [*known, *[f for f in new.fields if f.name not in types]]
+        return T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in fields]).json()
+
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / SMALLEST, self.fanout)))
 
@@ -133,22 +145,17 @@ class ShardStore:
                 return old
             gone = {s["file"] for s in due[0]}
             kept = [s for s in old["shards"] if s["file"] not in gone]
-            self._commit(old | {"version": old["version"] + 1, "shards": kept + merged})
+            try:
+                self._commit(old | {"version": old["version"] + 1, "shards": kept + merged})
+            except Conflict:
+                continue  # the merge is dropped, and the new version looked at
 
     def _merge(self, shards: list[dict], schema: T.StructType) -> list[dict]:
-        packing = {
-            "spark.sql.files.maxPartitionBytes": str(self.target),
-            "spark.sql.files.openCostInBytes": "0",
-            "spark.sql.files.minPartitionNum": "1",
-        }
-        before = {k: self.spark.conf.get(k, None) for k in packing}
-        try:
-            for k, v in packing.items():
-                self.spark.conf.set(k, v)
-            return self._write(self.spark.read.schema(schema).parquet(*[s["file"] for s in shards]))
-        finally:
-            for k, v in before.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+        """Scan planning of a session of its own packs the small files."""
+        own = self.spark.newSession()
+        for k, v in (("maxPartitionBytes", str(self.target)), ("openCostInBytes", "0"), ("minPartitionNum", "1")):
+            own.conf.set(f"spark.sql.files.{k}", v)
+        return self._write(own.read.schema(schema).parquet(*[s["file"] for s in shards]))
 
     def vacuum(self, keep_versions: int = 1) -> int:
         """Delete data files that none of the last versions names; returns how many."""
@@ -180,13 +187,12 @@ class ShardStore:
         own = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard_id", "shard_row")]
         if not m["shards"]:
             return df.select(*own, F.lit(None).cast("int").alias("shard_id"), F.lit(None).cast("long").alias("shard_row"))
-        names = self.spark.createDataFrame(
-            [(s["file"].rsplit("/", 2)[1], s["file"].rsplit("/", 1)[1], i) for i, s in enumerate(m["shards"])], "_folder string, _file string, shard_id int"
-        )
+        named = [(s["file"].rsplit("/", 2)[1], s["file"].rsplit("/", 1)[1], i) for i, s in enumerate(m["shards"])]
+        names = self.spark.createDataFrame(named, "folder string, file string, shard_id int")
         meta = df.metadataColumn("_metadata")
         parts = F.split(meta["file_path"], "/")
-        rows = df.select(*own, F.element_at(parts, -2).alias("_folder"), F.element_at(parts, -1).alias("_file"), meta["row_index"].alias("shard_row"))
-        return rows.join(small_or_shuffled(names), ["_folder", "_file"]).select(*[c for c in rows.columns if c not in ("_folder", "_file", "shard_row")], "shard_id", "shard_row")
+        rows = df.select(F.struct(*own).alias("row"), F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file"), meta["row_index"].alias("shard_row"))
+        return rows.join(small_or_shuffled(names), ["folder", "file"]).select("row.*", "shard_id", "shard_row")
 
 
 def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT) -> ShardStore:
