@@ -32,11 +32,14 @@ from .common import held_out
 LONGEST_WORD = 48
 LONGEST_PIECE = LONGEST_WORD + 1  # with the word mark; a longer piece fits no word, all others are used
 UNKNOWN = 1e-7
+SCALE = 1e5  # a factor for each character, so that no product of a word's pieces leaves the range of doubles
 CACHE_WORDS = 300_000
 BATCH_WORDS = 20_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST_WORD}}}")  # a longer run falls into stretches
+CACHE_BYTES = 64 << 20
 _P = np.uint64(0x100000001B3)
 _BITS = 18
+_BEGINS, _ABSENT = -1, -2
 
 
 def default_vocabulary() -> str:
@@ -61,46 +64,65 @@ class Pieces:
         self.longest = max(map(len, self.names), default=1)
         self.unknown = len(self.names)
         self.size = self.unknown + 1
-        mask = np.uint64((1 << _BITS) - 1)
-        self.keys = np.zeros(1 << _BITS, np.uint64)
-        self.numbers = np.full(1 << _BITS, -1, np.int32)
+        of: dict[int, int] = {}
         for i, n in enumerate(self.names):
-            h = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for c in n:
-                    h = h * _P + np.uint64(ord(c))
-                slot = (h ^ (h >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)
-            while self.numbers[slot] >= 0:
-                slot = (slot + np.uint64(1)) & mask
-            self.keys[slot], self.numbers[slot] = h, i
+            h = 0
+            for c in n:
+                h = (h * int(_P) + ord(c)) & 0xFFFFFFFFFFFFFFFF
+                of.setdefault(h, _BEGINS)
+            of[h] = i
+        self.keys = np.zeros(1 << _BITS, np.uint64)
+        self.numbers = np.full(1 << _BITS, _ABSENT, np.int32)
+        h, number = np.fromiter(of, np.uint64, len(of)), np.fromiter(of.values(), np.int32, len(of))
+        slot = self._slot(h)
+        while len(h):
+            free = np.flatnonzero(self.numbers[slot] == _ABSENT)
+            _, one = np.unique(slot[free], return_index=True)  # one key a free slot, the others go on
+            put = free[one]
+            self.keys[slot[put]], self.numbers[slot[put]] = h[put], number[put]
+            left = np.ones(len(h), bool)
+            left[put] = False
+            h, number, slot = h[left], number[left], (slot[left] + np.uint64(1)) & np.uint64((1 << _BITS) - 1)
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (h ^ (h >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            slot = (h ^ (h >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)
-        out = np.where(self.keys[slot] == h, self.numbers[slot], -1)
-        todo = np.flatnonzero((self.keys[slot] != h) & (self.numbers[slot] >= 0))
+        """The piece of each hash, ``_BEGINS`` where longer pieces begin so, else ``_ABSENT``."""
+        slot = self._slot(h)
+        out = np.where(self.keys[slot] == h, self.numbers[slot], _ABSENT)
+        todo = np.flatnonzero((self.keys[slot] != h) & (self.numbers[slot] != _ABSENT))
         while len(todo):  # the few that met another key
             slot[todo] = (slot[todo] + np.uint64(1)) & np.uint64((1 << _BITS) - 1)
             s = slot[todo]
             hit = self.keys[s] == h[todo]
             out[todo[hit]] = self.numbers[s[hit]]
-            todo = todo[~hit & (self.numbers[s] >= 0)]
+            todo = todo[~hit & (self.numbers[s] != _ABSENT)]
         return out
 
-    def lattice(self, words: list[str]) -> list[list[np.ndarray]]:
-        """For words of one length, ``[end][k]``: the piece of the last k+1 characters before end, or -1."""
+    def lattice(self, words: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """For words of one length, ``[end][k]``: the words whose last k+1 characters before end are a piece, and it.
+
+        From each start only the words go on whose characters so far begin some piece.
+        """
         n = len(words[0]) + 1
         codes = np.frombuffer("".join("▁" + w for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
-        out = [[]] + [[] for _ in range(n)]
+        out = [[] for _ in range(n + 1)]
         with np.errstate(over="ignore"):
-            hashes = [np.zeros(len(words), np.uint64)] * n
+            live = [(np.arange(len(words)), np.zeros(len(words), np.uint64))] * n
             for k in range(min(self.longest, n)):
                 for start in range(n - k):
-                    hashes[start] = hashes[start] * _P + codes[:, start + k]
-                    found = self.find(hashes[start])
+                    at, h = live[start]
+                    h = h * _P + codes[at, start + k]
+                    found = self.find(h)
+                    on = found != _ABSENT
+                    live[start] = (at[on], h[on])
                     if not k:
                         found = np.where(found < 0, self.unknown, found)
-                    out[start + k + 1].append(found)
+                    piece = found >= 0
+                    out[start + k + 1].append((at[piece], found[piece]))
         return out
 
 
@@ -112,52 +134,40 @@ def pieces(path: str) -> Pieces:
 def forward(lattice, p: np.ndarray) -> list[np.ndarray]:
     """``a[end][word, language]``: summed probability of all segmentations of the first ``end`` characters.
 
-    ``p``: pieces by languages, with a row of zeros last for "no piece".
+    Times ``SCALE`` for each of them. ``p``: pieces by languages.
     """
-    first = lattice[1][0]
-    a = [np.ones((len(first), p.shape[1]))]
+    a = [np.ones((len(lattice[1][0][1]), p.shape[1]))]
     for end in range(1, len(lattice)):
-        total = a[end - 1] * p[lattice[end][0]]
-        for k in range(1, len(lattice[end])):
-            found = lattice[end][k]
-            some = np.flatnonzero(found >= 0)
-            if len(some):
-                total[some] += a[end - 1 - k][some] * p[found[some]]
+        total = np.zeros_like(a[0])
+        for k, (words, found) in enumerate(lattice[end]):
+            total[words] += a[end - 1 - k][words] * (p[found] * SCALE ** (k + 1))
         a.append(total)
     return a
 
 
 def expected(lattice, weight: np.ndarray, size: int) -> np.ndarray:
     """Expected piece counts under equal probabilities, for words with counts by language (words, languages)."""
-    p = np.append(np.full(size, 1.0 / size), 0)[:, None]
+    p = np.full((size, 1), 1.0 / size)
     p[size - 1] = UNKNOWN
     n = len(lattice) - 1
     a = [x[:, 0] for x in forward(lattice, p)]
-    b = [None] * n + [np.ones(len(a[0]))]
+    b = [np.zeros(len(a[0])) for _ in range(n)] + [np.ones(len(a[0]))]
     flat = p[:, 0]
     for end in range(n, 0, -1):
-        for k in range(len(lattice[end])):
-            found = lattice[end][k]
-            start = end - 1 - k
-            part = np.where(found >= 0, flat[found], 0) * b[end]
-            b[start] = part if b[start] is None else b[start] + part
+        for k, (words, found) in enumerate(lattice[end]):
+            b[end - 1 - k][words] += flat[found] * SCALE ** (k + 1) * b[end][words]
     z = a[n]
     out = np.zeros((size, weight.shape[1]))
     for end in range(1, n + 1):
-        for k in range(len(lattice[end])):
-            found = lattice[end][k]
-            some = np.flatnonzero(found >= 0)
-            share = a[end - 1 - k][some] * flat[found[some]] * b[end][some] / z[some]
+        for k, (words, found) in enumerate(lattice[end]):
+            share = a[end - 1 - k][words] * (flat[found] * SCALE ** (k + 1)) * b[end][words] / z[words]
             for j in range(weight.shape[1]):
-                out[:, j] += np.bincount(found[some], share * weight[some, j], size)
+                out[:, j] += np.bincount(found, share * weight[words, j], size)
     return out
 
 
 def words_of(text: str) -> list[str]:
-    out = _LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST_WORD for w in out):
-        out = [w[i : i + LONGEST_WORD] for w in out for i in range(0, len(w), LONGEST_WORD)]
-    return out
+    return _LETTERS.findall(text.lower())
 
 
 def _by_length(words) -> Iterator[list[str]]:
@@ -220,24 +230,31 @@ class Scorer:
         self.vocab = pieces(path)
         p = p.copy()
         p[self.vocab.unknown] = UNKNOWN  # alike in all languages
-        self.p = np.vstack([p, np.zeros(p.shape[1])])
-        self.logs: dict[str, tuple[float, ...]] = {}
+        self.p = p
+        self.most = min(CACHE_WORDS, CACHE_BYTES // (8 * p.shape[1]))
+        self.rows: dict[str, int] = {}  # a known word's row in logs
+        self.logs = np.zeros((0, p.shape[1]))
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray | None]:
         lists = [words_of(t) if t else [] for t in texts]
-        known, fresh = self.logs, {}
-        missing = {w for ws in lists for w in ws if w not in known}
+        flat = [w for ws in lists for w in ws]
+        missing = set(flat).difference(self.rows)
+        if len(self.rows) + len(missing) > self.most:  # the known words make room
+            self.rows, self.logs, missing = {}, self.logs[:0], set(flat)
+        parts = [self.logs]
         for group in _by_length(missing):
-            logs = np.log(np.maximum(forward(self.vocab.lattice(group), self.p)[-1], 1e-300))
-            fresh |= zip(group, map(tuple, logs.tolist()))
-        if len(known) + len(fresh) <= CACHE_WORDS:
-            known |= fresh
-            fresh = known
-        else:
-            fresh = {w: fresh.get(w) or known[w] for ws in lists for w in ws}
-        out = []
-        for ws in lists:
-            out.append(np.array(list(map(fresh.__getitem__, ws))).sum(0) if ws else None)
+            lattice = self.vocab.lattice(group)
+            parts.append(np.log(forward(lattice, self.p)[-1]) - (len(lattice) - 1) * np.log(SCALE))
+            self.rows.update(zip(group, range(len(self.rows), len(self.rows) + len(group))))
+        self.logs = np.concatenate(parts)
+        sizes = np.array([len(ws) for ws in lists])
+        some = np.flatnonzero(sizes)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if len(some):
+            at = np.fromiter(map(self.rows.__getitem__, flat), np.int64, len(flat))
+            starts = (np.cumsum(sizes) - sizes)[some]
+            for i, total in zip(some, np.add.reduceat(self.logs[at], starts)):
+                out[i] = total
         return out
 
 
