@@ -50,6 +50,38 @@ def test_neighbours(spark):
     assert ann.neighbours(df.where("vec_id = -1")).count() == 0
 
 
+def test_neighbours_large_shard(spark):
+    """Recall in one shard of thousands of vectors without any structure, the hardest case."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.build_index(df, min_shards=1)
+    assert index.count() == 1 and ann.build_index(df, min_shards=1, shard_bytes=1 << 20).count() == 3
+    got = ann.search(index, df.where("vec_id % 20 = 0")).toPandas().groupby("query_id")["vec_id"].agg(set)
+    hits = 0
+    for q, mine in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(mine & set(np.argsort(-score)[:20]))
+    assert len(got) == 300 and hits / 6000 >= 0.9
+
+
+def test_neighbours_odd_values(spark):
+    """Ties at the last rank go to smaller ids, fewer candidates than k are all given, large values don't overflow."""
+    rows = [(i, [1.0, float(i % 3)]) for i in range(60)]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()
+    for q in (0, 20, 40):
+        want = sorted(((-(1.0 + (i % 3) * (q % 3)), i) for i in range(60) if i != q))[:5]
+        assert [(r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(-s, i) for s, i in want]
+    few = spark.createDataFrame(rows[:8], "vec_id long, embedding array<double>")
+    assert sorted(r.vec_id for r in ann.neighbours(few).collect()) == list(range(1, 8))
+    rng = np.random.default_rng(3)
+    huge = spark.createDataFrame([(i, (v * 1e200).tolist()) for i, v in enumerate(rng.normal(size=(41, 4)))], "vec_id long, embedding array<double>")
+    found = ann.neighbours(huge, k=40).collect()
+    assert all(sorted(r.vec_id for r in found if r.query_id == q) == [i for i in range(41) if i != q] for q in (0, 20, 40))
+    assert all(abs(r.score) == float("inf") for r in found)
+
+
 # quality
 
 
@@ -66,8 +98,34 @@ def test_quality(spark, docs):
     assert quality.classify(empty(spark), labels).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    """Every score of the query, recomputed by the sum over all pairs of a document's features."""
+    from termloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in queries.op2_quality(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = quality.train(queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels"))
+    rows = [*docs.select("doc_id", "text", "n_chars").collect(), (-1, None, None), (-2, "", 0)]
+    odd = spark.createDataFrame(rows[-2:], "doc_id long, text string, n_chars long")
+    got |= {r[0]: r for r in odd.select("doc_id", quality.score_column(m, odd).alias("score"), F.lit(0).alias("predicted")).collect()}
+    for i, text, n in rows:
+        b, s = quality.features(text, n)
+        x = {k: 1 / np.sqrt(max(1, len(b))) for k in b} | {k: 1 / np.sqrt(len(s)) for k in m.rows(np.array([s]))[0]}
+        ids = list(x)
+        pairs = sum(float(m.v[p] @ m.v[q]) * x[p] * x[q] for j, p in enumerate(ids) for q in ids[:j]) if len(ids) < 150 else None
+        if pairs is not None:
+            raw = m.w0 + sum(m.w[k] * x[k] for k in ids) + pairs
+            assert np.isclose(got[i].score, 1 / (1 + np.exp(-raw)), atol=1e-9)
+        if i >= 0:
+            assert got[i].predicted == int(got[i].score >= 0.3)
+    tie = quality.Model(np.zeros((quality.COLUMNS, quality.BINS - 1)), base=np.log(0.3 / 0.7))
+    tie.v[:] = 0
+    assert tie.score(*[[f] for f in (np.zeros(0, np.int32),)], np.zeros((1, quality.COLUMNS)))[0] == pytest.approx(0.3)
+
+
 def test_factorisation_identity():
-    m = quality.Model(np.zeros((15 + len(quality.MARKS), quality.BINS - 1)))
+    m = quality.Model(np.zeros((quality.COLUMNS, quality.BINS - 1)))
     rng = np.random.default_rng(3)
     m.v = rng.normal(size=m.v.shape)
     m.w = rng.normal(size=m.w.shape)
@@ -109,6 +167,73 @@ def test_tool_calls(spark):
     assert toolcalls.format_chats(df.limit(0)).count() == 0
 
 
+def brute_chats(rows):
+    """(conv_id, turn, message) of every row: calls and results linked one by one, levels by recursion."""
+    parsed = [(c, t, *toolcalls.parse(role, text, toolcalls.SCHEMAS)) for c, t, role, text in rows]
+    out = collections.Counter()
+    for conv in {c for c, *_ in parsed}:
+        mine = [(t, i, message, parts) for i, (c, t, message, _, parts) in enumerate(parsed) if c == conv]
+        flat = sorted(((t is None, t or 0, p["place"], i, p) for t, i, _, parts in mine for p in parts), key=lambda x: (x[0], x[1], x[2], x[4]["body"], x[3]))
+        first = {}
+        for *_, i, p in flat:
+            first.setdefault((p["kind"], p["id"]), (i, p))
+        calls = [(i, p) for *_, i, p in flat if p["kind"] == "call"]
+
+        def level(p, above=()):
+            below = [first["call", r][1] for r in p["refs"] if ("call", r) in first]
+            if any(q is p or any(q is x for x in above) for q in below):
+                return None
+            got = [level(q, (*above, p)) for q in below]
+            return None if None in got else max(got, default=-1) + 1
+
+        place = {id(p): (level(p), t is None, t or 0, i, p["place"]) for t, i, _, parts in mine for p in parts if p["kind"] == "call"}
+        ranked = sorted((p for _, p in calls), key=lambda p: (place[id(p)][0] is None, place[id(p)][0] or 0, *place[id(p)][1:]))
+        rank = {id(p): n for n, p in enumerate(ranked)}
+        for t, i, message, parts in mine:
+            own = sorted((p for p in parts if p["kind"] == "call"), key=lambda p: rank[id(p)])
+            value = json.loads(message)
+            if own:
+                value["calls"] = []
+                for p in own:
+                    r = first.get(("result", p["id"])) if first["call", p["id"]][1] is p else None
+                    value["calls"].append({"id": p["id"], "name": p["name"], "arguments": json.loads(p["body"]), "errors": p["errors"], "order": rank[id(p)], "result": json.loads(r[1]["body"]) if r else None})
+            out[conv, t, toolcalls.canonical(value)] += 1
+    return out
+
+
+def test_tool_calls_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for conv in (1, 2, None):
+        for turn in range(40):
+            text = ""
+            for _ in range(rng.integers(0, 3)):
+                i = f"c{rng.integers(60)}"
+                refs = [f"$c{rng.integers(60)}" for _ in range(rng.integers(0, 3))]
+                text += "word " + f"<tool_call>{json.dumps({'id': i, 'name': str(rng.choice(['search', 'calculator', 'none'])), 'arguments': {'query': refs, 'limit': int(rng.integers(-1, 3)), 'é': 1.5}})}</tool_call>"
+            rows.append((conv, turn, "assistant", text))
+            rows.append((conv, turn if turn % 9 else None, "tool", json.dumps({"tool_call_id": f"c{rng.integers(60)}", "content": {"b": [turn], "a": None}})))
+    chain = [(7, k, "assistant", f'<tool_call>{json.dumps({"id": f"k{k}", "name": "search", "arguments": {"query": f"$k{(k * 37 + 1) % 60}" if k else "x"}})}</tool_call>') for k in range(60)]
+    rows += chain
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = brute_chats(rows)
+    for in_task in (toolcalls.IN_TASK, 0):
+        got = collections.Counter((r.conv_id, r.turn, r.message) for r in toolcalls.format_chats(df, in_task=in_task).collect())
+        assert got == want
+
+
+def test_tool_calls_odd_json(spark):
+    deep = lambda n: '{"id":"a","name":"search","arguments":{"query":' + "[" * n + "]" * n + "}}"
+    bad = ['{"id":"a","name":"search","arguments":{"query":"\\ud83d"}}', '{"id":"a","name":"search","arguments":{"limit":1e999}}', '{"id":"a","name":"search","arguments":{"limit":NaN}}', deep(400), deep(3000), deep(200_000)]
+    good = ['{"id":"a","name":"search","arguments":{"query":"\\ud83d\\ude00"}}', deep(200)]
+    df = spark.createDataFrame([(i, 0, "assistant", f"<tool_call>{t}</tool_call>" + "long " * 50_000 * (i == 0)) for i, t in enumerate(bad + good)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in toolcalls.format_chats(df).collect()}
+    assert all(got[i].n_malformed == 1 and got[i].n_calls == 0 for i in range(len(bad)))
+    assert all(got[len(bad) + i].n_malformed == 0 and got[len(bad) + i].n_calls == 1 for i in range(len(good)))
+    for r in got.values():
+        json.loads(r.message, parse_constant=int)
+
+
 def test_tool_calls_of_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     want = collections.Counter((r.conv_id, r.turn, toolcalls.canonical({"role": r.role, "content": r.text})) for r in df.collect())
@@ -137,6 +262,29 @@ def test_secrets(spark, docs):
     assert secrets.digest(secrets.scan(empty(spark))).count() == 0
 
 
+def test_secrets_all_rules(spark):
+    """All spans and counts of all rules against plain searches, also with many matches in one text, and rule sets without trigrams."""
+    key = "-----BEGIN RSA PRIVATE KEY-----"
+    texts = [
+        f"a ghp_{'a1B2' * 10} b {key} eyJhbGciOiJI.eyJzdWIiOiIx.c-_ token=ghp_{'x' * 40}",
+        "é " + " ".join(f"token=abcdefgh{k} AKIA{'Z' * 12}{k % 10}" for k in range(700)),
+        "eyJshort.eyJ ghp_short -----BEGIN  KEY----- AKIA123",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = [r.kind for r in secrets.RULES]
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan(df)).collect()}
+    for i, t in enumerate(texts):
+        every = [(s, k, e) for s, k, e in brute_secrets(t or "")]
+        every += [(m.start(), k, m.end()) for k, r in enumerate(secrets.RULES) if k > 2 for m in re.finditer(r.regex, t or "")]
+        assert got[i].spans == ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in sorted(every))
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == n for _, k, _ in every) for n in range(3)]
+    assert len(got[1].spans.split(",")) == 1400
+    only = (secrets.Rule("hex", r"[0-9a-f]{32,}"),)
+    found = secrets.scan(spark.createDataFrame([(1, "ab12" * 9), (2, "x")], "doc_id long, text string"), rules=only).collect()
+    assert sorted((r.doc_id, [(x.s, x.e) for x in r.spans]) for r in found) == [(1, [(0, 36)]), (2, [])]
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{32,}") is None
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
@@ -198,8 +346,57 @@ def test_near_duplicates_far_larger(spark):
     assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == list(range(12))
 
 
-def test_near_duplicates_all_pairs(spark):
-    """Twenty pairs whose texts all share buckets: more than the first few of a bucket have to meet."""
+def brute_links(texts):
+    """All links ``(a, b, na, nb, common)``, a the smaller set, of different texts."""
+    sets = [set(neardup.shingles(t).tolist()) for t in texts]
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    out = []
+    for i, s in enumerate(sets):
+        met = collections.Counter(j for x in s for j in holders[x])
+        out += [(i, j, len(s), len(sets[j]), k) for j, k in met.items() if k >= 0.8 * len(s) and texts[i] != texts[j] and (len(s), i) < (len(sets[j]), j)]
+    return out
+
+
+def hold_classes_against(links, texts, got):
+    """The classes ``got`` of the texts are the components of close links, joined to a container of their largest."""
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    first = {}
+    for i, t in enumerate(texts):
+        parent[i] = first.setdefault(t, i)
+    close = lambda e: 2 * e[4] >= e[2] + e[3] - e[4]
+    for e in filter(close, links):
+        a, b = sorted((find(e[0]), find(e[1])))
+        parent[b] = a
+    size = lambda t: len(neardup.shingles(t))
+    members = collections.defaultdict(list)
+    for i in range(len(texts)):
+        members[find(i)].append(i)
+    loose = 0  # components that may join another
+    for c, of in members.items():
+        assert len({got[i] for i in of}) == 1
+        most = max(size(texts[i]) for i in of)
+        tops = {i for i in of if size(texts[i]) == most}
+        held = [e for e in links if e[0] in tops and find(e[1]) != c and e[3] > e[2]]
+        loose += bool(held)
+        if held and len(tops) == 1:
+            best = max((e[4] / e[2], e[3]) for e in held)
+            assert got[of[0]] in {got[e[1]] for e in held if (e[4] / e[2], e[3]) == best}
+    assert len(members) - loose <= len(set(got.values())) <= len(members)
+
+
+def test_near_duplicates_all_pairs(spark, monkeypatch):
+    """Pairs whose texts all share a passage: more than the first and last of a bucket have to meet, in blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "HOT_ROWS", 2)
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(20000)]
     common = list(rng.choice(words, 70))
@@ -208,12 +405,32 @@ def test_near_duplicates_all_pairs(spark):
         own = list(rng.choice(words, 50))
         for k in range(2):
             texts.append(" ".join([*common, *own, f"end{k}"]))
-    members = spark.createDataFrame([(1, f"{i:03}".encode(), 120, 0, f"{i // 2}".encode()) for i in range(1300)], "bucket long, key binary, n int, role int, class binary")
-    assert neardup._all_pairs(members).count() == 1300 * 1299 // 2 - 650
+    texts += [" ".join(common), " ".join(common[:30]), " ".join(common[:4]), " ".join(common[:6]), *[texts[0]] * 4]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
-    assert all(got[i] == i // 2 * 2 for i in range(40))
-    assert "n_links" not in neardup.classes(df).columns
+    assert all(got[i] == i // 2 * 2 for i in range(40) if i // 2 * 2 == got[i // 2 * 2])
+    hold_classes_against(brute_links(texts), texts, got)
+
+
+def test_near_duplicates_of_table(spark):
+    """The query's classes over a whole table against those of all links."""
+    from termloom.llm import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    texts = [r.text or "" for r in rows]
+    links = brute_links(texts)
+    assert len(links) > 50
+    of = {r.doc_id: r.class_id for r in queries.op5_near_duplicates(spark, "/root/testdata/sf0.01").collect()}
+    assert len(of) == len(rows)
+    hold_classes_against(links, texts, {i: of[r.doc_id] for i, r in enumerate(rows)})
+
+
+def test_near_duplicates_keep_own_columns(spark):
+    names = ["key", "_kept", "row", "first", "n", "id", "class", "text", "doc_id", "a.b"]
+    rows = [tuple(f"{c}{i}" if c not in ("text", "doc_id") else i if c == "doc_id" else f"some words of text {i} with others {i} after {i}" for c in names) for i in range(5)]
+    df = spark.createDataFrame(rows, names)
+    assert sorted(neardup.keep_one(df).collect()) == sorted(rows)
+    assert neardup.keep_one(df.union(df)).count() == 5
 
 
 # languages
@@ -249,12 +466,37 @@ def test_language(spark, docs):
     assert langid.identify(empty(spark)).count() == 0
 
 
+def _pieces_of(word, number, vocab):
+    """Every piece's expected count, over all segmentations one by one."""
+    marked = "▁" + word
+
+    def ways(at):
+        if at == len(marked):
+            yield 1.0, ()
+        for end in range(at + 1, len(marked) + 1):
+            i = number.get(marked[at:end], vocab.unknown if end == at + 1 else None)
+            if i is not None:
+                p = langid.UNKNOWN if i == vocab.unknown else 1 / vocab.size
+                yield from ((p * q, (i, *rest)) for q, rest in ways(end))
+
+    every = list(ways(0))
+    total = sum(p for p, _ in every)
+    return [p * len(of) / total for p, of in every]
+
+
 def test_language_long_pieces():
     vocab = langid.pieces(langid.default_vocabulary())
     number = {n: i for i, n in enumerate(vocab.names)}
     assert {"ability", "▁absolute", "▁account"} <= number.keys()
     p = np.random.default_rng(3).random((vocab.size, 2))
     scorer = langid.Scorer(langid.default_vocabulary(), p)
+    # No word of up to the longest stretch underflows, and every expected count is finite.
+    odd = ["ꙁ" * langid.LONGEST_WORD, "e" * langid.LONGEST_WORD]
+    assert all(np.isfinite(x).all() for x in scorer.batch([*odd, " ".join(odd), "ꙁ" * 200]))
+    assert np.isclose(langid.expected(vocab.lattice(["accountability"]), np.ones((1, 1)), vocab.size).sum(), sum(_pieces_of("accountability", number, vocab)))
+    for w in odd:
+        got = langid.expected(vocab.lattice([w]), np.ones((1, 1)), vocab.size)
+        assert np.isfinite(got).all() and got.sum() > 1
     for w in ("absolute", "accountability"):
         marked = "▁" + w
         ways = [np.ones(2)]
@@ -281,17 +523,62 @@ def test_decontaminate(spark, docs):
     assert decontaminate.matches(empty(spark), items).count() == 0
 
 
+def brute_edits(a, t):
+    """Least edits of the item against any stretch of the text, and the first end that has them."""
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, x in enumerate(t, 1):
+            new.append(min(row[j - 1] + (c != x), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row), row.index(min(row))
+
+
 def test_alignment():
     rng = np.random.default_rng(4)
     for _ in range(100):
         a, t = rng.integers(0, 3, rng.integers(1, 9)), rng.integers(0, 3, rng.integers(1, 20))
-        row = [0] * (len(t) + 1)
-        for i, c in enumerate(a, 1):
-            new = [i]
-            for j, x in enumerate(t, 1):
-                new.append(min(row[j - 1] + (c != x), row[j] + 1, new[-1] + 1))
-            row = new
-        assert decontaminate.align(a, t, 99)[0] == min(row)
+        edits, start, end = decontaminate.align(a, t, np.array([-len(a)]), len(a) + len(t) + 1, 99)
+        assert (edits, end) == brute_edits(a, t)
+        assert brute_edits(a, t[start:end])[0] == edits
+
+
+def test_decontaminate_every_length(spark):
+    """Every item is found in a text that holds it with as many random edits as its budget allows, as brute force has it."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefgh ")
+    items, rows, want = [], [], {}
+    for m in [*range(8, 64), 80, 110, 150, 200]:
+        for _ in range(2):
+            i = f"item {len(items)}"
+            item = "".join(rng.choice(letters, m))
+            edited = list(item)
+            for _ in range(m // 10):
+                p = rng.integers(len(edited))
+                edited[p : p + 1] = [[], ["x"], [edited[p], "y"]][rng.integers(3)]
+            text = "".join(rng.choice(letters, rng.integers(0, 200))) + "".join(edited) + "".join(rng.choice(letters, rng.integers(0, 200)))
+            items.append((i, item))
+            rows.append((i, text))
+            want[i] = brute_edits(item, text)
+    got = decontaminate.matches(spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    own = {r.doc_id: (r.edits, r.end) for r in got.collect() if r.doc_id == r.item_id}
+    assert own == want
+
+
+def test_decontaminate_of_table(spark):
+    """The query over a whole table: verbatim items by search, and no hit beyond its budget."""
+    from termloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    plain = lambda t: "".join(" " if c.isspace() else c for c in (t or "").lower())
+    docs = {r.doc_id: plain(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    got = {(r.doc_id, r.item_id): r for r in queries.op7_decontaminate(spark, sf).collect()}
+    verbatim = {(d, i): t.find(x) for d, t in docs.items() for i, x in items.items() if x and x in t}
+    assert verbatim and verbatim.keys() <= got.keys()
+    for (d, i), r in got.items():
+        assert brute_edits(items[i], docs[d][r.start : r.end])[0] == r.edits <= len(items[i]) // 10
+        assert r.edits > 0 or r.start == verbatim[d, i]
 
 
 # tokens
@@ -303,18 +590,25 @@ def test_tokens(spark, docs):
     t = Tokenizer.from_file(tokens.default_vocabulary())
     count = lambda s: len(t.encode(s, add_special_tokens=False).ids)
     c = tokens.counter(tokens.default_vocabulary())
-    hard = ["a   b  \n\t c <|endoftext|> x", "don't we'll 're x're '", "<|endoftext|><|endoftext|>", "é😀 a՘b ǅ   ", "", "a\n\n  b''ll 'v", "ab<|endof", "\n \n a", " x"]
+    hard = ["a   b  \n\t c <|endoftext|> x", "don't we'll 're x're '", "<|endoftext|><|endoftext|>", "é😀 a՘b ǅ   ", "", "a\n\n  b''ll 'v", "ab<|endof", "\n \n a", " x", "a  b \u2028c ۝ d \x1c e", "x" * 3000 + " y" + "-" * 900 + " \n"]
     for s in hard:
         assert [int(x) for x in c.prefixes(s)] == [count(s[:k]) for k in range(len(s) + 1)], s
         assert c.count(s) == count(s)
+        assert [0, *np.cumsum(c.changes(s), dtype=int)] == [int(x) for x in c.prefixes(s)], s
     got = collections.Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.token_counts(docs).collect())
     assert got == collections.Counter((r.doc_id, len((r.text or "").encode()), count(r.text or ""), count(r.text or "") > 1024) for r in docs.collect())
     store = tokens.prefix_store(docs.where("doc_id is not null"))
     for r in tokens.budget_cut(store, 5).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
         text = r.text or ""
+        assert r.n_tokens == count(text) and r.n_chars == len(text)
         assert count(text[: r.cut]) <= 5 and (r.cut == len(text) or all(count(text[:k]) > 5 for k in range(r.cut + 1, min(len(text), r.cut + 9) + 1)))
     assert all(r["count"] == count("hello wo") for r in tokens.count_at(store.where("doc_id = 1"), 8).collect())
     assert tokens.token_counts(empty(spark)).count() == 0
+    whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for r in tokens.token_counts(whole).join(whole.select("doc_id", "text"), "doc_id").collect():
+        assert r.n_tokens == count(r.text) and count(r.text[: r.cut]) <= 1024
+        assert r.cut == len(r.text) if not r.over_limit else count(r.text[: r.cut + 1]) > 1024
+
 
 
 # mixing
@@ -352,6 +646,17 @@ def test_mix(spark, docs):
     assert mixing.take(docs).columns == docs.columns
 
 
+def test_take_keeps_own_columns(spark):
+    names = ["_src", "_size", "_id", "_i", "row", "src", "size", "id", "null", "i", "times", "a.b", "doc_id", "source", "text"]
+    rows = [tuple({"doc_id": k // 3 if k else None, "source": "s", "text": f"words of text {k}"}.get(c, f"{c}{k}") for c in names) for k in range(12)]
+    kind = ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names)
+    df = spark.createDataFrame(rows, kind)
+    one = mixing.take(df, weights=(1,))  # one source: every row once
+    assert one.columns == names and sorted(map(str, one.collect())) == sorted(map(str, df.collect()))
+    same = mixing.take(df.union(df), weights=(1,)).collect()
+    assert sorted(map(str, same)) == sorted(map(str, df.union(df).collect()))
+
+
 # shards
 
 
@@ -375,6 +680,50 @@ def test_shards(spark, docs, tmp_path):
     assert sharding.shard(empty(spark)).placed().count() == 0
 
 
+def test_shards_change_of_columns(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=1 << 20, fanout=2)
+    row = lambda i, **more: spark.createDataFrame([(i, *more.values())], ", ".join(["doc_id long", *[f"{c} string" for c in more]]))
+    before = {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql.files")}
+    for i, more in enumerate([{}, {"_file": "f", "_folder": "d"}, {"text": "t"}, {}]):
+        store.append(row(i, **more))
+    want = [(0, None, None, None), (1, "f", "d", None), (2, None, None, "t"), (3, None, None, None)]
+    store.compact()
+    assert {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql.files")} == before
+    assert sorted(map(tuple, store.placed().drop("shard_id", "shard_row").collect()), key=lambda r: r[0]) == want
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([("x",)], "doc_id string"))
+    # another writer commits while compact merges: the merge is dropped, and all rows are there once
+    for i in range(4, 8):
+        store.append(row(i))
+    merge, other = store._merge, sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=1 << 20, fanout=2)
+
+    def late(*args):
+        done = merge(*args)
+        if other.manifest()["version"] == version:
+            other.append(row(99))
+        return done
+
+    version = store.manifest()["version"]
+    monkeypatch.setattr(store, "_merge", late)
+    store.compact()
+    assert sorted(r.doc_id for r in store.read().collect()) == [*range(8), 99]
+
+
+def test_pipeline_odd_rows(spark, docs):
+    """Nulls, repeated rows, empty and very long texts, clashing columns and empty tables pass through all stages."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    names = ["row", "_kept", "_i", "_file", "size", "first"]
+    wide = docs.select("*", *[F.lit(f"{c} own").alias(c) for c in names])
+    for start in (wide, wide.limit(0)):
+        out, stages = start, pipeline.STAGES
+        for _, stage in stages[:-1]:
+            out = pipeline.materialise(stage(spark, out, sf), "test")
+            assert out.columns == start.columns
+        last = stages[-1][1](spark, out, sf).collect()
+        assert all(r[c] == f"{c} own" for r in last for c in names) and all(r.key == "clash" for r in last)
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
