@@ -10,8 +10,8 @@ bucket, so no task holds a whole source. Offsets and buckets are digests, so rer
 
 Defined cases: null text has size 0; the null source is a source of its own, last in the order; an empty
 source, or one whose documents are all empty, takes nothing; equal rows are told apart only by
-their position, so a rerun takes the same multiset; extra columns are kept by ``take`` and ignored
-elsewhere.
+their position, so a rerun takes the same multiset; extra columns of any name are kept by ``take`` and
+ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -63,16 +63,16 @@ def _source_key(source="source"):
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
 
-def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """``doc_id, src, i, size, source_size, target, copies`` of every row of (doc_id, source, size).
+def _placed(docs: DataFrame, weights, most: int) -> DataFrame:
+    """``doc_id, src, size, same, first, rate, offset, source_size, target``, a row for alike rows of (doc_id, source, size).
 
-    ``i`` counts the rows that are alike in all three.
+    ``docs`` has a column ``n``: how many rows a row stands for.
     """
     digits = F.col("size").cast("string")
     # Repeats of one (source, size, id) are one row with a count, so no bucket gathers them.
     rows = (
         docs.groupBy("source", "size", "doc_id")
-        .agg(F.count("*").alias("same"))
+        .agg(F.sum("n").alias("same"))
         .withColumn("src", _source_key())
         .withColumn("class", (F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")).cast("int"))
         .withColumn("bucket", (_digest(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 8) % BUCKETS).cast("int"))
@@ -89,36 +89,48 @@ def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFra
     placed = rows.join(starts, key).withColumn("first", first).join(small_or_shuffled(per), "src")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = _digest(F.concat(F.lit("offset"), "src"), 13) / float(16**13)
+    return placed.select("doc_id", "src", "size", "same", "first", rate.alias("rate"), offset.alias("offset"), "source_size", "target")
+
+
+def _copies(i, most: int):
+    """Copies of the i-th of alike rows: the integer boundaries that its stretch of the sum crosses."""
     upto = lambda n: F.floor(n * F.col("rate") + F.col("offset"))
-    at = F.col("first") + F.col("i")
-    return (
-        placed.withColumn("rate", rate)
-        .withColumn("offset", offset)
-        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("same") - 1)))
-        .withColumn("copies", F.least(upto(at + 1) - upto(at), F.lit(most).cast("long")))
-        .select("doc_id", "src", "i", "size", "source_size", "target", "copies")
-    )
+    at = F.col("first") + i
+    return F.least(upto(at + 1) - upto(at), F.lit(most).cast("long"))
+
+
+def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """``doc_id, src, i, size, source_size, target, copies`` of every row of (doc_id, source, size).
+
+    ``i`` counts the rows that are alike in all three.
+    """
+    every = _placed(docs.withColumn("n", F.lit(1).cast("long")), weights, most).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("same") - 1)))
+    return every.select("doc_id", "src", "i", "size", "source_size", "target", _copies(F.col("i"), most).alias("copies"))
 
 
 def take(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The mix itself: every row as many times as it is taken, with its own columns.
 
-    Rows alike in source, size and id are numbered by their texts' digests.
+    Rows alike in source, size and id are numbered by their texts' digests, split by these into ``BUCKETS``
+    parts, so whole rows are shuffled once, by key and part.
     """
     count = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    drawn = copies(docs.select("doc_id", F.col("source").cast("string").alias("source"), count.alias("size")), weights, most)
-    alike = Window.partitionBy("_src", "_size", "_id").orderBy(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    numbered = (
-        docs.withColumn("_src", _source_key())
-        .withColumn("_size", count)
-        .withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        .withColumn("_i", F.row_number().over(alike).cast("long") - 1)
-    )
-    drawn = drawn.where("copies > 0").select(
-        F.col("src").alias("_src"), F.col("size").alias("_size"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("i").alias("_i"), F.col("copies").alias("_copies")
-    )
-    taken = numbered.join(drawn, ["_src", "_size", "_id", "_i"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    part = F.pmod(F.xxhash64(text), F.lit(BUCKETS)).cast("int").alias("part")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
+    key = ["src", "size", "id", "null"]
+    parts = docs.select("doc_id", F.col("source").cast("string").alias("source"), count.alias("size"), part)
+    parts = materialise(parts.groupBy("doc_id", "source", "size", "part").agg(F.count("*").alias("n")), "mix-parts")
+    placed = _placed(parts, weights, most).select("src", "size", name, F.col("doc_id").isNull().alias("null"), "first", "rate", "offset")
+    along = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a key's few parts
+    parts = parts.select(_source_key().alias("src"), "size", name, F.col("doc_id").isNull().alias("null"), "part", "n")
+    parts = parts.withColumn("start", F.coalesce(F.sum("n").over(along), F.lit(0))).drop("n")
+    placed = materialise(parts.join(placed, key), "mix-places")
+    rows = docs.select(F.struct("*").alias("row"), _source_key().alias("src"), count.alias("size"), name, F.col("doc_id").isNull().alias("null"), part)
+    number = F.row_number().over(Window.partitionBy(*key, "part").orderBy(F.md5(F.coalesce(F.col("row.text").cast("string"), F.lit(""))))) - 1
+    out = rows.join(placed, [*key, "part"]).withColumn("i", F.col("start") + number)
+    times = _copies(F.col("i"), most)
+    return out.where(times > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), times))).select("row.*")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
