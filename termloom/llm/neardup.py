@@ -39,6 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +52,7 @@ CLOSE = 0.5
 ASKED = 16
 ANSWERED = 8
 BLOCK = 512
+SLICE = 500
 HASHES = 128
 DEVIATIONS = 3
 HOT_ROWS = 100_000
@@ -173,26 +175,42 @@ def buckets(n: int, sig: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-_SKETCH = T.StructType(
-    [T.StructField("n", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("asked", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
-)
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """Arrays of unsigned numbers as one column of lists of longs."""
+    ends = np.cumsum([0, *map(len, arrays)])
+    values = np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
-@F.pandas_udf(_SKETCH)
-def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        rows = []
-        for x in s:
-            sh = shingles(x)
-            sig = signature(sh)
-            rows.append((len(sh), buckets(len(sh), sig).view(np.int64), sh[:ASKED].view(np.int64), sig.astype(np.uint8).tobytes()))
-        yield pd.DataFrame(rows, columns=["n", "buckets", "asked", "sig"])
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so a worker holds few texts and sets at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _shingle_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield pd.Series([shingles(x).view(np.int64) for x in s])
+def _mapped(rows: DataFrame, kind: str, make) -> DataFrame:
+    """The columns but ``text`` as they are and those that ``make`` gives for the texts; ``make`` may choose rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            kept = [c for c in part.schema.names if c != "text"]
+            chosen, made = make(part)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(chosen, pa.int64())) for c in kept), *made.values()], [*kept, *made])
+
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"]
+    return rows.mapInArrow(run, ", ".join([*types, kind]))
+
+
+def _sketched(part: pa.RecordBatch):
+    sets = [shingles(x) for x in part.column("text").to_pylist()]
+    sigs = [signature(s) for s in sets]
+    return np.arange(len(sets)), {
+        "n": pa.array([len(s) for s in sets], pa.int32()),
+        "buckets": _lists([buckets(len(s), g) for s, g in zip(sets, sigs)]),
+        "asked": _lists([s[:ASKED] for s in sets]),
+        "sig": pa.array([g.astype(np.uint8).tobytes() for g in sigs], pa.binary()),
+    }
 
 
 @F.pandas_udf(T.BooleanType())
@@ -288,20 +306,15 @@ def _sets(docs: DataFrame, needed: DataFrame, only: _Filter | None = None) -> Da
     if few:
         rows = rows.join(F.broadcast(needed.select("key")), "key", "left_semi")
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def chosen(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, short in batches:
-            out = np.full(len(text), None, object)
-            every = range(len(text)) if wanted is None else wanted.passes(short.to_numpy(np.int64).view(np.uint64))
-            for i in every:
-                sh = shingles(text.iloc[i])
-                out[i] = (sh if only is None else sh[only.passes(sh)]).view(np.int64)
-            yield pd.Series(out)
-
-    # Copies of one text are combined before they are shuffled. A filter on what a deterministic function returns
-    # would be pushed below it and so run it twice.
-    chosen = chosen.asNondeterministic()
-    made = rows.select("key", chosen("text", _short("key")).alias("s")).where("s is not null")
+    def chosen(part: pa.RecordBatch):
+        every = np.arange(part.num_rows)
+        if wanted is not None:
+            every = wanted.passes(part.column("short").to_numpy().view(np.uint64))
+        sets = [shingles(part.column("text")[i].as_py()) for i in every.tolist()]
+        return every, {"s": _lists(sets if only is None else [s[only.passes(s)] for s in sets])}
+
+    # Copies of one text are combined before they are shuffled.
+    made = _mapped(rows.select("key", "text", _short("key").alias("short")), "s array<bigint>", chosen)
     return made.groupBy("key").agg(F.any_value("s").alias("s")).join(small_or_shuffled(needed), "key").select("id", "s")
 
 
@@ -335,18 +348,14 @@ def _lookup(texts: DataFrame, docs: DataFrame) -> DataFrame:
     asks = texts.select("id", "n", "class", F.explode("asked").alias("s"))
     wanted = _Filter(asks.select("s"))
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def others(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        """Shingles beyond those that the text asks with itself."""
-        for s in batches:
-            out = []
-            for x in s:
-                sh = shingles(x)[ASKED:]
-                out.append(sh[wanted.passes(sh)].view(np.int64))
-            yield pd.Series(out)
-
-    others = others.asNondeterministic()  # as in _sets
-    found = docs.select(_key().alias("key"), others(_text()).alias("met")).where(F.size("met") > 0)
+    def others(part: pa.RecordBatch):
+        """Shingles beyond those that the text asks with itself, of the texts that have some."""
+        sets = [shingles(x)[ASKED:] for x in part.column("text").to_pylist()]
+        sets = [s[wanted.passes(s)] for s in sets]
+        some = [i for i, s in enumerate(sets) if len(s)]
+        return some, {"met": _lists([sets[i] for i in some])}
+
+    found = _mapped(docs.select(_key().alias("key"), _text().alias("text")), "met array<bigint>", others)
     found = found.groupBy("key").agg(F.any_value("met").alias("met")).join(texts.select("key", "id", "class"), "key")
     held = asks.select("s", "id", "class").union(found.select(F.explode("met").alias("s"), "id", "class"))
     held = materialise(held, "near-held")
@@ -376,8 +385,9 @@ def _lookup(texts: DataFrame, docs: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts ``id, key, n, first_id, rows, class`` and links ``a, b, na, nb, common`` (all those between classes)."""
-    sketched = docs.select(_key().alias("key"), "doc_id", _sketch(_text()).alias("k"))
-    texts = sketched.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.any_value("k").alias("k"))
+    sketched = _mapped(docs.select(_key().alias("key"), "doc_id", _text().alias("text")), "n int, buckets array<bigint>, asked array<bigint>, sig binary", _sketched)
+    sketch = F.struct("n", "buckets", "asked", "sig")
+    texts = sketched.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.any_value(sketch).alias("k"))
     texts = materialise(texts.select(F.monotonically_increasing_id().alias("id"), "key", "first_id", "rows", "k.*"), "near-texts")
 
     def classed(links: DataFrame) -> DataFrame:
