@@ -9,7 +9,8 @@ map-only pass over every whole text.
 
 Defined cases: null text counts as empty and is scored by its statistics; labels that are null are
 ignored, repeated labels of an id count once (the largest); without labels of both classes every score
-is the share of label 1 (0.5 if there are none); extra columns are ignored.
+is the share of label 1 (0.5 if there are none). The metadata is ``n_chars``; where a table has none, or no
+number in it, it has a value of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +36,13 @@ WORD_BUCKETS = 1 << 14
 FACTORS = 8
 BINS = 16
 MARKS = "|*#$%&!.,<>{}_=@"
+COLUMNS = 16 + len(MARKS)
 _CACHE: dict[str, int] = {}
 
 
 def _bucket(word: str) -> int:
     b = crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS
-    if len(_CACHE) < 500_000:
+    if len(_CACHE) < 100_000:
         _CACHE[word] = b
     return b
 
@@ -69,14 +71,15 @@ def statistics(text: str, words: list[str], counts: Counter) -> list[float]:
     ]
 
 
-def features(text: str | None) -> tuple[np.ndarray, list[float]]:
-    """Buckets of the distinct words, and the statistics."""
+def features(text: str | None, n_chars: float | None = None) -> tuple[np.ndarray, list[float]]:
+    """Buckets of the distinct words, and the statistics with the metadata (the recorded size; none: -1) after them."""
     text = text or ""
     words = text.split()
     counts = Counter(words)
     get = _CACHE.get
     buckets = [b if (b := get(w)) is not None else _bucket(w) for w in counts]
-    return np.unique(np.array(buckets, np.int32)), statistics(text, words, counts)
+    size = -1.0 if n_chars is None or not n_chars >= 0 else log1p(n_chars)
+    return np.unique(np.array(buckets, np.int32)), [*statistics(text, words, counts), size]
 
 
 class Model:
@@ -85,14 +88,16 @@ class Model:
     def __init__(self, edges: np.ndarray, base: float = 0.0):
         self.edges = edges
         rng = np.random.default_rng(7)
-        size = WORD_BUCKETS + edges.shape[0] * BINS
-        self.w0, self.w, self.v = base, np.zeros(size), rng.normal(0, 0.02, (size, FACTORS))
+        self.missing = WORD_BUCKETS + edges.shape[0] * BINS  # the feature of a row without a recorded size
+        self.w0, self.w, self.v = base, np.zeros(self.missing + 1), rng.normal(0, 0.02, (self.missing + 1, FACTORS))
+        self.v[self.missing] = 0
 
     def rows(self, stats: np.ndarray) -> np.ndarray:
         """Feature numbers of the binned statistics, one column each."""
         out = np.empty(stats.shape, np.int64)
         for j, e in enumerate(self.edges):
             out[:, j] = WORD_BUCKETS + j * BINS + np.searchsorted(e, stats[:, j], "right")
+        out[stats[:, -1] < 0, -1] = self.missing
         return out
 
     def flat(self, buckets: list[np.ndarray], stats: np.ndarray):
@@ -123,7 +128,7 @@ def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, epochs
     """Minibatch Adam on the logistic loss, at least ``least_steps`` batches."""
     share = float(labels.mean()) if len(labels) else 0.5
     base = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    count = len(MARKS) + 15
+    count = COLUMNS
     grid = np.linspace(0, 1, BINS + 1)[1:-1]
     edges = np.quantile(stats, grid, axis=0).T if len(stats) else np.zeros((count, BINS - 1))
     model = Model(edges, base)
@@ -163,8 +168,14 @@ _FEATURES = T.StructType([T.StructField("buckets", T.ArrayType(T.IntegerType()))
 
 
 @F.pandas_udf(_FEATURES)
-def _feature_columns(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([features(x) for x in s], columns=["buckets", "stats"])
+def _feature_columns(s: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([features(x, n) for x, n in zip(s, sizes)], columns=["buckets", "stats"])
+
+
+def _inputs(docs: DataFrame):
+    """The text and the recorded size, null where a table has none."""
+    size = F.expr("try_cast(n_chars AS double)") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    return F.col("text").cast("string").alias("text"), size.alias("size")
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
@@ -177,51 +188,44 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
         .limit(train_rows)
     )
     rows = (
-        docs.select("doc_id", F.col("text").cast("string").alias("text"))
+        docs.select("doc_id", *_inputs(docs))
         .join(F.broadcast(sample), "doc_id")  # bounded by train_rows
-        .select("doc_id", "quality", _feature_columns("text").alias("f"))
+        .select("doc_id", "quality", _feature_columns("text", "size").alias("f"))
         .select("doc_id", "quality", "f.*")
         .dropDuplicates(["doc_id"])
         .toPandas()
         .sort_values("doc_id")
     )
     buckets = [np.asarray(b, np.int32) for b in rows["buckets"]]
-    stats = np.array(rows["stats"].tolist(), float).reshape(len(rows), len(MARKS) + 15)
+    stats = np.array(rows["stats"].tolist(), float).reshape(len(rows), COLUMNS)
     return fit(buckets, stats, rows["quality"].to_numpy(float))
 
 
-def score_column(model: Model, text="text"):
-    """The score of a text column."""
-    packed = docs_broadcast(model)
+def score_column(model: Model, docs: DataFrame):
+    """The score of a table's rows."""
+    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # of fixed size, about 1 MB
 
     @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = pickle.loads(packed.value if hasattr(packed, "value") else packed)
-        for s in batches:
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        own = pickle.loads(packed.value)
+        for s, sizes in batches:
             out = np.empty(len(s))
             for at in range(0, len(s), 512):  # bounds the flat arrays
-                got = [features(x) for x in s.iloc[at : at + 512]]
+                got = [features(x, n) for x, n in zip(s.iloc[at : at + 512], sizes.iloc[at : at + 512])]
                 out[at : at + 512] = own.score([g[0] for g in got], np.array([g[1] for g in got], float))
             yield pd.Series(out)
 
-    return score(F.col(text).cast("string"))
-
-
-def docs_broadcast(model: Model):
-    """The model is of fixed size (about 1 MB)."""
-    from pyspark.sql import SparkSession
-
-    return SparkSession.active().sparkContext.broadcast(pickle.dumps(model))
+    return score(*_inputs(docs))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
     model = train(docs, labels, train_rows)
-    scored = docs.select("doc_id", held_out().alias("held_out"), score_column(model).alias("score"))
+    scored = docs.select("doc_id", held_out().alias("held_out"), score_column(model, docs).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score reaches the threshold, with their own columns."""
     model = train(docs, labels, train_rows)
-    return docs.where(score_column(model) >= threshold)
+    return docs.where(score_column(model, docs) >= threshold)
