@@ -4,7 +4,8 @@ A text falls into words by the vocabulary's splitting pattern; the words before
 in every longer prefix. Within a word, a step over its bytes keeps for each prefix the last token of its
 encoding and the number of tokens: the last token is the one that ends there and makes a valid pair with
 the last token of the prefix before it. A pair is valid if the two tokens' bytes, encoded alone, give just
-those two. So each prefix costs a few look-ups and no prefix is encoded again.
+those two. So each prefix costs a few look-ups and no prefix is encoded again. The changes from prefix to
+prefix are stored, a packed byte a code point, and all answers are read from that store.
 
 Defined cases: null text counts as empty (0 tokens); special strings in a text are one token, as the
 library's default has it; very long texts are processed whole; repeated rows give repeated rows; extra
@@ -25,7 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_WORDS = 400_000
+from .common import materialise
+
+CACHE_WORDS = 500_000
+CACHE_LENGTH = 64
 HEAD = 6
 #: Outside these ranges the splitting pattern is left to the library, whose Unicode tables may differ.
 _KNOWN = "\x00-ԯ -⁯₠-₿←-⇿぀-ヿ一-龥\U0001f300-\U0001f5ff"
@@ -64,14 +68,15 @@ class PrefixCounter:
         )
         self.unknown = re.compile(f"[^{_KNOWN}]")
         self.runs = re.compile(r"\s \s|\s \Z")
+        self.safe = re.compile(rf"(?<=[{_KNOWN}])(?<=\S) (?=\S)(?=[{_KNOWN}])")
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         # A token that merging its own bytes doesn't lead to never occurs.
         self.ids = {b: i for b, i in self.ids.items() if self._whole(b) == [i]}
         self.pairs: dict[int, bool] = {}
         #: The steps over the first bytes of a word, which many words share.
         self.heads: dict[bytes, tuple[list[int], list[int]]] = {}
-        self.words: dict[str, int] = {}
-        self.chunks: dict[str, int] = {}
+        self.words: dict[str, bytes | None] = {}
+        self.chunks: dict[str, bytes | None] = {}
 
     def _whole(self, piece: bytes) -> list[int]:
         return [self._rank_to_id[r] for r in self._bpe._encode_single_piece(piece)]
@@ -109,25 +114,6 @@ class PrefixCounter:
                     break
         return count
 
-    def _word(self, word: str) -> int:
-        n = self.steps(word.encode("utf-8", "surrogatepass"))[-1]
-        if len(self.words) < CACHE_WORDS:  # frequent words come early; the rest are computed again
-            self.words[word] = n
-        return n
-
-    def _ordinary(self, text: str) -> int:
-        words, total = self.words, 0
-        for w in self.split(text):
-            n = words.get(w)
-            total += self._word(w) if n is None else n
-        return total
-
-    def _chunk_after_space(self, chunk: str) -> int:
-        n = self._ordinary(" " + chunk)
-        if len(self.chunks) < CACHE_WORDS:
-            self.chunks[chunk] = n
-        return n
-
     def split(self, text: str) -> list[str]:
         """The words of a text without special strings."""
         if self.unknown.search(text):
@@ -145,25 +131,52 @@ class PrefixCounter:
         if at < len(text):
             yield text[at:], False
 
-    def count(self, text: str) -> int:
-        """Tokens of a whole text.
+    def _changes(self, piece: str) -> bytes | None:
+        """The change of the count at each code point of a piece, a signed byte each; None if one is no byte."""
+        body = piece.removeprefix(" ")
+        if "'" in piece or body.split() not in ([], [body]):
+            return _small(np.diff(self.prefixes(piece)))
+        # Words without white space inside or contractions are cut like the whole: the steps over their bytes.
+        words = self.words
+        out = [self._word(w) if (b := words.get(w)) is None else b for w in self.split(piece)]
+        return None if None in out else b"".join(out)
+
+    def _word(self, w: str) -> bytes | None:
+        data = w.encode("utf-8", "surrogatepass")
+        counts = self.steps(data)
+        if len(data) != len(w):  # the counts at the ends of characters
+            counts = [0, *[c for c, b in zip(counts[1:], [*data[1:], 0]) if b & 0xC0 != 0x80]]
+        got = _small(np.diff(counts)) if len(counts) > 100 else bytes([(y - x) & 255 for x, y in zip(counts, counts[1:])])
+        if len(self.words) < CACHE_WORDS and len(w) <= CACHE_LENGTH:
+            self.words[w] = got
+        return got
 
-        A space between two other characters that aren't white space on both sides starts a word, so
-        texts without runs of white space around spaces are counted by the stretches between spaces.
+    def _after_space(self, chunk: str) -> bytes | None:
+        got = self._changes(" " + chunk)
+        if len(self.chunks) < CACHE_WORDS and len(chunk) <= CACHE_LENGTH:  # frequent ones come early
+            self.chunks[chunk] = got
+        return got
+
+    def changes(self, text: str) -> np.ndarray:
+        """The change of the count at each code point: its running sum is the count of every prefix.
+
+        A space between two other characters that aren't white space starts a word, and what comes before
+        it is encoded alike in every longer prefix. So the changes of a text are those of the pieces
+        between such spaces, one after the other, and pieces met before are looked up.
         """
-        chunks, total = self.chunks, 0
-        for part, special in self.parts(text):
-            if special:
-                total += 1
-            elif self.runs.search(part) or self.unknown.search(part):
-                total += self._ordinary(part)
-            else:
-                first, *rest = part.split(" ")
-                total += self._ordinary(first)
-                for c in rest:
-                    n = chunks.get(c)
-                    total += self._chunk_after_space(c) if n is None else n
-        return total
+        if self.special and self.special.search(text):
+            return np.diff(self.prefixes(text))
+        plain = not self.runs.search(text) and not self.unknown.search(text)
+        first, *rest = text.split(" ") if plain else self.safe.split(text)
+        get, own = self.chunks.get, self._after_space
+        found = [self._changes(first), *[own(c) if (b := get(c)) is None else b for c in rest]]
+        if None in found:
+            return np.diff(self.prefixes(text))
+        return np.frombuffer(b"".join(found), np.int8)
+
+    def count(self, text: str) -> int:
+        """Tokens of a whole text: the last of its prefixes' counts."""
+        return int(self.changes(text).sum(dtype=np.int64))
 
     def _partial(self, text: str) -> int:
         return sum(self.steps(w.encode("utf-8", "surrogatepass"))[-1] for w in self.split(text))
@@ -202,6 +215,12 @@ class PrefixCounter:
         return out
 
 
+def _small(changes: np.ndarray) -> bytes | None:
+    """Changes as signed bytes, None if one is too large."""
+    fits = not len(changes) or (changes.min() >= -128 and changes.max() <= 127)
+    return changes.astype(np.int8).tobytes() if fits else None
+
+
 def _tail(text: str) -> int:
     """Length of the end of a text that a cut special string after it may be joined with."""
     n = len(text)
@@ -228,51 +247,57 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 1024) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` of every row."""
+def prefix_store(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``doc_id, n_chars, n_bytes, n_tokens, steps``: steps packs the change of the count at each code point."""
     path = vocabulary or default_vocabulary()
 
-    @F.pandas_udf(T.LongType())
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("steps", T.BinaryType())]))
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = counter(path)
         for s in batches:
-            yield pd.Series([c.count(x) if x else 0 for x in s], dtype="int64")
+            found = map(c.changes, s)
+            yield pd.DataFrame([(int(d.sum(dtype=np.int64)), _pack(d)) for d in found], columns=["n_tokens", "steps"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), tokens(text).alias("n_tokens"))
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    size = [F.char_length(text).cast("long").alias("n_chars"), F.octet_length(text).cast("long").alias("n_bytes")]
+    return docs.select("doc_id", *size, pack(text).alias("p")).select("doc_id", "n_chars", "n_bytes", "p.*")
 
 
-def prefix_store(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``doc_id, n_chars, n_tokens, steps``: steps packs the change of the count at each code point."""
-    path = vocabulary or default_vocabulary()
-    kind = T.StructType([T.StructField("n_chars", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("steps", T.BinaryType())])
+def _pack(changes: np.ndarray) -> bytes:
+    """One byte a change where that holds them all, else four; compressed."""
+    small = _small(changes)
+    return b"i" + zlib.compress(changes.astype("<i4").tobytes(), 1) if small is None else b"b" + zlib.compress(small, 1)
 
-    @F.pandas_udf(kind)
-    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = counter(path)
-        for s in batches:
-            rows = []
-            for x in s:
-                p = c.prefixes(x or "")
-                rows.append((len(p) - 1, int(p[-1]), zlib.compress(np.diff(p).astype("<i4").tobytes(), 1)))
-            yield pd.DataFrame(rows, columns=["n_chars", "n_tokens", "steps"])
 
-    return docs.select("doc_id", pack(F.col("text").cast("string")).alias("p")).select("doc_id", "p.*")
+def unpack(steps: bytes) -> np.ndarray:
+    """The count of every prefix, from the empty one to the whole text."""
+    changes = np.frombuffer(zlib.decompress(steps[1:]), np.int8 if steps[:1] == b"b" else "<i4")
+    return np.concatenate([[0], np.cumsum(changes, dtype=np.int64)])
 
 
-def unpack(steps: bytes) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(np.frombuffer(zlib.decompress(steps), "<i4"))]).astype(np.int64)
+def _from_store(answer):
+    """A column of what ``answer`` finds in the prefixes' counts."""
+
+    @F.pandas_udf(T.LongType())
+    def read(s: pd.Series) -> pd.Series:
+        return pd.Series([answer(unpack(b)) for b in s], dtype="int64")
+
+    return read
 
 
 def budget_cut(store: DataFrame, budget: int) -> DataFrame:
     """Adds ``cut``: the longest prefix (code points) whose own count is within the budget."""
+    longest = _from_store(lambda p: len(p) - 1 - int((p[::-1] <= budget).argmax()))
+    return store.withColumn("cut", longest("steps"))
 
-    @F.pandas_udf(T.LongType())
-    def cut(s: pd.Series) -> pd.Series:
-        return pd.Series([int(np.flatnonzero(unpack(b) <= budget)[-1]) for b in s], dtype="int64")
 
-    return store.withColumn("cut", cut("steps"))
+def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 1024) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, over_limit, cut`` of every row, read from the stored prefixes.
+
+    ``cut`` is the length in code points of the longest prefix of at most ``limit`` tokens.
+    """
+    store = materialise(prefix_store(docs, vocabulary), "token-prefixes")
+    return budget_cut(store, limit).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cut")
 
 
 def count_at(store: DataFrame, length) -> DataFrame:
