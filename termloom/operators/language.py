@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -49,9 +50,6 @@ def predict(docs: DataFrame, model: DataFrame, kind: str = "letters") -> DataFra
 
 def detected(docs: DataFrame, detector) -> DataFrame:
     """``doc_id, lang_pred`` by any detector: a function of the text column, or one of a pandas series of texts."""
-    import pandas as pd
-    from pyspark.sql import Column
-
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     try:
         column = detector(text)
