@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.common import small_or_shuffled
+from ..plans.common import BROADCAST_ROWS, small_or_shuffled
+from . import within
+from .tokenize import plain_tokens
 
 
 def positions(tokens: DataFrame) -> DataFrame:
@@ -81,6 +83,19 @@ def proximity(places: DataFrame, queries: DataFrame, distance: int = 3) -> DataF
     return _every_pair(near(places, pairs, distance, True), pairs)
 
 
+def search_texts(docs: DataFrame, queries: DataFrame, kind: str = "phrase", distance: int = 3) -> DataFrame:
+    """``phrase``, ``phrase_pairwise`` or ``proximity`` over (doc_id, text) themselves: each document is looked at once, nothing is shuffled.
+
+    Beyond a bounded number of query words, or where ids repeat, the operators over places answer.
+    """
+    reach = {"phrase": None, "phrase_pairwise": [1], "proximity": [d for d in range(-distance, distance + 1) if d]}[kind]
+    asked = within.asked(queries, BROADCAST_ROWS)
+    if asked is None or not within.one_row_each(docs):
+        places = positions(plain_tokens(docs))
+        return proximity(places, queries, distance) if kind == "proximity" else {"phrase": phrase, "phrase_pairwise": phrase_pairwise}[kind](places, queries)
+    return within.matches(docs, asked, queries.schema["query_id"].dataType, reach)
+
+
 def literal_queries(spark, queries: list[list[str]]) -> DataFrame:
     rows = reduce(list.__add__, [[(n, i, t) for i, t in enumerate(q)] for n, q in enumerate(queries)], [])
     return spark.createDataFrame(rows, "query_id long, i int, term string")

@@ -18,6 +18,11 @@ def plain_tokens(docs: DataFrame, low: int = 3, high: int = 25, table=X.FOLD_ACU
     return cleaned.withColumn("term", F.when(F.length("term").between(low, high), F.col("term")))
 
 
+def kept_text(column: str = "text", table=X.FOLD_ACUTE):
+    """A text as ``plain_tokens`` reads it, cleaned before it is split: its words are the same, in the same order."""
+    return X.remove_punctuation_keep_spaces(X.normalize(F.col(column), table))
+
+
 def typed_tokens(docs: DataFrame, low: int = 3, high: int = 25, names: bool = True, table=X.FOLD_FULL) -> DataFrame:
     """``doc_id, pos, token, term, kind`` by the entity pipeline.
 
