@@ -32,3 +32,23 @@ def test_search_texts(spark, odd):
         assert "MapInArrow" in plan and "hashpartitioning" not in plan
     twice = odd.union(odd)
     assert rows(positional.search_texts(twice, q, "phrase_pairwise"), "query_id", "doc_id")
+
+
+def test_language_by_text(spark, odd):
+    from termloom.operators import language
+
+    draw = random.Random(8)
+    texts = ["".join(draw.choices("abcdeKİé \t\n\x0b\f\r?", k=draw.randrange(60))) for _ in range(80)]
+    more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = odd.union(more).withColumn("lang", F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("l"), F.col("doc_id") % 4))).repartition(3)
+    for kind in language.GRAMS:
+        model = language.profiles(docs, kind)
+        assert rows(model, "lang", "gram", "n") == rows(language.gram_counts(docs.where("lang is not null"), kind, "lang"), "lang", "gram", "n")
+        columns = ["doc_id", "lang_pred", "correlation"]
+        found = sorted(map(str, language.predict(docs, model, kind).select(*columns).collect()))
+        assert found == sorted(map(str, language.predict_joined(docs, model, kind).select(*columns).collect())), kind
+        plan = language.predict(docs.limit(9), model, kind)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Generate" not in plan
+    large = spark.createDataFrame([("a", "ab", 4 * 10**9), ("a", "ac", 1)], "lang string, gram string, n long")  # squares beyond a long's range
+    one = spark.createDataFrame([(1, "ab ab ac")], "doc_id long, text string")
+    assert language.predict(one, large, "bigrams").first() == language.predict_joined(one, large, "bigrams").first()
