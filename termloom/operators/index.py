@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import compress
-from ..plans.common import small_or_shuffled
-from .statistics import term_statistics
+from ..plans.common import small_or_shuffled, written
 
 BLOCK_IDS = 1 << 18
 
@@ -113,32 +112,65 @@ def decompressed(index: DataFrame, method: str = "gamma", gapped: bool = True) -
 
 
 def write_index(tf: DataFrame, path: str, tokens: DataFrame | None = None, partitions: int | None = None) -> None:
-    """Store ``terms``, ``postings`` and ``totals`` (and ``positions``), postings sorted by (term, doc_id).
+    """Store ``terms``, ``postings`` and ``totals`` (and ``positions``), postings sorted by (term, doc_id) in each file.
 
-    One shuffle by ranges of terms; Parquet statistics then find a term's few row groups.
+    One shuffle by term, of which a document has one row at most; Parquet statistics then find a term's few
+    pages. A posting carries its term's ``cf`` and ``df``, so weights need no join.
     """
-    spread = tf.repartitionByRange(partitions, "term", "doc_id") if partitions else tf.repartitionByRange("term", "doc_id")
-    spread.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    own = tf.select("doc_id", "term", "tf")
+    by_term = own.repartition(partitions, "term") if partitions else own.repartition("term")
+    whole = Window.partitionBy("term")
+    sums = by_term.sortWithinPartitions("term", "doc_id").withColumns({"cf": F.sum("tf").over(whole), "df": F.count("*").over(whole)})
+    sums.write.mode("overwrite").parquet(f"{path}/postings")
     postings = tf.sparkSession.read.parquet(f"{path}/postings")
-    term_statistics(postings).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    terms = read_terms(tf.sparkSession, path)
-    docs = postings.select("doc_id").distinct().agg(F.count("*").alias("n"))
-    docs.crossJoin(terms.agg(F.count("*").alias("v"))).write.mode("overwrite").parquet(f"{path}/totals")  # one row each
+    terms = postings.groupBy("term").agg(F.first("cf").alias("cf"), F.first("df").alias("df"))
+    terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    _write_totals(tf.sparkSession, path, distinct_ids(postings))
     if tokens is not None:
         write_positions(tokens, path)
 
 
+def _write_totals(spark: SparkSession, path: str, docs: DataFrame) -> None:
+    """docs: one row ``n``."""
+    docs.crossJoin(read_terms(spark, path).agg(F.count("*").alias("v"))).write.mode("overwrite").parquet(f"{path}/totals")  # one row each
+
+
+def write_terms(words: DataFrame, path: str) -> None:
+    """Store ``terms`` and ``totals`` alone, from ``within.vocabulary``."""
+    known = written(words, "vocabulary")
+    known.where("term is not null").repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    _write_totals(words.sparkSession, path, known.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")))
+
+
+def distinct_ids(postings: DataFrame) -> DataFrame:
+    """One row ``n``: how many documents. Dense ids are counted in bitmaps, which shuffle a bit an id and task."""
+    low, high, rows = postings.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    if not isinstance(low, int) or high - low > 64 * rows:
+        return postings.select("doc_id").distinct().agg(F.count("*").alias("n"))
+    at = F.col("doc_id") - low
+    bits = postings.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return bits.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))
+
+
 def write_positions(tokens: DataFrame, path: str) -> None:
-    positional_index(tokens).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/positions")
+    write_places(positional_index(tokens), path)
+
+
+def write_places(places: DataFrame, path: str) -> None:
+    """Store ``positions`` of (term, doc_id, tf, positions): one shuffle by term."""
+    places.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/positions")
 
 
 def write_norms(spark: SparkSession, path: str, weights: dict[str, str]) -> None:
-    """Store ``norms``: ``doc_id`` and a column a scheme, the length of the document's weights (SQL over n, v, tf, df, cf)."""
+    """Store ``norms``: ``doc_id`` and a column a scheme, the length of the document's weights (SQL over n, v, tf, df, cf).
+
+    For an index as ``write_index`` leaves it. Postings are shuffled by document before they are summed up:
+    in a file of terms no two are of one document, so sums made there would only be wider.
+    """
     n, v = totals(spark, path)
-    known = read_terms(spark, path).withColumns({"n": F.lit(n), "v": F.lit(v)})
-    weighted = spark.read.parquet(f"{path}/postings").join(known, "term")
+    found = spark.read.parquet(f"{path}/postings").select("doc_id", "tf", "cf", "df").repartition("doc_id").withColumns({"n": F.lit(n), "v": F.lit(v)})
     length = lambda w: F.sqrt(F.sum(F.expr(w) * F.expr(w)))
-    norms = weighted.groupBy("doc_id").agg(*[length(w).alias(name) for name, w in weights.items()])
+    norms = found.groupBy("doc_id").agg(*[length(w).alias(name) for name, w in weights.items()])
     norms.write.mode("overwrite").parquet(f"{path}/norms")
 
 

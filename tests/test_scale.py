@@ -52,3 +52,25 @@ def test_language_by_text(spark, odd):
     large = spark.createDataFrame([("a", "ab", 4 * 10**9), ("a", "ac", 1)], "lang string, gram string, n long")  # squares beyond a long's range
     one = spark.createDataFrame([(1, "ab ab ac")], "doc_id long, text string")
     assert language.predict(one, large, "bigrams").first() == language.predict_joined(one, large, "bigrams").first()
+
+
+def test_index_of_texts(spark, odd, tmp_path):
+    tokens = tokenize.plain_tokens(odd)
+    tf = tokenize.term_frequencies(tokens)
+    assert rows(within.frequencies(odd), "doc_id", "term", "tf") == rows(tf, "doc_id", "term", "tf")
+    twice = odd.union(odd)
+    assert rows(within.frequencies(twice), "doc_id", "term", "tf") == rows(tf.withColumn("tf", F.col("tf") * 2), "doc_id", "term", "tf")
+    columns = ["term", "doc_id", "tf", "positions"]
+    assert rows(within.positions(odd), *columns) == rows(index.positional_index(tokens), *columns)
+    assert rows(within.vocabulary(twice).where("term is not null"), "term", "df") == rows(within.vocabulary(odd).where("term is not null"), "term", "df")
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    index.write_index(tf, one)
+    index.write_terms(within.vocabulary(odd), two)
+    assert index.totals(spark, one) == index.totals(spark, two) == (tf.select("doc_id").distinct().count(), tf.select("term").distinct().count())
+    assert rows(index.read_terms(spark, one), "term", "cf", "df") == rows(index.read_terms(spark, two), "term", "cf", "df")
+
+
+def test_documents_are_counted(spark):
+    for ids in ([5, 5, 9, -3], [0, 10**12], []):
+        assert index.distinct_ids(spark.createDataFrame([(i,) for i in ids], "doc_id long")).first().n == len(set(ids))
+    assert index.distinct_ids(spark.createDataFrame([("a",), ("b",), ("a",)], "doc_id string")).first().n == 2
