@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..plans.common import small_or_shuffled
+from ..plans.common import BROADCAST_ROWS, small_or_shuffled
 from .index import read_terms, totals
 from .statistics import term_statistics
 
 
+#: Terms times queries of a table of query weights (8 bytes each); beyond it ranking joins.
+CELLS = 8_000_000
+
+
 @dataclass(frozen=True)
 class Scheme:
     """Document and query weights as SQL over n, v, tf, qtf, mq, df, cf; null: the term has no weight."""
@@ -78,14 +87,89 @@ def rank_stored(spark: SparkSession, path: str, queries: DataFrame, scheme: str
     n, v = totals(spark, path)
     q = queries.withColumn("mq", F.max("qtf").over(Window.partitionBy("query_id"))).join(read_terms(spark, path), "term")
     q = q.withColumns({"n": F.lit(n), "v": F.lit(v)}).withColumn("q", F.expr(rule.query)).where("q is not null")
-    own = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-    postings = spark.read.parquet(f"{path}/postings").select("doc_id", "term", "tf")
-    met = postings.join(small_or_shuffled(q), "term").withColumn("w", F.expr(rule.doc)).where("w is not null")
-    dots = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
+    postings = spark.read.parquet(f"{path}/postings").select("doc_id", "term", "tf", "cf", "df").withColumns({"n": F.lit(n), "v": F.lit(v)})
     norms = spark.read.parquet(f"{path}/norms").select("doc_id", F.col(scheme).alias("dn"))
-    scored = dots.join(norms, "doc_id").join(small_or_shuffled(own), "query_id").where("dn > 0 and qn > 0")
-    scored = scored.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
-    return top(scored.where("score > 0") if rule.positive_only else scored, k)
+    rows = q.select("query_id", "term", "q").limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS or len({r.query_id for r in rows}) * len({r.term for r in rows}) > CELLS:
+        own = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
+        met = postings.join(small_or_shuffled(q.select("query_id", "term", "q")), "term").withColumn("w", F.expr(rule.doc)).where("w is not null")
+        dots = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
+        scored = dots.join(norms, "doc_id").join(small_or_shuffled(own), "query_id").where("dn > 0 and qn > 0")
+        scored = scored.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6).alias("score"))
+        return top(scored.where("score > 0") if rule.positive_only else scored, k)
+    return top(_best(spark, postings.withColumn("w", F.expr(rule.doc)), norms, rows, q.schema["query_id"], rule.positive_only, k), k)
+
+
+def _best(spark: SparkSession, postings: DataFrame, norms: DataFrame, asked: list, query_id: T.StructField, positive: bool, k: int) -> DataFrame:
+    """``query_id, doc_id, score``: the k best of each query in each partition of documents, by a table of terms and queries.
+
+    postings: (doc_id, term, w), norms: (doc_id, dn), asked: rows (query_id, term, q). Asked postings meet
+    their document's norm in one shuffle, as rows of one kind; a document is scored for all queries at once.
+    """
+    queries, terms = sorted({r.query_id for r in asked}), sorted({r.term for r in asked})
+    place, number = {t: i for i, t in enumerate(terms)}, {x: i for i, x in enumerate(queries)}
+    weight = np.zeros((len(terms), len(queries)))
+    has = np.zeros(weight.shape, bool)
+    for r in asked:
+        weight[place[r.term], number[r.query_id]] = r.q
+        has[place[r.term], number[r.query_id]] = True
+    qn = np.sqrt((weight * weight).sum(axis=0))
+    known = F.broadcast(spark.createDataFrame(list(place.items()), "term string, ix int"))  # at most BROADCAST_ROWS
+    met = postings.select("doc_id", "term", "w").where("w is not null").join(known, "term").select("doc_id", "ix", "w")
+    rows = met.unionByName(norms.select("doc_id", F.lit(-1).alias("ix"), F.col("dn").alias("w"))).repartition("doc_id").sortWithinPartitions("doc_id", "ix")
+    kind = to_arrow_type(query_id.dataType)
+
+    def best(batches):
+        top_scores, top_ids = np.full((0, len(queries)), -np.inf), None
+        rest = None
+
+        def add(table):
+            """Documents of the rows, whole and in order."""
+            nonlocal top_scores, top_ids
+            ids, ix, w = table.column(0), table.column(1).to_numpy(), table.column(2).to_numpy()
+            starts = np.flatnonzero(_new(ids))
+            norm = np.where(ix[starts] < 0, w[starts], 0.0)
+            meets = ix >= 0
+            use = np.where(meets, ix, 0)
+            dots = np.add.reduceat(np.where(meets, w, 0.0)[:, None] * weight[use], starts, axis=0)
+            met = np.logical_or.reduceat(has[use] & meets[:, None], starts, axis=0)
+            ok = met & (norm[:, None] > 0) & (qn > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = dots / (norm[:, None] * qn)
+            score = np.sign(score) * np.floor(np.abs(score) * 1e6 + 0.5) / 1e6 + 0.0
+            score = np.where(ok & (score > 0) if positive else ok, score, -np.inf)
+            own = np.broadcast_to(np.asarray(ids.take(pa.array(starts)).to_pylist(), object)[:, None], score.shape)
+            scores = np.vstack([top_scores, score])
+            order = np.argsort(-scores, axis=0, kind="stable")[:k]  # ids rise, so ties stay with the smaller one
+            top_ids = np.take_along_axis(own if top_ids is None else np.vstack([top_ids, own]), order, axis=0)
+            top_scores = np.take_along_axis(scores, order, axis=0)
+
+        for b in batches:
+            table = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b]).combine_chunks()
+            if not table.num_rows:
+                continue
+            last = int(np.flatnonzero(_new(table.column(0).combine_chunks()))[-1])
+            rest = table.slice(last)
+            if last:
+                add(table.slice(0, last).combine_chunks().to_batches()[0])
+        if rest is not None and rest.num_rows:
+            add(rest.combine_chunks().to_batches()[0])
+        if top_ids is not None:
+            i, j = np.nonzero(top_scores > -np.inf)
+            found = [pa.array([queries[x] for x in j], kind), pa.array(list(top_ids[i, j]), arrow_id), pa.array(top_scores[i, j])]
+            yield pa.RecordBatch.from_arrays(found, ["query_id", "doc_id", "score"])
+
+    arrow_id = to_arrow_type(norms.schema["doc_id"].dataType)
+    if not asked:
+        rows = rows.limit(0)
+    return rows.mapInArrow(best, T.StructType([query_id, norms.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+
+
+def _new(ids) -> np.ndarray:
+    """Which of the sorted ids differ from the one before."""
+    out = np.ones(len(ids), bool)
+    out[1:] = pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
+    return out
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

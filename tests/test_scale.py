@@ -74,3 +74,25 @@ def test_documents_are_counted(spark):
     for ids in ([5, 5, 9, -3], [0, 10**12], []):
         assert index.distinct_ids(spark.createDataFrame([(i,) for i in ids], "doc_id long")).first().n == len(set(ids))
     assert index.distinct_ids(spark.createDataFrame([("a",), ("b",), ("a",)], "doc_id string")).first().n == 2
+
+
+def test_rank_stored(spark, odd, tmp_path):
+    from termloom.operators import retrieval
+
+    tf, path = tokenize.term_frequencies(tokenize.plain_tokens(odd)), str(tmp_path / "i")
+    index.write_index(tf, path)
+    index.write_norms(spark, path, {name: s.doc for name, s in retrieval.SCHEMES.items()})
+    q = spark.createDataFrame([(1, "aaa", 1), (1, "ddd", 2), (2, "nino", 1), (2, "zzz", 1), (3, "zzz", 1), (4, "eee", 3), (4, "bbb", 1)], "query_id long, term string, qtf long")
+    columns = ["query_id", "rank", "doc_id", "score"]
+    for name in retrieval.SCHEMES:
+        want = rows(retrieval.rank(tf, q, name, 4), *columns)
+        found = retrieval.rank_stored(spark, path, q, name, 4)
+        assert rows(found, *columns) == want and (want or name == "double_log"), name
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    cells, retrieval.CELLS = retrieval.CELLS, 0
+    try:
+        assert rows(retrieval.rank_stored(spark, path, q, "tfidf", 4), *columns) == rows(retrieval.rank(tf, q, "tfidf", 4), *columns)
+    finally:
+        retrieval.CELLS = cells
+    none = spark.createDataFrame([], "query_id long, term string, qtf long")
+    assert retrieval.rank_stored(spark, path, none).count() == 0
