@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.common import numbered, running_sums
+from ..functions import text as X
+from ..plans.common import numbered, running_sums, written
+from . import tokenize, within
 
 
 def term_statistics(tf: DataFrame) -> DataFrame:
@@ -66,6 +68,39 @@ def top_bottom(terms: DataFrame, n: int = 10) -> DataFrame:
     return high.select(F.lit("top").alias("side"), "place", "term", "cf", "df").union(low.select(F.lit("bottom"), "place", "term", "cf", "df"))
 
 
+def entity_kinds(docs: DataFrame) -> DataFrame:
+    """``kind, tokens, terms`` of ``typed_tokens`` without names: equal tokens are counted first, then classified once."""
+    every = within.tokens(docs, by_document=False).groupBy("token").agg(F.sum("n").alias("n"))
+    per = tokenize.classified(every).groupBy("kind", "term").agg(F.sum("n").alias("n"))
+    return per.groupBy("kind").agg(F.sum("n").alias("tokens"), F.count("term").alias("terms"))
+
+
+def entity_terms(docs: DataFrame, low: int = 3, high: int = 25) -> DataFrame:
+    """``kind, term, cf, df`` of ``entity_tokens``, in one pass over the documents and one shuffle by term.
+
+    An abbreviation counts both as itself and, apart, as the word that it may be; which of the two holds is
+    known once the plain terms are.
+    """
+    found = within.tokens(docs, X.FOLD_WIDE).withColumn("numbers", X.inner_numbers("token")).withColumn("word", F.lower(X.remove_punctuation("token")))
+    entry = lambda kind, term, word=F.lit(None).cast("string"): F.struct(F.lit(kind).alias("kind"), term.alias("term"), word.alias("word"))
+    token, word, fits = F.col("token"), F.col("word"), F.length("word").between(low, high)
+    short = F.when(fits, F.array(entry("abbreviation", token, word), entry("maybe", word))).otherwise(F.array(entry("abbreviation", token, word)))
+    entries = (
+        F.when(F.size("numbers") > 0, F.transform("numbers", lambda x: entry("number", x)))
+        .when(X.is_mail_or_url("token"), F.array(entry("mail_url", token)))
+        .when(X.is_abbreviation("token"), short)
+        .when(fits, F.array(entry("plain", word)))
+    )
+    each = found.select("doc_id", "n", F.explode(entries).alias("e")).select("doc_id", "n", "e.*").withColumn("maybe", F.col("kind") == "maybe")
+    each = each.withColumn("kind", F.when(F.col("maybe"), "plain").otherwise(F.col("kind"))).repartition("kind", "term")
+    sure = F.sum(F.when(~F.col("maybe"), F.col("n")))
+    per = each.groupBy("kind", "term", "doc_id").agg(F.sum("n").alias("n"), sure.alias("sure"), F.first("word").alias("word"))
+    known = written(per.groupBy("kind", "term").agg(F.sum("n").alias("cf"), F.count("*").alias("df"), F.count("sure").alias("sure"), F.first("word").alias("word")), "entities")
+    plain = known.where("kind = 'plain' and sure > 0")
+    others = known.where("kind <> 'plain'").join(plain.select(F.col("term").alias("word"), F.lit(True).alias("is_word")), "word", "left").where("is_word is null")
+    return plain.select("kind", "term", "cf", "df").unionByName(others.select("kind", "term", "cf", "df"))
+
+
 def index_totals(tf: DataFrame) -> DataFrame:
     """One row: documents, vocabulary, postings, and the length of the longest term."""
     return tf.agg(

@@ -31,11 +31,8 @@ def typed_tokens(docs: DataFrame, low: int = 3, high: int = 25, names: bool = Tr
     follow as terms of several words without a position, while their words count singly too.
     """
     folded = docs.select("doc_id", X.fold(F.col("text"), table).alias("t"))
-    split = folded.select("doc_id", F.posexplode(X.words(F.col("t"))).alias("pos", "token")).withColumn("kind", X.kind("token"))
-    special = F.col("kind").isin("number", "mail_url", "date")
-    plain = F.lower(X.remove_punctuation_keep_spaces("token"))
-    term = F.when(special, F.lower(X.clean_special("token"))).otherwise(plain)
-    kept = split.withColumn("term", term).where(special | (X.only_letters("term") & F.length("term").between(low, high)))
+    split = folded.select("doc_id", F.posexplode(X.words(F.col("t"))).alias("pos", "token"))
+    kept = classified(split, low, high).select("doc_id", "pos", "token", "kind", "term")
     if not names:
         return kept
     found = folded.select("doc_id", F.explode(X.proper_names("t")).alias("token"))
@@ -43,6 +40,14 @@ def typed_tokens(docs: DataFrame, low: int = 3, high: int = 25, names: bool = Tr
     return kept.unionByName(found)
 
 
+def classified(tokens: DataFrame, low: int = 3, high: int = 25) -> DataFrame:
+    """Adds ``kind, term`` to rows with a ``token``, and drops those that the entity pipeline drops."""
+    special = F.col("kind").isin("number", "mail_url", "date")
+    plain = F.lower(X.remove_punctuation_keep_spaces("token"))
+    term = F.when(special, F.lower(X.clean_special("token"))).otherwise(plain)
+    return tokens.withColumn("kind", X.kind("token")).withColumn("term", term).where(special | (X.only_letters("term") & F.length("term").between(low, high)))
+
+
 def entity_tokens(docs: DataFrame, low: int = 3, high: int = 25) -> DataFrame:
     """``doc_id, term, kind`` by the older pipeline: all numbers inside a token are taken, the first in its place.
 

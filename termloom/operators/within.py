@@ -6,6 +6,7 @@ words that ``tokenize.plain_tokens`` finds, in their order.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
 from . import tokenize
 
 #: Rows of an Arrow batch that is handed back.
@@ -122,6 +124,38 @@ def positions(docs: DataFrame, low: int = 3, high: int = 25) -> DataFrame:
     return _over(docs, placed, schema, low, high)
 
 
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def tokens(docs: DataFrame, table=X.FOLD_FULL, by_document: bool = True) -> DataFrame:
+    """``doc_id, token, n`` of the folded text's tokens as ``X.words`` splits it; or ``token, n`` of each batch."""
+
+    def run(batches):
+        for b in batches:
+            at, found, n, every = [], [], [], Counter()
+            for i, text in enumerate(b.column(1).to_pylist()):
+                if text is None:
+                    continue
+                words = _SPACE.split(text.strip(" "))
+                if not by_document:
+                    every.update(words)
+                    continue
+                c = Counter(words)
+                at += [i] * len(c)
+                found += c
+                n += c.values()
+                if len(at) >= ROWS:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(found, pa.string()), pa.array(n, pa.int64())], ["doc_id", "token", "n"])
+                    at, found, n = [], [], []
+            if at:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(found, pa.string()), pa.array(n, pa.int64())], ["doc_id", "token", "n"])
+            if every:
+                yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64())], ["token", "n"])
+
+    own = [T.StructField("token", T.StringType()), T.StructField("n", T.LongType())]
+    return docs.select("doc_id", X.fold(F.col("text"), table).alias("text")).mapInArrow(run, _with_id(docs, *own) if by_document else T.StructType(own))
+
+
 def asked(queries: DataFrame, limit: int) -> dict | None:
     """Each query's words in order, or nothing where there are more than ``limit`` rows."""
     rows = queries.select("query_id", "i", "term").limit(limit + 1).collect()

@@ -96,3 +96,20 @@ def test_rank_stored(spark, odd, tmp_path):
         retrieval.CELLS = cells
     none = spark.createDataFrame([], "query_id long, term string, qtf long")
     assert retrieval.rank_stored(spark, path, none).count() == 0
+
+
+def test_entities(spark):
+    from termloom.operators import statistics
+
+    draw = random.Random(3)
+    some = ["Dr.", "DR", "dr", "USA", "usa", "U.S.A", "word", "Word.", "12/12", "-3.5kg7", "a@b.com", "http://x.org/a?b", "2021-12-09", " x y", "\tTabbed", "Etc.", "etc", "Niño", "NASA", "Sr.", "??", "www.abc.de"]
+    texts = ["", None, "\n", *[draw.choice([" ", "  ", "\n"]).join(draw.choices(some, k=draw.randrange(1, 9))) for _ in range(60)]]
+    docs = spark.createDataFrame([(i % 55, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)  # some ids twice
+    old = tokenize.entity_tokens(docs).groupBy("kind", "term").agg(F.count("*").alias("cf"), F.count_distinct("doc_id").alias("df"))
+    found = statistics.entity_terms(docs)
+    assert rows(found, "kind", "term", "cf", "df") == rows(old, "kind", "term", "cf", "df")
+    kinds = tokenize.typed_tokens(docs, names=False).groupBy("kind").agg(F.count("*").alias("tokens"), F.count_distinct("term").alias("terms"))
+    new = statistics.entity_kinds(docs)
+    assert rows(new, "kind", "tokens", "terms") == rows(kinds, "kind", "tokens", "terms")
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
