@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.common import numbered, small_or_shuffled, written
 
+#: Edges that one task may hold as pairs of numbers of 4 bytes.
+EDGES = 20_000_000
+
 
 def links(pages: DataFrame, resolve: bool = False, repeats: bool = True) -> DataFrame:
     """``page_id, src, dst``: link targets of each page, the fragment cut off.
@@ -133,13 +138,15 @@ def hits(e: DataFrame, steps: int = 10, write_every: int = 3, tolerance: float =
     """``id, hub, authority``, each normalised to sum 1, from equal hubs.
 
     It ends after ``steps``, or earlier once the hubs changed by less than ``tolerance`` in all from one
-    written step to the next.
+    written step to the next. Up to EDGES edges, as numbers, one task takes all steps; beyond it each step is joined.
     """
     e = written(e, "hits-edges")
     ids = written(nodes(e), "hits-nodes")
     n = ids.count()
     if not n:
         return ids.select("id", F.lit(0.0).alias("hub"), F.lit(0.0).alias("authority"))
+    if e.count() <= EDGES:
+        return _hits_in_one_task(e, ids, n, steps, write_every, tolerance)
     scores = ids.withColumn("hub", F.lit(1.0 / n))
     authority, known = None, None
 
@@ -164,6 +171,33 @@ def hits(e: DataFrame, steps: int = 10, write_every: int = 3, tolerance: float =
     return ids.join(scores, "id", "left").join(authority, "id", "left").select("id", zero("hub"), zero("authority"))
 
 
+def _hits_in_one_task(e: DataFrame, ids: DataFrame, n: int, steps: int, write_every: int, tolerance: float) -> DataFrame:
+    """``hits`` over numbered nodes: two arrays of edges and three of nodes are held."""
+    named = written(numbered(ids, F.col("id")), "hits-numbers")
+    place = lambda c: named.select(F.col("id").alias(c), (F.col("row") - 1).cast("int").alias(f"{c}_at"))
+    wired = e.join(place("src"), "src").join(place("dst"), "dst").select("src_at", "dst_at")
+
+    def run(batches):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        src, dst = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        hub, authority, known = np.full(n, 1.0 / n), np.zeros(n), None
+        for step in range(1, steps + 1):
+            authority = np.bincount(dst, hub[src], n)
+            authority /= authority.sum()
+            hub = np.bincount(src, authority[dst], n)
+            hub /= hub.sum()
+            if step % write_every == 0 and step < steps:
+                if tolerance and known is not None and np.abs(hub - known).sum() < tolerance:
+                    break
+                known = hub
+        for at in range(0, n, 100_000):
+            end = min(n, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at + 1, end + 1)), pa.array(hub[at:end]), pa.array(authority[at:end])], ["row", "hub", "authority"])
+
+    scores = wired.repartition(1).mapInArrow(run, "row long, hub double, authority double")
+    return named.join(scores, "row").select("id", "hub", "authority")
+
+
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """``i, overlap``: the share of n items that the first i of both orders have in common, i from 0 to n - 1.
 

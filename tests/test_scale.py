@@ -113,3 +113,16 @@ def test_entities(spark):
     assert rows(new, "kind", "tokens", "terms") == rows(kinds, "kind", "tokens", "terms")
     plan = new._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_hits_in_one_task(spark):
+    from termloom.operators import graph
+
+    e = spark.createDataFrame([(f"p{a}", f"p{(a * 7 + k * k) % 40}") for a in range(40) for k in range(a % 5)], "src string, dst string").distinct()
+    found = {r.id: (r.hub, r.authority) for r in graph.hits(e, 7, tolerance=1e-8).collect()}
+    edges, graph.EDGES = graph.EDGES, 0
+    try:
+        want = {r.id: (r.hub, r.authority) for r in graph.hits(e, 7, tolerance=1e-8).collect()}
+    finally:
+        graph.EDGES = edges
+    assert found.keys() == want.keys() and all(abs(x - y) < 1e-12 for i in want for x, y in zip(found[i], want[i]))
