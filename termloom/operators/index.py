@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import compress
 from ..plans.common import small_or_shuffled, written
 
 BLOCK_IDS = 1 << 18
+#: Postings of an Arrow batch that decoding hands back; a longer list goes alone.
+DECODED = 200_000
 
 
 def inverted_index(tf: DataFrame) -> DataFrame:
@@ -85,12 +89,12 @@ def compressed_index(tf: DataFrame, method: str = "gamma", gapped: bool = True,
 
     A row holds a term's postings of one block of document numbers; ``base`` is the number before its first.
     """
-    g = placed(tf.withColumn("doc_id", F.col("doc_id") + 1), ids)
-    base = F.coalesce("before", F.lit(0))
-    number = F.col("doc_id") - base if gapped else F.col("doc_id")
-    row = F.struct("doc_id", number.alias("n"), "tf")
-    lists = g.groupBy("term", "block").agg(F.count("*").alias("n"), F.min(base).alias("base"), F.array_sort(F.collect_list(row)).alias("rows"))
-    flat = F.flatten(F.transform("rows", lambda r: F.array(r["n"], r["tf"])))
+    own = tf.select("term", (F.col("doc_id") + 1).alias("doc_id"), "tf").repartition("term").withColumn("block", F.floor(F.col("doc_id") / ids))
+    lists = own.groupBy("term", "block").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("rows"))
+    last = F.element_at("rows", -1)["doc_id"]
+    lists = lists.withColumn("base", F.coalesce(F.lag(last).over(Window.partitionBy("term").orderBy("block")), F.lit(0)))
+    before = lambda i: F.coalesce(F.get("rows", i - 1)["doc_id"], F.col("base"))
+    flat = F.flatten(F.transform("rows", lambda r, i: F.array(r["doc_id"] - before(i) if gapped else r["doc_id"], r["tf"])))
     kept = ["term", "block", "n", "base"]
     if method == "gamma":
         return lists.select(*kept, compress.gamma(flat).alias("c")).select(*kept, "c.*")
@@ -101,14 +105,27 @@ def compressed_index(tf: DataFrame, method: str = "gamma", gapped: bool = True,
 
 def decompressed(index: DataFrame, method: str = "gamma", gapped: bool = True) -> DataFrame:
     """``term, doc_id, tf`` of a compressed index."""
-    numbers = compress.ungamma("data", "padding") if method == "gamma" else compress.unvb("data")
-    at = lambda i: F.get("numbers", i.cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("numbers") / 2).cast("int") - 1), lambda i: F.struct(at(i * 2).alias("gap"), at(i * 2 + 1).alias("tf")))
-    rows = index.select("term", "block", "base", numbers.alias("numbers")).select("term", "block", "base", F.posexplode(pairs).alias("i", "r"))
-    rows = rows.select("term", "block", "base", "i", F.col("r.gap").alias("gap"), F.col("r.tf").alias("tf"))
-    order = Window.partitionBy("term", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    number = F.col("base") + F.sum("gap").over(order) if gapped else F.col("gap")
-    return rows.withColumn("doc_id", number - 1).select("term", "doc_id", "tf")
+
+    def run(batches):
+        for b in batches:
+            rows = zip(b.column("data").to_pylist(), b.column("padding").to_pylist())
+            lists = [compress.gamma_decode(d, p) if method == "gamma" else compress.vb_decode(d) for d, p in rows]
+            at = 0
+            while at < len(lists):  # long lists go out by themselves
+                end, size = at + 1, len(lists[at])
+                while end < len(lists) and size + len(lists[end]) <= 2 * DECODED:
+                    size += len(lists[end])
+                    end += 1
+                docs = []
+                for numbers, base in zip(lists[at:end], b.column("base").slice(at, end - at).to_pylist()):
+                    n = np.array(numbers[::2], np.int64)
+                    docs.append((np.cumsum(n) + base if gapped else n) - 1)
+                terms = b.column("term").take(pa.array(np.repeat(np.arange(at, end), list(map(len, docs)))))
+                tfs = np.array([x for numbers in lists[at:end] for x in numbers[1::2]], np.int64)
+                yield pa.RecordBatch.from_arrays([terms, pa.array(np.concatenate(docs)), pa.array(tfs)], ["term", "doc_id", "tf"])
+                at = end
+
+    return index.select("term", "base", "data", F.col("padding").cast("int").alias("padding")).mapInArrow(run, "term string, doc_id long, tf long")
 
 
 def write_index(tf: DataFrame, path: str, tokens: DataFrame | None = None, partitions: int | None = None) -> None:

@@ -126,3 +126,11 @@ def test_hits_in_one_task(spark):
     finally:
         graph.EDGES = edges
     assert found.keys() == want.keys() and all(abs(x - y) < 1e-12 for i in want for x, y in zip(found[i], want[i]))
+
+
+def test_codes_take_one_shuffle(spark):
+    tf = spark.createDataFrame([(d, t, 1 + d % 4) for t in ("a", "b") for d in range(0, 60, 3)], "doc_id long, term string, tf long")
+    for method in ("vb", "gamma"):
+        back = index.decompressed(index.compressed_index(tf, method, True, 10), method, True)
+        assert rows(back, "term", "doc_id", "tf") == rows(tf, "term", "doc_id", "tf")
+        assert back._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
