@@ -128,21 +128,23 @@ def decompressed(index: DataFrame, method: str = "gamma", gapped: bool = True) -
     return index.select("term", "base", "data", F.col("padding").cast("int").alias("padding")).mapInArrow(run, "term string, doc_id long, tf long")
 
 
-def write_index(tf: DataFrame, path: str, tokens: DataFrame | None = None, partitions: int | None = None) -> None:
+def write_index(tf: DataFrame, path: str, tokens: DataFrame | None = None, partitions: int | None = None, terms: bool = True) -> None:
     """Store ``terms``, ``postings`` and ``totals`` (and ``positions``), postings sorted by (term, doc_id) in each file.
 
     One shuffle by term, of which a document has one row at most; Parquet statistics then find a term's few
-    pages. A posting carries its term's ``cf`` and ``df``, so weights need no join.
+    pages. A posting carries its term's ``cf`` and ``df``, so weights need no join. Without ``terms``, those and
+    the totals that are there stay, as tables over them may not have been read yet.
     """
     own = tf.select("doc_id", "term", "tf")
     by_term = own.repartition(partitions, "term") if partitions else own.repartition("term")
     whole = Window.partitionBy("term")
     sums = by_term.sortWithinPartitions("term", "doc_id").withColumns({"cf": F.sum("tf").over(whole), "df": F.count("*").over(whole)})
     sums.write.mode("overwrite").parquet(f"{path}/postings")
-    postings = tf.sparkSession.read.parquet(f"{path}/postings")
-    terms = postings.groupBy("term").agg(F.first("cf").alias("cf"), F.first("df").alias("df"))
-    terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    _write_totals(tf.sparkSession, path, distinct_ids(postings))
+    if terms:
+        postings = tf.sparkSession.read.parquet(f"{path}/postings")
+        known = postings.groupBy("term").agg(F.first("cf").alias("cf"), F.first("df").alias("df"))
+        known.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        _write_totals(tf.sparkSession, path, distinct_ids(postings))
     if tokens is not None:
         write_positions(tokens, path)
 

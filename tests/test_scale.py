@@ -134,3 +134,13 @@ def test_codes_take_one_shuffle(spark):
         back = index.decompressed(index.compressed_index(tf, method, True, 10), method, True)
         assert rows(back, "term", "doc_id", "tf") == rows(tf, "term", "doc_id", "tf")
         assert back._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_stored_terms_stay(spark, tmp_path):
+    """Terms that were asked for first can still be read when postings follow."""
+    from termloom import queries
+
+    (tmp_path / "documents.parquet").symlink_to("/root/testdata/sf0.001/documents.parquet")
+    first = index.read_terms(spark, queries.stored(spark, str(tmp_path), "terms"))
+    tf = queries.postings(spark, str(tmp_path))
+    assert rows(first, "term", "cf") == rows(tf.groupBy("term").agg(F.sum("tf").alias("cf")), "term", "cf")
