@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..plans.common import small_or_shuffled
 from . import tokenize
 
 #: Rows of an Arrow batch that is handed back.
@@ -91,34 +92,40 @@ def vocabulary(docs: DataFrame, low: int = 3, high: int = 25) -> DataFrame:
 
 
 def positions(docs: DataFrame, low: int = 3, high: int = 25) -> DataFrame:
-    """``term, doc_id, tf, positions`` as of ``index.positional_index``."""
-    if not one_row_each(docs):
-        from .index import positional_index
+    """``term, doc_id, tf, positions`` as of ``index.positional_index``; that takes the documents of repeated ids, and no others."""
+    docs = docs.select("doc_id", "text")
+    again = docs.groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again")
+    if again.isEmpty():
+        return _positions(docs, low, high)
+    from .index import positional_index
+
+    again = small_or_shuffled(again)
+    same = docs["doc_id"].eqNullSafe(again["again"])
+    own = _positions(docs.join(again, same, "left_anti"), low, high)
+    return own.unionByName(positional_index(tokenize.plain_tokens(docs.join(again, same, "left_semi"), low, high)))
+
 
-        return positional_index(tokenize.plain_tokens(docs, low, high))
+def _positions(docs: DataFrame, low: int, high: int) -> DataFrame:
+    """A document's words are numbered as they come; a stable sort by number leaves each word's places in a row."""
 
-    def batch(ids, at, terms, places):
-        sizes = np.fromiter(map(len, places), np.int64, len(places))
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        flat = np.fromiter((p for x in places for p in x), np.int32, int(offsets[-1]))
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), ids.take(pa.array(at)), pa.array(sizes), lists], ["term", "doc_id", "tf", "positions"])
+    def batch(ids, at, terms, sizes, places):
+        n = np.concatenate(sizes)
+        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places), pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), ids.take(pa.array(at)), pa.array(n, pa.int64()), lists], ["term", "doc_id", "tf", "positions"])
 
     def placed(ids, lists):
-        at, terms, places = [], [], []
+        at, terms, sizes, places = [], [], [], []
         for i, words in enumerate(lists):
-            own: dict[str, list[int]] = {}
-            for p, w in enumerate(words):
-                if w in own:
-                    own[w].append(p)
-                else:
-                    own[w] = [p]
-            at += [i] * len(own)
-            terms += own
-            places += own.values()
+            number: dict[str, int] = {}
+            code = np.array([number.setdefault(w, len(number)) for w in words], np.int32)
+            at += [i] * len(number)
+            terms += number
+            sizes.append(np.bincount(code, minlength=len(number)))
+            places.append(np.argsort(code, kind="stable").astype(np.int32))
             if len(at) >= ROWS or at and i == len(lists) - 1:
-                yield batch(ids, at, terms, places)
-                at, terms, places = [], [], []
+                yield batch(ids, at, terms, sizes, places)
+                at, terms, sizes, places = [], [], [], []
 
     schema = T.StructType([_TERM, docs.schema["doc_id"], T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
     return _over(docs, placed, schema, low, high)

@@ -144,3 +144,23 @@ def test_stored_terms_stay(spark, tmp_path):
     first = index.read_terms(spark, queries.stored(spark, str(tmp_path), "terms"))
     tf = queries.postings(spark, str(tmp_path))
     assert rows(first, "term", "cf") == rows(tf.groupBy("term").agg(F.sum("tf").alias("cf")), "term", "cf")
+
+
+def test_places_with_repeated_ids(spark, odd):
+    """Only the documents of a repeated id take the plan over tokens; copies of a text leave no ties."""
+    draw = random.Random(2)
+    texts = [" ".join(draw.choices(WORDS, k=n)) for n in (7, 1, 30)]
+    more = spark.createDataFrame([(None, texts[0])] * 2 + [(900, texts[1])] * 3 + [(-4, texts[2])], "doc_id long, text string")
+    docs = odd.union(odd.where("doc_id % 7 = 3")).union(more)
+    columns = ["term", "doc_id", "tf", "positions"]
+    found = within.positions(docs)
+    text = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert text(found) == text(index.positional_index(tokenize.plain_tokens(docs)))
+    assert found.where("doc_id is null").count() and "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_positional_index_by_document(spark):
+    from termloom import queries
+
+    plan = queries.QUERIES["positional_index"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan
