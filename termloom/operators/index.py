@@ -180,6 +180,14 @@ def write_places(places: DataFrame, path: str) -> None:
     places.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/positions")
 
 
+def write_runs(places: DataFrame, path: str) -> None:
+    """Store ``positions`` as ``within.positions`` leaves them: runs sorted by term, so nothing is shuffled.
+
+    A run holds many documents, and Parquet's page statistics find a term's few pages in each.
+    """
+    places.write.mode("overwrite").parquet(f"{path}/positions")
+
+
 def write_norms(spark: SparkSession, path: str, weights: dict[str, str]) -> None:
     """Store ``norms``: ``doc_id`` and a column a scheme, the length of the document's weights (SQL over n, v, tf, df, cf).
 

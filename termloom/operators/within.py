@@ -92,7 +92,10 @@ def vocabulary(docs: DataFrame, low: int = 3, high: int = 25) -> DataFrame:
 
 
 def positions(docs: DataFrame, low: int = 3, high: int = 25) -> DataFrame:
-    """``term, doc_id, tf, positions`` as of ``index.positional_index``; that takes the documents of repeated ids, and no others."""
+    """``term, doc_id, tf, positions`` as of ``index.positional_index``, in runs sorted by term.
+
+    That operator takes the documents of repeated ids, and no others.
+    """
     docs = docs.select("doc_id", "text")
     again = docs.groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again")
     if again.isEmpty():
@@ -102,30 +105,36 @@ def positions(docs: DataFrame, low: int = 3, high: int = 25) -> DataFrame:
     again = small_or_shuffled(again)
     same = docs["doc_id"].eqNullSafe(again["again"])
     own = _positions(docs.join(again, same, "left_anti"), low, high)
-    return own.unionByName(positional_index(tokenize.plain_tokens(docs.join(again, same, "left_semi"), low, high)))
+    rest = positional_index(tokenize.plain_tokens(docs.join(again, same, "left_semi"), low, high))
+    return own.unionByName(rest.sortWithinPartitions("term"))
 
 
 def _positions(docs: DataFrame, low: int, high: int) -> DataFrame:
-    """A document's words are numbered as they come; a stable sort by number leaves each word's places in a row."""
-
-    def batch(ids, at, terms, sizes, places):
-        n = np.concatenate(sizes)
-        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places), pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), ids.take(pa.array(at)), pa.array(n, pa.int64()), lists], ["term", "doc_id", "tf", "positions"])
+    """A run of rows sorted by term for each batch of documents: words as numbers, sorted by rank and document once."""
 
     def placed(ids, lists):
-        at, terms, sizes, places = [], [], [], []
-        for i, words in enumerate(lists):
-            number: dict[str, int] = {}
-            code = np.array([number.setdefault(w, len(number)) for w in words], np.int32)
-            at += [i] * len(number)
-            terms += number
-            sizes.append(np.bincount(code, minlength=len(number)))
-            places.append(np.argsort(code, kind="stable").astype(np.int32))
-            if len(at) >= ROWS or at and i == len(lists) - 1:
-                yield batch(ids, at, terms, sizes, places)
-                at, terms, sizes, places = [], [], [], []
+        number: dict[str, int] = {}
+        words, size = np.fromiter(map(len, lists), np.int64, len(lists)), len(lists)
+        code = np.fromiter((number.setdefault(w, len(number)) for own in lists for w in own), np.int32, int(words.sum()))
+        lists.clear()  # the words are far larger than their numbers
+        if not len(code):
+            return
+        owner = np.repeat(np.arange(size), words)
+        place = (np.arange(len(code)) - np.repeat(np.cumsum(words) - words, words)).astype(np.int32)
+        terms = sorted(number)
+        rank = np.empty(len(terms), np.int64)
+        rank[[number[t] for t in terms]] = np.arange(len(terms))
+        key = rank[code] * size + owner
+        order = np.argsort(key, kind="stable")  # places of one word and document stay in order
+        key, place, terms = key[order], place[order], pa.array(terms, pa.string())
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends, found = np.append(starts[1:], len(key)), key[starts]
+        for k in range(0, len(starts), ROWS):
+            own, first, last = found[k : k + ROWS], starts[k : k + ROWS], ends[k : k + ROWS]
+            offsets = np.append(first, last[-1]) - first[0]
+            at = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place[first[0] : last[-1]]))
+            columns = [terms.take(pa.array(own // size)), ids.take(pa.array(own % size)), pa.array(last - first), at]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "tf", "positions"])
 
     schema = T.StructType([_TERM, docs.schema["doc_id"], T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
     return _over(docs, placed, schema, low, high)

@@ -164,3 +164,15 @@ def test_positional_index_by_document(spark):
 
     plan = queries.QUERIES["positional_index"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan
+
+
+def test_positions_are_stored_in_runs(spark, odd, tmp_path):
+    """Rows of a batch of documents come sorted by term and are stored without a shuffle."""
+    found = within.positions(odd.coalesce(1))
+    terms = [r.term for r in found.collect()]
+    assert terms == sorted(terms) and len(set(terms)) < len(terms)
+    assert "hashpartitioning" not in within.positions(odd.coalesce(1))._jdf.queryExecution().executedPlan().toString()
+    index.write_runs(found, str(tmp_path))
+    want = index.positional_index(tokenize.plain_tokens(odd)).where("term = 'bbb'")
+    columns = ["term", "doc_id", "tf", "positions"]
+    assert rows(index.posting(spark, str(tmp_path), "bbb", "positions"), *columns) == rows(want, *columns)
